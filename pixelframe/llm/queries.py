@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.llm.common import table
+from pixelframe.llm.line_rules import line_verdicts
+from pixelframe.llm.mixing import mix_sources
+from pixelframe.llm.packing import pack_documents
+from pixelframe.llm.secrets import secret_spans
 from pixelframe.llm.sharding import hilbert_shards
 
 
+def op1_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, tokenizer="word_bpe_49k.json")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_verdicts(table(spark, sf_dir, "documents")).drop("host", "text_hash", "cut_lines")
+
+
+def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
