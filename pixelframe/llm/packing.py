@@ -182,28 +182,27 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        step = 4 * capacity
-        for piece, found in encoded(batches, "_text", path or default_path(tokenizer)):
-            row, number, crc, length, place = [], [], [], [], []
-            for i, ids in enumerate(found):
-                for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    n = len(part) // 4
-                    row.append(i)
-                    number.append(k // step)
-                    crc.append(zlib.crc32(part))
-                    length.append(n)
-                    place.append(seen[n])
-                    seen[n] += 1
-            n = len(row)
+        for texts, ids, at in encoded(batches, "_text", path or default_path(tokenizer)):
+            parts = -(-np.diff(at) // capacity)  # pieces of each text
+            row = np.repeat(np.arange(len(parts)), parts)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = at[row] + number * capacity
+            end = np.minimum(start + capacity, at[row + 1])
+            length = end - start
+            raw = ids.astype("<u4").tobytes()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist())]
+            place = []
+            for n in length.tolist():
+                place.append(seen[n])
+                seen[n] += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(0).take(pa.array(row, pa.int64())),
-                    pa.array(number, pa.int32()),
-                    pa.array([k * capacity for k in number], pa.int64()),
-                    pa.array(length, pa.int64()),
+                    texts.column(0).take(pa.array(row)),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(number * capacity),
+                    pa.array(length),
                     pa.array(crc, pa.int64()),
-                    pa.array([task] * n, pa.int32()),
+                    pa.array(np.full(len(row), task, np.int32)),
                     pa.array(place, pa.int64()),
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"],

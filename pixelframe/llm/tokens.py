@@ -5,20 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from pixelframe.llm.arrow_text import pieces, text_bytes
 
-END = b"\0\0\0\0"  # id 0, little-endian
-_SEGMENTS = re.compile(rb"\s*[^\s]+|\s+")  # ASCII white space, as the pattern is bytes
-_IRREGULAR = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
-#: White space beyond ASCII, first by two bytes that are quick to look for.
+#: White space beyond ASCII, first by bytes that are quick to look for.
 _WIDE_HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_WIDE = re.compile("[\x85\xa0  -     　]")
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def default_path(name: str) -> str:
@@ -32,12 +30,12 @@ class WordCache:
     """Encodes texts piecewise where that gives the same ids as whole.
 
     Both kinds of tokenizer here end a pre-token wherever white space begins after other characters, so a text falls
-    into pieces that don't influence each other: words, where white space is dropped, else words with the white space
-    before them. Pieces recur; their ids are kept as bytes, a bounded number of them. Byte-level texts with white
-    space beyond ASCII are encoded whole, since their white-space runs could be cut in two.
+    into segments (white space, then a word) that don't influence each other. Segments recur; their ids are kept, a
+    bounded number of them. Byte-level texts with white space beyond ASCII are one segment, since a run of it could be
+    cut in two otherwise.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, most_words: int = 1_200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,46 +44,85 @@ class WordCache:
         pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("type")
         self.kind = {"ByteLevel": "spaced", "Sequence": "words"}.get(pre, "whole")
         self.most, self.longest = most_words, longest
-        self.known: dict[bytes, bytes] = {}
-
-    def segments(self, text: bytes) -> list[bytes]:
-        if self.kind == "words":
-            return text.split()
-        if not text:
-            return []
-        if self.kind == "whole" or (any(h in text for h in _WIDE_HINTS) and _WIDE.search(text.decode())):
-            return [text]
-        if any(x in text for x in _IRREGULAR):
-            return _SEGMENTS.findall(text)
-        return text.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n").removeprefix(b"\xff").split(b"\xff")  # no UTF-8 has that byte
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)  # ids of all known segments end to end
+        self.ends = np.zeros(1 << 15, np.int64)  # where each segment's end; the first is the end id alone
+        self.ids[0], self.ends[1], self.n = 0, 1, 1
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where segments begin: at white space after other characters, and where a text begins."""
+        start = np.zeros(len(data), bool)
+        if self.kind != "whole":
+            space = self.space[data]
+            start[1:] = space[1:] & ~space[:-1]
+        if self.kind == "spaced":
+            raw = data.tobytes()
+            if any(h in raw for h in _WIDE_HINTS):
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    text = raw[a:b]
+                    if any(h in text for h in _WIDE_HINTS) and _WIDE.search(text.decode()):
+                        start[a:b] = False
+        firsts = offsets[:-1]
+        start[firsts[firsts < offsets[1:]]] = True
+        return np.flatnonzero(start)
+
+    def _add(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit, without an end id."""
-        cut = [self.segments(t) for t in texts]
-        words = set(chain.from_iterable(cut))
-        known = self.known
-        new = list(words.difference(known))
+        lists = [x.ids for x in found]
+        ends = self.ends[self.n] + np.cumsum([len(x) for x in lists])
+        need = self.n + len(words) + 1
+        if need > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(need, np.int64)])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), np.uint32)])
+        self.ids[self.ends[self.n] : ends[-1]] = np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1] - self.ends[self.n]))
+        self.ends[self.n + 1 : need] = ends
+        self.known.update(zip(words, range(self.n, self.n + len(words))))
+        self.n += len(words)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (bytes end to end, starts with the last end), each with the end id, end to end; and where
+        each text's begin, with the end of the last."""
+        starts = self._starts(data, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = cut.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if self.n + len(new) > self.most:
+            self._clear()
+            new = words
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(words)
-            known.update(zip(new, self._encode(new)))
-        get = known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
+            self._add(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         for w in new:
             if len(w) > self.longest:
-                known.pop(w, None)
-        return out
-
-
-def encoded(batches: Iterable[pa.RecordBatch], text_col: str, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of the batches with their texts' ids, each with the end id."""
-    cache = WordCache(path)
-    for piece in pieces(batches, text_col, 2 << 20):
-        data, offsets = text_bytes(piece.column(piece.schema.get_field_index(text_col)))
-        raw, at = data.tobytes(), offsets.tolist()
-        yield piece, [ids + END for ids in cache.encode([raw[a:b] for a, b in zip(at, at[1:])])]
+                del self.known[w]  # its ids stay until all are cleared
+        segments = number[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        last = np.searchsorted(starts, offsets[1:])  # segments before each text's end
+        segments = np.insert(segments, last, 0)
+        begin = np.where(segments > 0, self.ends[segments], 0)
+        size = self.ends[segments + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        return out, np.concatenate([[0], upto[last + np.arange(1, len(last) + 1)]])
+
+
+def shared_cache(path: str) -> WordCache:
+    """This process's cache for a vocabulary: it outlives a task, as workers do."""
+    held = sys.modules.setdefault("_pixelframe_word_caches", types.ModuleType("_pixelframe_word_caches")).__dict__
+    if path not in held:
+        held[path] = WordCache(path)
+    return held[path]
+
+
+def encoded(batches: Iterable[pa.RecordBatch], text_col: str, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of the batches with their texts' ids, each with the end id, end to end, and where each text's begin."""
+    cache = shared_cache(path)
+    for piece in pieces(batches, text_col, 4 << 20):
+        yield piece, *cache.encode(*text_bytes(piece.column(piece.schema.get_field_index(text_col))))
