@@ -82,39 +82,41 @@ def copies_of_cells(cells: DataFrame, tilts: DataFrame, most: int, repairs: int
     """Whole copies for cells of documents with one source and size: `each` for every document, one more for `extra`.
 
     Systematic rounding along the sizes: a cell's extra copies are the whole numbers that the running sum of
-    fractional rates passes in it, so a source misses its target by about one document at most. Then, a few times,
-    the one copy more or less that brings the source nearest to its target is added or taken away.
+    fractional rates passes in it, so a source misses its target by about one document at most. What it misses is then
+    made up, a few times, by copies of the largest sizes that still fit into the gap, and at last by the one copy more
+    or less that brings the source nearest to its target.
     """
+    source = ["has_source", "src"]
     rate = F.when(F.col("free"), _tilted(F.col("tilt"), F.col("size"), F.col("scale"), most)).when(F.col("target") > 0, float(most)).otherwise(0.0)
-    by_size = Window.partitionBy("has_source", "src").orderBy("size")
+    by_size = Window.partitionBy(*source).orderBy("size")
     part = F.col("units") % UNIT * F.col("n")
     out = (
-        cells.join(tilts, ["has_source", "src"])
+        cells.join(tilts, source)
         .withColumn("units", F.round(rate * UNIT).cast("long"))
-        .withColumn("each", F.floor(F.col("units") / UNIT))
         .withColumn("upto", F.sum(part).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("extra", F.floor((F.col("upto") + UNIT // 2) / UNIT) - F.floor((F.col("upto") - part + UNIT // 2) / UNIT))
-        .select("has_source", "src", "size", "n", "target", "total", "each", "extra")
+        .withColumn("copies", F.floor(F.col("units") / UNIT) * F.col("n") + F.col("extra"))
+        .select(*source, "size", "n", "target", "total", "copies")
     )
+    gap = F.col("target") - F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy(*source))
     for _ in range(repairs):
-        out = written(out, "cells")
-        gaps = out.groupBy("has_source", "src").agg((F.first("target") - F.sum(F.col("size") * (F.col("each") * F.col("n") + F.col("extra")))).alias("gap"))
-        moves = F.array(
-            F.when((F.col("extra") < F.col("n")) & (F.col("each") < most), F.lit(1)),
-            F.when(F.col("extra") > 0, F.lit(-1)),
-        )
-        after = F.abs(F.col("gap") - F.col("move") * F.col("size"))
-        # the best single move of each source, one row of it
-        best = (
-            out.join(gaps, ["has_source", "src"])
-            .withColumn("move", F.explode(moves))
-            .filter(F.col("move").isNotNull() & (after < F.abs("gap")))
-            .groupBy("has_source", "src")
-            .agg(F.min(F.struct(after.alias("after"), "size", "move")).alias("best"))
-            .select("has_source", "src", F.col("best.size").alias("size"), F.col("best.move").alias("move"))
-        )
-        out = out.join(best, ["has_source", "src", "size"], "left").withColumn("extra", F.col("extra") + F.coalesce("move", F.lit(0))).drop("move")
-    return written(out, "cells")
+        out = written(out, "cells").withColumn("gap", gap)
+        room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+        out = out.withColumn("room", F.when((F.col("size") > 0) & (F.col("size") <= F.abs("gap")), room).otherwise(0))
+        larger = Window.partitionBy(*source).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        fits = F.floor((F.abs("gap") - before) / F.when(F.col("size") > 0, F.col("size")))
+        moved = F.greatest(F.least(fits, F.col("room")), F.lit(0)) * F.signum("gap").cast("long")
+        out = out.withColumn("copies", F.when(F.col("room") > 0, F.col("copies") + moved).otherwise(F.col("copies"))).select(*source, "size", "n", "target", "total", "copies")
+    out = written(out, "cells").withColumn("gap", gap)
+    # the best single move of each source
+    up, down = F.when(F.col("copies") < most * F.col("n"), 1), F.when(F.col("copies") > 0, -1)
+    move = F.when(F.col("gap") > 0, up).otherwise(down)
+    after = F.when(move.isNotNull(), F.abs(F.col("gap") - move * F.col("size")))
+    best = F.min(F.struct(F.coalesce(after, F.lit(1e300)).alias("after"), "size")).over(Window.partitionBy(*source))
+    chosen = (best["size"] == F.col("size")) & (best["after"] < F.abs("gap"))
+    out = out.withColumn("copies", F.col("copies") + F.when(chosen, move).otherwise(0)).withColumn("each", F.floor(F.col("copies") / F.col("n")))
+    return written(out.select(*source, "size", "n", "target", "total", "each", (F.col("copies") - F.col("each") * F.col("n")).alias("extra")), "cells")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -159,3 +161,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         copies.cast("int").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as often as mix_sources takes them; columns as before. Rows alike in id, source and size, if a
+    table has such, are taken as often as the one of them with the most copies.
+    """
+    rates = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = rates.filter("copies != 1").groupBy(F.xxhash64("doc_id", F.col("source"), "size").alias("_mix_key")).agg(F.max("copies").alias("_copies"))
+    key = F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), word_count(F.col(text_col)))
+    taken = docs.withColumn("_key", key).join(copies, F.col("_key") == F.col("_mix_key"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
