@@ -13,13 +13,15 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 #: Fixed value: the same characters themselves.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, a local one is made and set."""
+    """The folder that driver and executors share. Only where the session names none, a local one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pixelframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="pixelframe-"))
     return root.rstrip("/")
 
 

@@ -55,17 +55,22 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", covered.cast("long")).drop("_windows")
 
 
+def document_key(doc_id: Column, host: Column, text_hash: Column) -> Column:
+    """What tells documents apart: id, host and text."""
+    return F.xxhash64(doc_id, host.cast("string"), text_hash)
+
+
 def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05, least_left: float = 0.5, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Judge documents by base counts and by how much of them stands on lines that many documents of a host share.
 
     A line, normalised and hashed, counts each document (id, host, text) of a host once. A line is above the limits if
     at least min_docs documents and more than min_share of its host's documents hold it. Such lines are removed from
-    all documents but the first that holds them (smallest text hash, then id), so a passage stays once. A document is
+    all documents but the first that holds them (smallest id), so a passage stays once. A document is
     rejected if base_failed (fewer than min_words words, or more than half of them in repeated three-word windows), or
     depleted: less than least_left of its words, or fewer than min_words of them, stand on kept lines.
 
     Returns one row an input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, and host, text_hash, n_cut_words, cut_lines (hashes of removed lines, null where none). Null text: no words.
+    kept, and doc_key (see document_key), n_cut_words, cut_lines (hashes of removed lines, null where none). Null text: no words.
     Null host: a host of its own. Rows alike in id, host and text are one document to the counts and get one verdict
     each. Empty table: no rows. Other columns, whatever their names, are ignored.
 
@@ -80,12 +85,12 @@ def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05,
     )
     narrow = text_counts(base.withColumn("text_hash", F.xxhash64("text"))).withColumn("lines", lines).drop("text")
     narrow = narrow.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    narrow = written(narrow.withColumn("doc", F.xxhash64("doc_id", "host", "text_hash")), "line-counts")
+    narrow = written(narrow.withColumn("doc", document_key(F.col("doc_id"), F.col("host"), F.col("text_hash"))), "line-counts")
 
-    once = narrow.select("doc", "text_hash", "host", "lines").dropDuplicates(["doc"])
+    once = narrow.select("doc", "doc_id", "host", "lines").dropDuplicates(["doc"])
     of_host = once.groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = once.select("doc", "text_hash", "host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    often = held.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min(F.struct("text_hash", "doc")).alias("first")).filter(F.col("n_docs") >= min_docs)
+    held = once.select("doc", "doc_id", "host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    often = held.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "doc")).alias("first")).filter(F.col("n_docs") >= min_docs)
     often = often.join(of_host, often["host"].eqNullSafe(of_host["host"])).drop(of_host["host"]).filter(F.col("n_docs") > min_share * F.col("host_docs"))
     often = written(often.select("host", "line", F.col("first.doc").alias("first_doc")), "frequent-lines")
 
@@ -107,8 +112,7 @@ def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05,
         "n_repeat_words",
         "base_failed",
         (~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False))).alias("kept"),
-        "host",
-        "text_hash",
+        F.col("doc").alias("doc_key"),
         F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut_words"),
         "cut_lines",
     )
@@ -118,3 +122,15 @@ def without_cut_lines(text: Column, cut_lines: Column) -> Column:
     """The text without its lines whose hashes are in cut_lines (null: none)."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(cut_lines, F.xxhash64(normalised(x))))
     return F.when(cut_lines.isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents that line_verdicts keeps, without their cut lines; columns as before.
+
+    Only documents that change (rejected, or with lines to cut) are joined back, by document_key.
+    """
+    changes = line_verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    changes = changes.filter(~F.col("kept") | F.col("cut_lines").isNotNull()).select("doc_key", F.col("kept").alias("_kept"), F.col("cut_lines").alias("_cut")).dropDuplicates(["doc_key"])
+    key = document_key(F.col(id_col), F.col(host_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = docs.withColumn("_key", key).join(changes, F.col("_key") == F.col("doc_key"), "left").filter(F.coalesce("_kept", F.lit(True)))
+    return marked.withColumn(text_col, without_cut_lines(F.col(text_col), F.col("_cut"))).select(*docs.columns)

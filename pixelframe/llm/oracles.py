@@ -2,4 +2,29 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+_SOLID = r"[^\x20\x09-\x0D]"
+
+LINE_FREQUENCY = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_SOLID}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SOLID}')) AS ls FROM d),
+windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '{_SPACE}+', ' ', 'g'), '[0-9]', '0', 'g')) AS line, len(regexp_extract_all(x, '{_SOLID}+')) AS n FROM w, unnest(ls) u(x)),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+often AS (SELECT l.source, line, min(doc_id) AS first_doc FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.05 * docs),
+cut AS (SELECT doc_id, sum(n)::BIGINT AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line AND l.doc_id <> o.first_doc GROUP BY doc_id),
+base AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS n_cut_words FROM w LEFT JOIN repeated r USING (doc_id) LEFT JOIN cut c ON c.doc_id = w.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - n_cut_words AS n_left FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_cut_words > 0 AND (n_left < 0.5 * n_words OR n_left < 50)) AS kept, n_cut_words FROM judged
+"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op8_line_frequency": LINE_FREQUENCY, "op9_histogram_top_k": TOP_K}

@@ -7,27 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.llm.common import table
+from pixelframe.llm.classifier import quality_scores
+from pixelframe.llm.grammar import token_files_roundtrip
 from pixelframe.llm.line_rules import line_verdicts
 from pixelframe.llm.mixing import mix_sources
+from pixelframe.llm.neardup import near_duplicates
 from pixelframe.llm.packing import pack_documents
+from pixelframe.llm.passages import repeated_passages
 from pixelframe.llm.secrets import secret_spans
 from pixelframe.llm.sharding import hilbert_shards
+from pixelframe.llm.topk import exact_top_k
 
 
 def op1_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, tokenizer="word_bpe_49k.json")
 
 
+def op2_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_roundtrip(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
+
+
+def op3_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "class_node")
+
+
 def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_verdicts(table(spark, sf_dir, "documents")).drop("host", "text_hash", "cut_lines")
+    return line_verdicts(table(spark, sf_dir, "documents")).drop("doc_key", "cut_lines")
+
+
+def op9_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def found_spans(text: str, regex: re.Pattern, rule: Rule) -> list[tuple[int, int
     return [m.span() for m in regex.finditer(text) if len(m[rule.group]) >= rule.least]
 
 
-def secret_spans(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def secret_spans(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), redact_to: str | None = None) -> DataFrame:
     """Find secrets in whole texts.
 
     Each task indexes its texts block by block (a block: a few MB of texts): postings of the trigrams that the rules'
@@ -192,7 +192,8 @@ def secret_spans(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, tex
     Returns the columns in `keep`, n_assign, n_access, n_hex (long), base_sha256 and spans: kind:start:end (code
     points, end exclusive) of matches, by start, then kind as listed, comma-joined; base_sha256 hashes the base rules'
     spans alone. Null text: empty. No secrets: zero counts, the hash of nothing, empty spans. Matches of one kind
-    don't overlap; those of several kinds may. Empty table: no rows. Columns not in `keep` aren't read.
+    don't overlap; those of several kinds may. redact_to names one more column: the text with its secrets replaced.
+    Empty table: no rows. Columns not in `keep` aren't read.
     """
     rules = (*BASE_RULES, *more_rules)
     narrow = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -215,15 +216,19 @@ def secret_spans(docs: DataFrame, more_rules: tuple[Rule, ...] = MORE_RULES, tex
             counts = [[sum(k == which for _, k, _ in s) for s in spans] for which in range(base)]
             joined = [",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in sorted(s)) for s in spans]
             base_joined = [",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in sorted(s) if k < base) if s else "" for s in spans]
+            clean = [column]
+            if any(joined):
+                clean = [pa.array([redacted(texts[i], s) if s else raw[offsets[i] : offsets[i + 1]].decode() for i, s in enumerate(joined)], pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [piece.column(piece.schema.get_field_index(c)) for c in keep]
                 + [pa.array(c, pa.int64()) for c in counts]
-                + [pa.array([hashlib.sha256(s.encode()).hexdigest() for s in base_joined]), pa.array(joined, pa.string())],
-                names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                + [pa.array([hashlib.sha256(s.encode()).hexdigest() for s in base_joined]), pa.array(joined, pa.string())]
+                + clean * bool(redact_to),
+                names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans", *[redact_to] * bool(redact_to)],
             )
 
     assert len(kinds) == len(rules), "kinds must differ"
-    schema = ", ".join([*(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"])
+    schema = ", ".join([*(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", *[f"`{redact_to}` string"] * bool(redact_to)])
     return narrow.mapInArrow(scan, schema)
 
 
@@ -240,3 +245,11 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> str:
         out += [text[at:a], mark]
         at = b
     return "".join([*out, text[at:]])
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with every secret in the text replaced by a mark; columns as before. Null texts stay null."""
+    others = tuple(c for c in docs.columns if c != text_col)
+    named = docs.withColumn("_null_text", F.col(text_col).isNull())
+    clean = secret_spans(named, text_col=text_col, keep=(*others, "_null_text"), redact_to="_clean")
+    return clean.withColumn(text_col, F.when(~F.col("_null_text"), F.col("_clean"))).select(*docs.columns)
