@@ -8,6 +8,7 @@ import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from pixelframe.llm.arrow_text import pieces, text_bytes
 _WIDE_HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+_PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: The letters that stand for bytes that aren't printable ASCII or Latin-1 in byte-level vocabularies, by their rule: in order, from 256 on.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
 
 def default_path(name: str) -> str:
     """A public vocabulary file's place on this machine; each task asks its own."""
@@ -43,6 +48,10 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("type")
         self.kind = {"ByteLevel": "spaced", "Sequence": "words"}.get(pre, "whole")
+        self.model = self.tokenizer.model
+        if self.kind != "whole":
+            self.marks = {mark: [t.id for t in self.model.tokenize(mark)] for mark in ".,"}
+            self.line_end = [t.id for t in self.model.tokenize("\u010a")]
         self.most, self.longest = most_words, longest
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
@@ -71,16 +80,41 @@ class WordCache:
         start[firsts[firsts < offsets[1:]]] = True
         return np.flatnonzero(start)
 
+    def _plain(self, word: str) -> list[int] | None:
+        """The ids of a plain segment from the tokenizer's model itself; None if the segment isn't plain.
+
+        Plain: at most one blank or line end, Latin letters, at most one full stop or comma. Normalisation only lowers
+        such letters (if anything), and pre-tokens are the line end, the letters with a blank before them, the mark.
+        """
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            return None
+        space, letters, mark = m.groups()
+        if self.kind == "words":
+            head, letters = "", letters.lower()
+        else:
+            head = "\u0120" if space == " " else ""  # a blank belongs to its word
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(head + letters)]
+        if space == "\n" and self.kind == "spaced":
+            ids = self.line_end + ids
+        return ids + self.marks[mark] if mark else ids
+
     def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [x.ids for x in found]
-        ends = self.ends[self.n] + np.cumsum([len(x) for x in lists])
+        texts = [w.decode() for w in words]
+        lists = [self._plain(w) for w in texts] if self.kind != "whole" else [None] * len(texts)
+        rest = [i for i, x in enumerate(lists) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            lists[i] = x.ids
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ends = self.ends[self.n] + np.cumsum(sizes)
         need = self.n + len(words) + 1
         if need > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(need, np.int64)])
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), np.uint32)])
-        self.ids[self.ends[self.n] : ends[-1]] = np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1] - self.ends[self.n]))
+        self.ids[self.ends[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         self.ends[self.n + 1 : need] = ends
         self.known.update(zip(words, range(self.n, self.n + len(words))))
         self.n += len(words)
@@ -92,17 +126,21 @@ class WordCache:
         bounds = np.append(starts, len(data)).astype(np.int64)
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = cut.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
+        raw, at = coded.dictionary.buffers()[2], np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1)
+        raw, at = raw.to_pybytes() if raw else b"", at.tolist()
+        words = [raw[a:b] for a, b in zip(at, at[1:])]
+        number = np.array([self.known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(number < 0)
         if self.n + len(new) > self.most:
             self._clear()
-            new = words
-        if new:
-            self._add(new)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        for w in new:
-            if len(w) > self.longest:
-                del self.known[w]  # its ids stay until all are cleared
+            new = np.arange(len(words))
+        if len(new):
+            number[new] = self.n + np.arange(len(new))
+            added = [words[i] for i in new.tolist()]
+            self._add(added)
+            for w in added:
+                if len(w) > self.longest:
+                    del self.known[w]  # its ids stay until all are cleared
         segments = number[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         last = np.searchsorted(starts, offsets[1:])  # segments before each text's end
         segments = np.insert(segments, last, 0)
