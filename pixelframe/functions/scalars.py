@@ -50,7 +50,7 @@ def extension(path: Column) -> Column:
 
 def relative_path(path: Column, root: str) -> Column:
     """The path below a root, null outside of it."""
-    root = root.rstrip("/") + "/"
+    root = root if root.endswith("/") else root + "/"
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 30))
 
 

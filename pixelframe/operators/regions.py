@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,13 +235,19 @@ def _hull_area(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
 
 
 def region_convex(runs: DataFrame) -> DataFrame:
-    """convex_area. The hull needs only each line's outermost pixels; a region's lines meet in one group."""
+    """convex_area. The hull needs only each line's outermost pixels; a task takes its regions one by one."""
     ends = runs.groupBy(*REGION, "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
-    def hull(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": [key[0]], "label": [key[1]], "convex_area": [_hull_area(g.y.to_numpy(), g.x0.to_numpy(), g.x1.to_numpy())]})
+    def hulls(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, REGION):
+            image, label, y, x0, x1 = (whole[c].to_numpy() for c in (*REGION, "y", "x0", "x1"))
+            first = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (label[1:] != label[:-1])]))
+            last = np.append(first[1:], len(y))
+            area = [_hull_area(y[a:b], x0[a:b], x1[a:b]) for a, b in zip(first.tolist(), last.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(image[first]), pa.array(label[first]), pa.array(area, pa.int64())], names=[*REGION, "convex_area"])
 
-    return ends.groupBy(*REGION).applyInPandas(hull, "image_id long, label long, convex_area long")
+    placed = ends.repartition(*REGION).sortWithinPartitions(*REGION, "y")
+    return placed.mapInArrow(hulls, "image_id long, label long, convex_area long")
 
 
 def region_colour(filled: DataFrame, lines: DataFrame) -> DataFrame:

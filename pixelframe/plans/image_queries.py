@@ -152,9 +152,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return M.close(fg(spark, d), H, W)
 
 
-@query("erode2", f"WITH {_KERNELS}, {_erosion('fg', 'el', 'out')} SELECT * FROM out", ("fg",))
+@query("erode2", f"WITH {_KERNELS}, wide AS (SELECT dataset_id, image_id, seq, y, x FROM px WHERE v <= 200), {_erosion('wide', 'el', 'out')} SELECT * FROM out", ("px",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.OPERATIONS["erode2"](fg(spark, d), H, W)
+    return M.OPERATIONS["erode2"](T.px(spark, d).filter("v <= 200").drop("v"), H, W)
 
 
 @query("no_op", "SELECT * FROM fg", ("fg",))
@@ -206,12 +206,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.region_pixels(labelled(spark, d)).select("image_id", "y", "x", "label")
 
 
-_GEOMETRY = """geometry AS (SELECT image_id, label, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(y * y)::BIGINT AS syy, sum(x * y)::BIGINT AS sxy, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM regions GROUP BY image_id, label)"""
+_GEOMETRY = """geometry AS (SELECT image_id, label, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(y * y)::BIGINT AS syy, sum(x * y)::BIGINT AS sxy, min(x) AS bx, min(y) AS top, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM regions GROUP BY image_id, label)"""
 
 
 @query(
     "region_geometry",
-    f"WITH {_GEOMETRY} SELECT image_id, label, bx, by, width, height, n AS area_exc, round(sx / n, 6) AS x, round(sy / n, 6) AS y, round(sx / n - bx, 6) AS local_centroid_col, round(sy / n - by, 6) AS local_centroid_row, (width * height)::BIGINT AS bounding_box_area, round(n / (width * height), 6) AS extent, round(sqrt(4 * n / pi()), 6) AS equivalent_diameter FROM geometry",
+    f"WITH {_GEOMETRY} SELECT image_id, label, bx, top AS \"by\", width, height, n AS area_exc, round(sx / n, 6) AS x, round(sy / n, 6) AS y, round(sx / n - bx, 6) AS local_centroid_col, round(sy / n - top, 6) AS local_centroid_row, (width * height)::BIGINT AS bounding_box_area, round(n / (width * height), 6) AS extent, round(sqrt(4 * n / pi()), 6) AS equivalent_diameter FROM geometry",
     ("regions",),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # background of each region's box with a margin of one; what the corner reaches by 8-connected steps is outside
-_HOLES = f"""{_GEOMETRY}, cells AS MATERIALIZED (SELECT g.image_id, g.label, ys.v AS y, xs.v AS x, ys.v = by - 1 AND xs.v = bx - 1 AS corner FROM geometry g, range(-1, 10) ys(v), range(-1, 10) xs(v) WHERE ys.v BETWEEN by - 1 AND by + height AND xs.v BETWEEN bx - 1 AND bx + width AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.image_id = g.image_id AND r.label = g.label AND r.y = ys.v AND r.x = xs.v)),
+_HOLES = f"""{_GEOMETRY}, cells AS MATERIALIZED (SELECT g.image_id, g.label, ys.v AS y, xs.v AS x, ys.v = top - 1 AND xs.v = bx - 1 AS corner FROM geometry g, range(-1, 10) ys(v), range(-1, 10) xs(v) WHERE ys.v BETWEEN top - 1 AND top + height AND xs.v BETWEEN bx - 1 AND bx + width AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.image_id = g.image_id AND r.label = g.label AND r.y = ys.v AND r.x = xs.v)),
 outside AS (SELECT image_id, label, y, x FROM cells WHERE corner UNION SELECT c.image_id, c.label, c.y, c.x FROM outside o JOIN cells c ON c.image_id = o.image_id AND c.label = o.label AND abs(c.y - o.y) <= 1 AND abs(c.x - o.x) <= 1),
 holes AS (SELECT image_id, label, y, x FROM cells EXCEPT SELECT * FROM outside)"""
 
@@ -282,7 +282,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "label", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
-_BLUR = f"""{_GEOMETRY}, crop AS (SELECT g.image_id, g.label, y, x, {GRAY} AS c FROM geometry g JOIN bgr p ON p.image_id = g.image_id AND p.y BETWEEN by AND by + height - 1 AND p.x BETWEEN bx AND bx + width - 1),
+_BLUR = f"""{_GEOMETRY}, crop AS (SELECT g.image_id, g.label, y, x, {GRAY} AS c FROM geometry g JOIN bgr p ON p.image_id = g.image_id AND p.y BETWEEN top AND top + height - 1 AND p.x BETWEEN bx AND bx + width - 1),
 sides AS (SELECT *, lag(c) OVER v AS u, lead(c) OVER v AS d, lag(c) OVER w AS l, lead(c) OVER w AS r FROM crop WINDOW v AS (PARTITION BY image_id, label, x ORDER BY y), w AS (PARTITION BY image_id, label, y ORDER BY x)),
 lap AS (SELECT image_id, label, coalesce(u, d, c) + coalesce(d, u, c) + coalesce(l, r, c) + coalesce(r, l, c) - 4 * c AS l FROM sides)"""
 
@@ -320,7 +320,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(before, "image_id").select("image_id", F.concat_ws("_", F.col("image_id").cast("string"), F.col("i").cast("string")).alias("object_id"), (F.col("i") + F.col("before")).alias("object_label"))
 
 
-@query("crop_objects", f"WITH {_KEPT} SELECT k.image_id, k.label, p.y, greatest(bx - 2, 0) AS x0, string_agg(g::VARCHAR, ',' ORDER BY x) AS g FROM kept k JOIN bgr p ON p.image_id = k.image_id AND p.y BETWEEN by - 2 AND by + height + 1 AND p.x BETWEEN bx - 2 AND bx + width + 1 GROUP BY k.image_id, k.label, p.y, bx", ("bgr", "regions"))
+@query("crop_objects", f"WITH {_KEPT} SELECT k.image_id, k.label, p.y, greatest(bx - 2, 0) AS x0, string_agg(g::VARCHAR, ',' ORDER BY x) AS g FROM kept k JOIN bgr p ON p.image_id = k.image_id AND p.y BETWEEN top - 2 AND top + height + 1 AND p.x BETWEEN bx - 2 AND bx + width + 1 GROUP BY k.image_id, k.label, p.y, bx", ("bgr", "regions"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     kept = R.keep_large(R.region_geometry(labelled(spark, d)), MIN_ESD)
     return R.crop_objects(kept, T.scanlines(spark, d), pad=2).select("image_id", "label", "y", "x0", F.array_join(F.transform("g", lambda v: v.cast("string")), ",").alias("g"))

@@ -103,9 +103,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return T.obj(spark, d).select("dataset_id", "i", F.to_json(F.struct("dataset_id", "area", name)).alias("json"))
 
 
-@query("ratio_safe", "SELECT dataset_id, i, round(major / nullif(minor - 20, 0), 6) AS elongation, round(perim / nullif(area_exc - 400, 0), 6) AS per_area FROM obj", ("obj",))
+@query("ratio_safe", "SELECT dataset_id, i, floor(major / nullif(minor - 20, 0) * 1e6 + 0.5::DOUBLE) / 1e6 AS elongation, floor(perim / nullif(area_exc - 400, 0) * 1e6 + 0.5::DOUBLE) / 1e6 AS per_area FROM obj", ("obj",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return T.obj(spark, d).select("dataset_id", "i", F.round(S.ratio_safe(F.col("major"), F.col("minor") - 20), 6).alias("elongation"), F.round(S.ratio_safe(F.col("perim"), F.col("area_exc") - 400), 6).alias("per_area"))
+    six = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
+    return T.obj(spark, d).select("dataset_id", "i", six(S.ratio_safe(F.col("major"), F.col("minor") - 20)).alias("elongation"), six(S.ratio_safe(F.col("perim"), F.col("area_exc") - 400)).alias("per_area"))
 
 
 @query("angle_degrees", "SELECT dataset_id, i, round(atan2(minor, major) / pi() * 180 + 90, 6) AS angle FROM obj", ("obj",))

@@ -9,6 +9,7 @@ from pixelframe.functions.scalars import circularity, ratio_safe
 from pixelframe.operators import mask as M
 from pixelframe.operators import pixels as P
 from pixelframe.operators import regions as R
+from pixelframe.sources.files import stored
 
 #: Measurement columns in the order of the export, ours and the export's where they differ.
 EXPORT_NAMES = {
@@ -36,11 +37,10 @@ def derived_ratios(measured: DataFrame) -> DataFrame:
     )
 
 
-def foreground(lines: DataFrame, flat: DataFrame, h: int, w: int, subtract_previous: bool = False, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Corrected, thresholded and cleaned masks of all images."""
-    grays = P.gray_lines(P.flat_correct(lines, flat, by=by))
-    mask = P.below_threshold(grays, P.triangle_threshold(P.gray_histogram(grays)))
-    return M.mask_pipeline(mask.select(*M.IMAGE, "y", "x"), M.pipeline_names(subtract_previous), h, w)
+def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
+    """Corrected and thresholded masks of all images."""
+    grays = stored(P.gray_lines(P.flat_correct(lines, flat, by=by)), "gray")
+    return P.below_threshold(grays, P.triangle_threshold(P.gray_histogram(grays))).select(*M.IMAGE, "y", "x")
 
 
 def measure(mask: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFrame:
@@ -48,11 +48,11 @@ def measure(mask: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFrame
 
     Everything is kept by (image_id, label), so the joins of measurements need no more than that one partitioning.
     """
-    runs = R.label_regions(M.mask_runs(mask))
-    geometry = R.region_moments(R.object_index(R.keep_large(R.region_geometry(runs), min_esd)))
-    kept = runs.join(geometry.select(*R.REGION), R.REGION, "left_semi")
+    runs = stored(R.label_regions(M.mask_runs(mask)), "runs")
+    geometry = stored(R.region_moments(R.object_index(R.keep_large(R.region_geometry(runs), min_esd))), "regions")
+    kept = stored(runs.join(geometry.select(*R.REGION), R.REGION, "left_semi"), "runs")
     points = R.region_pixels(kept)
-    holes = R.region_holes(kept, geometry)
+    holes = stored(R.region_holes(kept, geometry), "holes")
     filled = kept.select(*R.REGION, "y", "x0", "x1").unionByName(holes)
     out = geometry
     for part in (
@@ -101,25 +101,32 @@ def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float
     """Measure all datasets; a jump of the object count gives the following images a new background.
 
     Epoch 0 uses each dataset's first images. After an epoch, the first trigger of each dataset that is past its last
-    one recalculates the background for later images, which alone are done again. Epochs are few and datasets many,
-    so all datasets go through an epoch together; max_epochs bounds the loop.
+    one recalculates the background for later images, which alone are corrected again. Epochs are few and datasets
+    many, so all datasets go through an epoch together; max_epochs bounds the loop. Each epoch's tables are written.
     """
-    all_images = P.images(lines).withColumn("since", F.lit(-1).cast("long"))
+    lines = stored(lines, "scanlines")
+    all_images = stored(P.images(lines).withColumn("since", F.lit(-1).cast("long")), "images")
     windows = flat_window(P.images(lines))
     first = P.background_images(P.images(lines)).select("image_id")
-    flat = P.median_flat(lines.join(first, "image_id")).withColumn("since", F.lit(-1).cast("long"))
+    flat = stored(P.median_flat(lines.join(first, "image_id")).withColumn("since", F.lit(-1).cast("long")), "flat")
+    todo, masks = all_images, None
     for _ in range(max_epochs):
-        marked = lines.join(all_images.select("image_id", "since"), "image_id")
-        mask = foreground(marked, flat, h, w, subtract_previous, ("dataset_id", "since"))
-        geometry = R.keep_large(R.region_geometry(R.label_regions(M.mask_runs(mask))), min_esd)
-        n = geometry.groupBy("image_id").agg(F.count("*").alias("n"))
-        counts = all_images.join(n, "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        marked = lines.join(todo.select("image_id", "since"), "image_id")
+        # an image's previous mask may be of an earlier epoch
+        mask = stored(foreground(marked, flat, ("dataset_id", "since")), "mask")
+        masks = mask if masks is None else stored(masks.join(todo.select("image_id"), "image_id", "left_anti").select(mask.columns).unionByName(mask), "mask")
+        cleaned = M.mask_pipeline(masks, M.pipeline_names(subtract_previous), h, w)
+        cleaned = stored(cleaned, "cleaned")
+        geometry = R.keep_large(R.region_geometry(R.label_regions(M.mask_runs(cleaned))), min_esd)
+        counts = all_images.join(geometry.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         late = cumulative_trigger(counts, excess).filter("trigger AND seq > since").groupBy("dataset_id").agg(F.min("seq").alias("at"))
         late = late.join(windows, (late["dataset_id"] == windows["dataset_id"]) & (F.col("at") == F.col("seq"))).select(late["dataset_id"], "at", "first_seq", "used").filter("used > 0")
-        late = late.checkpoint() if lines.sparkSession.sparkContext.getCheckpointDir() else late.cache()
+        late = stored(late, "late")  # a row a dataset
         if late.isEmpty():
             break
         fed = lines.join(late, "dataset_id").filter("seq >= first_seq AND seq < first_seq + used").withColumn("since", F.col("at"))
-        flat = flat.unionByName(P.median_flat(fed, by=("dataset_id", "since")))
-        all_images = all_images.join(late.select("dataset_id", "at"), "dataset_id", "left").withColumn("since", F.when(F.col("seq") > F.col("at"), F.col("at")).otherwise(F.col("since"))).drop("at")
-    return measure(mask, lines, min_esd)
+        flat = stored(flat.unionByName(P.median_flat(fed, by=("dataset_id", "since"))), "flat")
+        now = all_images.join(late.select("dataset_id", "at"), "dataset_id", "left")
+        all_images = stored(now.withColumn("since", F.when(F.col("seq") > F.col("at"), F.col("at")).otherwise(F.col("since"))).drop("at"), "images")
+        todo = all_images.join(late.select("dataset_id", "at"), "dataset_id").filter("seq > at").drop("at")
+    return measure(cleaned, lines, min_esd)

@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/files/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """A table written to a new shared folder and read back: computed once, and safe from lost executors."""
+    to = scratch(df.sparkSession, tag)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -67,8 +74,8 @@ def read_metadata_json(spark: SparkSession, root: str, schema: str) -> DataFrame
 
 def read_done_markers(spark: SparkSession, root: str) -> DataFrame:
     """Directories with a done.txt, and the time that it holds."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "done.txt")
-    return read.text(root).select(parent(F.col("_metadata.file_path")).alias("dir"), F.trim("value").alias("at"))
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "done.txt")
+    return read.text(root, wholetext=True).select(parent(F.col("_metadata.file_path")).alias("dir"), F.regexp_replace("value", "\\s+$", "").alias("at"))
 
 
 def read_integrity_ledger(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
@@ -79,8 +86,8 @@ def read_integrity_ledger(spark: SparkSession, root: str, name: str = "*") -> Da
 
 def valid_ledgers(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
     """Paths of ledgers whose first two lines are comments. Each file is one text, of which two lines are looked at."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    return read.text(root).filter(F.col("value").rlike("^#[^\\n]*\\n#")).select(F.col("_metadata.file_path").alias("ledger"))
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    return read.text(root, wholetext=True).filter(F.col("value").rlike("^#[^\\n]*\\n#")).select(F.col("_metadata.file_path").alias("ledger"))
 
 
 def append_integrity(files: DataFrame, to: str) -> None:

@@ -13,15 +13,22 @@ from pixelframe.sources.files import scratch
 
 
 def message_stream(log: DataFrame, parts: int = 4, per_trigger: int = 1) -> DataFrame:
-    """A stream over a message table: the table is laid out as files in the order of time, read a few a trigger.
+    """A stream over a message table: the table is laid out as folders of files in the order of time, read a few a trigger.
 
-    In production the same operators read a broker's topics; a payload column, a topic and a time are all they need.
+    Files are taken by age, so the parts, split at quantiles of time, are written one after the other. In production
+    the same operators read a broker's topics; a payload column, a topic and a time are all they need.
     """
     spark = log.sparkSession
     to = scratch(spark, "messages")
-    log.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(to)
-    schema = spark.read.parquet(to).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(to)
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    cuts = log.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = log if low is None else log.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.mode("append").parquet(to)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", per_trigger).parquet(to)
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -121,7 +128,8 @@ def operating_time(stream: DataFrame) -> DataFrame:
             state.update((opened.value // 1000,))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["device_id", "start", "stop", "seconds"])
+        if out:
+            yield pd.DataFrame(out, columns=["device_id", "start", "stop", "seconds"])
 
     return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, start timestamp, stop timestamp, seconds long", "opened long", "append", GroupStateTimeout.NoTimeout)
 
