@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm.arrow_text import pieces, text_bytes
-from pixelframe.llm.common import written
+from pixelframe.llm.common import partitions, written
 from pixelframe.llm.components import connected
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -188,12 +188,11 @@ def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: s
     return written(narrow.mapInArrow(sign, "doc_id long, node long, keys array<long>"), "nodes")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, weighting: str, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b of nodes) whose texts' shingles have at least the similarity, exactly counted.
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weighting: str, id_col: str, text_col: str) -> DataFrame:
+    """node and codes (sorted distinct hashes of its shingles, as bytes) of the wanted nodes, written: one row a node.
 
-    Only texts of nodes in pairs are read into shingles, one row a node. A pair meets its two sets by joins on a node.
+    With weighting 'count' a shingle's further occurrences are elements of their own.
     """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     named = nodes.join(wanted, "node").select("node", "min_doc")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     texts = texts.select("doc_id", F.xxhash64("_text", F.length("_text")).alias("node_"), "_text")
@@ -203,46 +202,92 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
         shingles = Shingles()
         for piece in pieces(batches, "_text", 2 << 20, 1024):
             of, codes, counts = shingles.sets(_texts(piece))
+            if weighting == "count":
+                nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                of, codes = np.repeat(of, counts), mixed(np.repeat(codes, counts) + nth.astype(np.uint64) * _M3)
+                order = np.lexsort((codes, of))
+                of, codes = of[order], codes[order]
             ends = np.searchsorted(of, np.arange(piece.num_rows + 1)).tolist()
-            rows = [(codes[a:b].tobytes(), counts[a:b].astype(np.int32).tobytes()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "codes", "counts"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([codes[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())], names=["node", "codes"])
+
+    return written(held.mapInArrow(shingled, "node long, codes binary"), "shingles").dropDuplicates(["node"])
+
 
-    sets = written(held.mapInArrow(shingled, "node long, codes binary, counts binary"), "shingles").dropDuplicates(["node"])
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b of nodes) whose sets have at least the similarity, exactly counted."""
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("codes_a", "counts_a", "codes_b", "counts_b")]
-            for ca, na, cb, nb in zip(*cols):
-                ca, cb = (np.frombuffer(x.as_py(), np.uint64) for x in (ca, cb))
-                if weighting == "set" and (min(len(ca), len(cb)) < similarity * max(len(ca), len(cb))):
+            for x, y in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("codes_a", "codes_b"))):
+                ca, cb = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(ca), len(cb)) < similarity * max(len(ca), len(cb)):
                     good.append(False)
                     continue
-                at = np.searchsorted(cb, ca)
-                at[at == len(cb)] = 0
-                both = cb[at] == ca if len(cb) else np.zeros(len(ca), bool)
-                if weighting == "set":
-                    shared, total = int(both.sum()), len(ca) + len(cb)
-                else:
-                    na, nb = (np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in (na, nb))
-                    shared, total = int(np.minimum(na[both], nb[at[both]]).sum()), int(na.sum() + nb.sum())
-                good.append(shared >= similarity * (total - shared) - 1e-9)
+                at = np.minimum(np.searchsorted(cb, ca), len(cb) - 1)
+                shared = int((cb[at] == ca).sum())
+                good.append(shared >= similarity * (len(ca) + len(cb) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("counts").alias(f"counts_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "codes_a", "counts_a", "codes_b", "counts_b").mapInArrow(compared, "a long, b long")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "codes_a", "codes_b").mapInArrow(compared, "a long, b long")
+
+
+def links_to_outsiders(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between outsiders of buckets and members of other components.
 
+    rows: band, key, block, outsider (boolean), node, comp, codes; a block holds a bounded number of a bucket's
+    outsiders and all of its members. A block's outsiders are held as one sorted list of their elements; each member
+    that passes by is compared with all of them at once, exactly. For an outsider and a component one link is enough.
+    """
+    keys = ["band", "key", "block"]
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows: int = 5, weighting: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names, comps, sets, index = None, [], [], [], None
+        for batch in batches:
+            get = [batch.column(batch.schema.get_field_index(c)) for c in (*keys, "outsider", "node", "comp", "codes")]
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                *at, outsider, node, comp, raw = (c[i].as_py() for c in get)
+                if at != group:
+                    group, names, comps, sets, index, seen = at, [], [], [], None, set()
+                codes = np.frombuffer(raw, np.uint64)
+                if outsider:
+                    names.append(node)
+                    comps.append(comp)
+                    sets.append(codes)
+                    continue
+                if index is None:
+                    elements = np.concatenate(sets)
+                    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                    order = np.argsort(elements, kind="stable")
+                    index = elements[order], owner[order], np.array([len(x) for x in sets]), np.array(comps)
+                elements, owner, sizes, of = index
+                left, right = np.searchsorted(elements, codes), np.searchsorted(elements, codes, "right")
+                n = right - left
+                hits = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[hits], minlength=len(sizes))
+                alike = (shared >= similarity * (sizes + len(codes) - shared) - 1e-9) & (of != comp)
+                for k in np.flatnonzero(alike).tolist():
+                    if (k, comp) not in seen:
+                        seen.add((k, comp))
+                        found.append((names[k], node))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    placed = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, F.desc("outsider"))
+    return placed.mapInArrow(compared, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows: int = 5, weighting: str = "set", block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of exact and near copies: components of links between texts with at least the similarity.
 
     Similarity: (weighted) Jaccard of shingles of five words; weighting 'set' gives each distinct shingle weight 1,
     'count' its occurrences. Equal texts are one node from the start. Nodes with an equal band of their DartMinHash
     signatures share a bucket (26 bands of 5 miss a pair of similarity 0.8 once in 30,000). In a bucket all nodes are
-    compared with one leader, exactly, and join its component if they are similar. Nodes left outside the leader's
-    component are leaders in turn, 1, 2, 4, ... of them a round, and are compared with all nodes of the bucket that are
-    in other components, until every pair of a bucket is compared or in one component. So a group of near copies
-    costs a comparison for each of them, not for each pair, and no link that could join two components is left out.
+    compared with one leader, exactly, and join its component if they are similar. The leader is the member whose
+    buckets are the largest, as the original is that others were copied from. Nodes left outside the leader's component
+    are then compared, in blocks, with all members of other components. So a group of near copies costs a comparison
+    for each of them, not a row for each pair, and no link within a bucket that could join two components is left out.
 
     Returns a row an input row: doc_id, class_id (smallest id of the class), class_texts (different texts in it), node
     and class_node (hashes of the text and of the class's text with that id).
@@ -253,34 +298,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, r
     rows_ = text_nodes(docs, bands, rows, weighting, id_col, text_col)
     nodes = written(rows_.filter("keys is not null").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.min("keys").alias("keys")), "nodes")
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader != last")
-    members = written(keyed.join(buckets.drop("last"), ["band", "key"]), "buckets")
-    tested = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(tested, "pairs")
-    links = written(verified(tested, docs, nodes, similarity, weighting, id_col, text_col), "verified")
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(keyed.join(sizes, ["band", "key"]), "buckets")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = members.join(weight, "node").groupBy("band", "key").agg(F.max_by("node", "weight").alias("leader"))
+    members = written(members.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"), "members")
+    pairs = written(members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(docs, nodes, wanted, weighting, id_col, text_col)
+    links = written(verified(pairs, sets, similarity), "verified")
     comps = written(connected(links), "components")
-    turn = 0
-    while True:
-        of = lambda c, name: comps.select(F.col("node").alias(c), F.col("comp").alias(name))
-        if turn == 0:
-            placed = members.join(of("node", "node_comp"), "node", "left").join(of("leader", "leader_comp"), "leader", "left")
-            placed = placed.withColumns({"node_comp": F.coalesce("node_comp", "node"), "leader_comp": F.coalesce("leader_comp", "leader")})
-            outside = placed.filter("node_comp != leader_comp").select("band", "key", "node")
-            outside = written(outside.withColumn("nth", F.row_number().over(Window.partitionBy("band", "key").orderBy("node"))), "outside")
-        first, last = 1 << turn, (1 << turn + 1) - 1
-        turn += 1
-        if not outside.filter(F.col("nth") >= first).limit(1).count():
-            break
-        leaders = outside.filter(F.col("nth").between(first, last)).select("band", "key", F.col("node").alias("a"))
-        pairs = leaders.join(members.select("band", "key", F.col("node").alias("b")), ["band", "key"]).filter("a != b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(of("a", "comp_a"), "a", "left").join(of("b", "comp_b"), "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-        new = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(new)
-        found = written(verified(new, docs, nodes, similarity, weighting, id_col, text_col), "verified")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comps = written(connected(links), "components")
+    of = lambda c, name: comps.select(F.col("node").alias(c), F.col("comp").alias(name))
+    placed = members.join(of("node", "comp"), "node", "left").join(of("leader", "leader_comp"), "leader", "left")
+    placed = placed.select("band", "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp"))
+    placed = written(placed, "placed")
+    # of a bucket of two, the pair is compared already
+    open_ = placed.groupBy("band", "key").agg(F.count_if(F.col("comp") != F.col("leader_comp")).alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 AND n > 2")
+    open_ = written(placed.join(open_, ["band", "key"]), "open")
+    outsiders = open_.filter("comp != leader_comp").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("band", "key").orderBy("node")) - 1) / block).cast("int"))
+    everyone = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_out") - 1) / block).cast("int"))))
+    compared = outsiders.select("band", "key", "block", F.lit(True).alias("outsider"), "node", "comp").unionByName(everyone.select("band", "key", "block", F.lit(False).alias("outsider"), "node", "comp"))
+    more = links_to_outsiders(compared.join(sets, "node").select("band", "key", "block", "outsider", "node", "comp", "codes"), similarity)
+    more = written(more.distinct(), "verified")
+    if more.limit(1).count():
+        comps = written(connected(links.unionByName(more)), "components")
     named = comps.join(nodes.select("node", "min_doc"), "node")
     first = F.min(F.struct(F.col("min_doc").isNull(), F.col("min_doc"), F.col("node"))).alias("first")
     classes = named.groupBy("comp").agg(first, F.count("*").alias("texts"))
