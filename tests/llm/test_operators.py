@@ -252,6 +252,31 @@ def test_chains_find_the_best_rising_match():
     assert chains(a, b, 5)[0] == [0, 1, 3, 4]
 
 
+def test_chains_equal_a_plain_search():
+    for seed in range(60):
+        rng = random.Random(seed)
+        n, most_gap = rng.randrange(1, 80), rng.choice([3, 20, 60])
+        a, b = (np.array(v) for v in zip(*sorted({(rng.randrange(200), rng.randrange(200)) for _ in range(n)})))
+        score = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            near = [s - 0.05 * (x - p + y - q) for s, p, q in zip(score, a.tolist(), b.tolist()) if 0 < x - p <= most_gap and 0 < y - q <= most_gap]
+            score.append(5 + max([0.0, *near]))
+        got = chains(a, b, 5, most_gap=most_gap)
+        assert sorted(x for c in got for x in c) == list(range(len(a)))
+        best = got[0]
+        steps = [(a[q] - a[p], b[q] - b[p]) for p, q in zip(best, best[1:])]
+        assert all(0 < s <= most_gap and 0 < t <= most_gap for s, t in steps)
+        assert abs(5 * len(best) - 0.05 * sum(map(sum, steps)) - max(score)) < 1e-6
+
+
+@pytest.mark.parametrize("apart", [61, 150, 400])
+def test_passages_second_one_of_two_texts(spark, apart):
+    first, second = (prose(s, 100).replace("\n", " ") for s in (70, 71))
+    rows = [(i, f"{first} {prose(72 + i, apart)} {second} {prose(80 + i, 30)}", "en", "a", 1) for i in (0, 1)]
+    got = sorted(map(tuple, repeated_passages(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "start_word", "end_word").collect()))
+    assert got == [(i, s, s + 100) for i in (0, 1) for s in (0, 100 + apart)]
+
+
 def test_passages(spark, empty):
     shared = prose(50, 70).replace("\n", " ")
     near = edited(shared, [35])
