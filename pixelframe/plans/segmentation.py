@@ -97,20 +97,21 @@ def flat_epochs(counts: DataFrame, excess: float = 20) -> DataFrame:
     return cumulative_trigger(counts, excess).withColumn("epoch", F.coalesce(F.sum(F.col("trigger").cast("long")).over(before), F.lit(0)))
 
 
-def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float = 20, max_epochs: int = 8, subtract_previous: bool = False) -> DataFrame:
+def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float = 20, subtract_previous: bool = False) -> DataFrame:
     """Measure all datasets; a jump of the object count gives the following images a new background.
 
     Epoch 0 uses each dataset's first images. After an epoch, the first trigger of each dataset that is past its last
-    one recalculates the background for later images, which alone are corrected again. Epochs are few and datasets
-    many, so all datasets go through an epoch together; max_epochs bounds the loop. Each epoch's tables are written.
+    one recalculates the background at the next image for the images from there on, which alone are corrected again.
+    Epochs are few and datasets many, so all datasets go through an epoch together, until none has another trigger.
+    Each trigger is later than the last, so there are fewer epochs than images. Each epoch's tables are written.
     """
     lines = stored(lines, "scanlines")
-    all_images = stored(P.images(lines).withColumn("since", F.lit(-1).cast("long")), "images")
+    all_images = stored(P.images(lines).withColumns({"since": F.lit(-1).cast("long"), "past": F.lit(-1).cast("long")}), "images")
     windows = flat_window(P.images(lines))
     first = P.background_images(P.images(lines)).select("image_id")
     flat = stored(P.median_flat(lines.join(first, "image_id")).withColumn("since", F.lit(-1).cast("long")), "flat")
     todo, masks = all_images, None
-    for _ in range(max_epochs):
+    while True:
         marked = lines.join(todo.select("image_id", "since"), "image_id")
         # an image's previous mask may be of an earlier epoch
         mask = stored(foreground(marked, flat, ("dataset_id", "since")), "mask")
@@ -119,14 +120,16 @@ def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float
         cleaned = stored(cleaned, "cleaned")
         geometry = R.keep_large(R.region_geometry(R.label_regions(M.mask_runs(cleaned))), min_esd)
         counts = all_images.join(geometry.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        late = cumulative_trigger(counts, excess).filter("trigger AND seq > since").groupBy("dataset_id").agg(F.min("seq").alias("at"))
-        late = late.join(windows, (late["dataset_id"] == windows["dataset_id"]) & (F.col("at") == F.col("seq"))).select(late["dataset_id"], "at", "first_seq", "used").filter("used > 0")
+        late = cumulative_trigger(counts, excess).filter("trigger AND seq > past").groupBy("dataset_id").agg(F.min("seq").alias("at"))
+        late = late.join(windows, (late["dataset_id"] == windows["dataset_id"]) & (F.col("at") + 1 == F.col("seq"))).select(late["dataset_id"], "at", "first_seq", "used").filter("used > 0")
         late = stored(late, "late")  # a row a dataset
         if late.isEmpty():
             break
         fed = lines.join(late, "dataset_id").filter("seq >= first_seq AND seq < first_seq + used").withColumn("since", F.col("at"))
         flat = stored(flat.unionByName(P.median_flat(fed, by=("dataset_id", "since"))), "flat")
         now = all_images.join(late.select("dataset_id", "at"), "dataset_id", "left")
-        all_images = stored(now.withColumn("since", F.when(F.col("seq") > F.col("at"), F.col("at")).otherwise(F.col("since"))).drop("at"), "images")
+        since = F.when(F.col("seq") > F.col("at"), F.col("at")).otherwise(F.col("since"))
+        # the image of a trigger keeps its background, so the dataset's last trigger is told apart from it
+        all_images = stored(now.withColumns({"since": since, "past": F.coalesce("at", "past")}).drop("at"), "images")
         todo = all_images.join(late.select("dataset_id", "at"), "dataset_id").filter("seq > at").drop("at")
     return measure(cleaned, lines, min_esd)

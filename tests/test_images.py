@@ -304,3 +304,37 @@ def test_cumulative_average_is_the_recurrence(spark):
             assert r.trigger == (cma != 0 and n > cma + 20 + 1e-9) or abs(n - cma - 20) < 1e-6
             epoch += r.trigger
             cma = (cma * s + n) / (s + 1)
+
+
+def brute_segment(images, excess, most_epochs):
+    """The feedback image by image, without morphology: foreground pixels, and how many backgrounds were new."""
+    count, first, used, out, counts, epochs = len(images), 0, min(len(images), 10), set(), [], 0
+    used -= used % 2 == 0
+    again = False
+    for i in range(count):
+        if again and epochs < most_epochs:
+            epochs += 1
+            first, stop = (0, 10) if count == 10 else (max(i - 10, 0), i) if i > count - 11 else (i, i + 10)
+            used = 9 if stop - first == 10 else stop - first
+        flat = np.sort(images[first : first + used], axis=0)[used // 2]
+        ratio = np.floor(np.clip(images[i] / flat, 0, 1.04) / 1.04 * 255).astype(int)
+        ratio[0, 0] = 0
+        g = gray_of(ratio)
+        m = g <= triangle(np.bincount(g.ravel(), minlength=256))
+        out |= {(i, int(y), int(x)) for y, x in zip(*np.nonzero(m))}
+        n = brute_labels(m, EIGHT)[1]
+        again = bool(sum(counts)) and n > sum(counts) / len(counts) + excess
+        counts.append(n)
+    return out, epochs
+
+
+def test_background_feedback_goes_on_to_the_last_trigger(spark, monkeypatch):
+    monkeypatch.setattr(M, "mask_pipeline", lambda mask, *_: mask)
+    monkeypatch.setattr(G, "measure", lambda mask, *_: mask)
+    images = np.random.default_rng(5).integers(100, 256, (12, 8, 8, 3))
+    want, epochs = brute_segment(images, -4, 99)
+    assert epochs > 8 and brute_segment(images, -4, 7)[0] != want
+    rows = [(1, k, k, y, 8, 8, *(image[y, :, c].tolist() for c in range(3))) for k, image in enumerate(images) for y in range(8)]
+    lines = spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, w int, h int, b array<int>, g array<int>, r array<int>")
+    got = G.segment(lines, 8, 8, 1, excess=-4).select("image_id", "y", "x").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
