@@ -277,6 +277,24 @@ def test_passages_second_one_of_two_texts(spark, apart):
     assert got == [(i, s, s + 100) for i in (0, 1) for s in (0, 100 + apart)]
 
 
+def test_passages_with_odd_words(spark):
+    rows, where = [], {}
+    for n, (size, every) in enumerate([(60, 20), (60, 10), (100, 20), (100, 10), (200, 10), (200, 8), (200, 7)]):
+        words = prose(300 + n, size).split()
+        other = [f"new{n}x{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        for d, part in ((2 * n, words), (2 * n + 1, other)):
+            before = 30 + 11 * d
+            rows.append((d, f"{prose(400 + d, before)} {' '.join(part)} {prose(500 + d, 40)}", "en", "a", 1))
+            where[d] = (before, before + size, every)
+    got = defaultdict(list)
+    for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.doc_id].append((r.start_word, r.end_word, r.similarity))
+    for d, (start, end, every) in where.items():
+        assert len(got[d]) == 1, d
+        a, b, same = got[d][0]
+        assert start - 2 <= a <= start + every and end - every <= b <= end + 2 and abs(same - (1 - 1 / every)) < 0.04, d
+
+
 def test_passages(spark, empty):
     shared = prose(50, 70).replace("\n", " ")
     near = edited(shared, [35])
