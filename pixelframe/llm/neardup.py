@@ -33,8 +33,8 @@ class Shingles:
         self.size, self.most = size, most_words
         self.known: dict[bytes, int] = {}
 
-    def all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Every run's hash in order, and the text that it is of."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Every word's hash in order, and how many words each text has."""
         import xxhash
 
         cut = [t.split() for t in texts]
@@ -46,8 +46,12 @@ class Shingles:
                 new = words
             self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.uint64, int(sizes.sum()))
-        text = np.repeat(np.arange(len(cut)), sizes)
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.uint64, int(sizes.sum())), sizes
+
+    def all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Every run's hash in order, and the text that it is of."""
+        codes, sizes = self.words(texts)
+        text = np.repeat(np.arange(len(texts)), sizes)
         n, out, of = self.size, [], []
         if len(codes) >= n:
             end = len(codes) - n + 1
