@@ -194,9 +194,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     a text, go to the driver, which fits the model there; scoring is one pass over all texts without an exchange.
 
     Returns id, held_out, score (0 to 1), predicted (1 if score >= threshold). Null text: empty. Empty texts: the score
-    of no features. Ids with several labels: the largest. No labels, or labels of one class: the smoothed share of
+    of no features. Ids with several labels: the largest; with several texts: the one with the smallest hash is learnt
+    from. The same rows give the same scores however they are dealt out. No labels, or labels of one class: the smoothed share of
     label 1 as every score. Null id: not held out. Repeated rows: scored each. Empty table: no rows. Other columns,
-    whatever their names, are ignored.
+    whatever their names, are ignored. Very long texts are read whole.
     """
     rest = lambda c: F.pmod(F.coalesce(F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")), F.lit(0)), F.lit(4))
     sample = (
@@ -208,12 +209,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # the sample's size is bounded by most_examples; so it may be sent to all tasks
-    examples = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_label", "_text")
+    examples = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    examples = examples.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    examples = examples.select(F.xxhash64("_id").alias("_order"), F.col("_id").cast("string").alias("_id"), "_label", "_text")
 
     def features_of(piece: pa.RecordBatch, features: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(features))], names=["_label", "features"])
+        return pa.RecordBatch.from_arrays([*piece.columns[:3], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(features))], names=["_order", "_id", "_label", "features"])
 
-    got = _with_texts(examples, features_of, "_label int, features array<int>").limit(2 * most_examples).toArrow()
+    got = _with_texts(examples, features_of, "_order long, _id string, _label int, features array<int>").toArrow()  # at most most_examples rows
+    # folds and steps follow the order of rows, so it is one that doesn't depend on tasks
+    got = got.sort_by([("_order", "ascending"), ("_id", "ascending")])
     y = got.column("_label").to_numpy()
     lists = [chunk for chunk in got.column("features").chunks if len(chunk)]
     lengths = np.concatenate([c.value_lengths().to_numpy() for c in lists] or [np.zeros(0, np.int64)])

@@ -17,9 +17,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, a local one is made."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="pixelframe-"))
     return root.rstrip("/")
@@ -37,6 +39,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where a table has columns of these names (whatever their case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """Two 64-bit hashes that together tell texts apart: h1 and h2."""
+    return [F.xxhash64(text, F.length(text)).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
+def with_nodes(rows: DataFrame) -> DataFrame:
+    """Rows (h1, h2, ...) of a written table with `node`, one number a text: h1, or a hash of both for the few texts
+    that share h1 with another text.
+    """
+    twins = rows.groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).filter("low != high").select("h1", "low")
+    if twins.isEmpty():
+        return rows.withColumn("node", F.col("h1"))
+    node = F.when(F.col("h2") == F.coalesce("low", "h2"), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))
+    return rows.join(twins, "h1", "left").withColumn("node", node).drop("low")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,9 +6,9 @@ A file is a Parquet folder; a row is a block of documents in ascending id order:
 | --- | --- |
 | part, block | the block's place: blocks in the order (part, block) hold the documents in order |
 | base | ids below it are tokens, from it on rules: symbol base + k is rule k |
-| rules | two unsigned 32-bit symbols a rule, little-endian; a rule names only tokens and earlier rules |
-| lengths | how many tokens each rule expands to, unsigned 32-bit |
-| width, symbols | bytes of a symbol (2 or 4), and the block's symbols, little-endian |
+| n_rules, rules | two symbols a rule, in `width` bits each; a rule names only tokens and earlier rules |
+| span, lengths | how many tokens each rule expands to, in `span` bits each |
+| width, n_symbols, symbols | bits of a symbol, and the block's symbols, the highest bit first |
 | doc_ids | the block's documents |
 | doc_symbols | where each document's symbols begin, with the end of the last |
 | doc_tokens | the same in tokens |
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import new_path, partitions
 from pixelframe.llm.tokens import default_path, encoded
 
-BLOCK_COLUMNS = "part int, block int, base long, rules binary, lengths binary, width int, symbols binary, doc_ids array<long>, doc_symbols array<long>, doc_tokens array<long>, n_tokens long"
+BLOCK_COLUMNS = "part int, block int, base long, n_rules int, rules binary, span int, lengths binary, width int, n_symbols int, symbols binary, doc_ids array<long>, doc_symbols array<long>, doc_tokens array<long>, n_tokens long"
 
 
 @dataclass
@@ -82,37 +82,36 @@ class Grammar:
         return self.expanded(self.symbols[first:last])[start - skipped : stop - skipped]
 
 
-def repair(tokens: np.ndarray, base: int, end: int = 0, rounds: int = 5, most_rules: int = 15_000, least: int = 16) -> Grammar:
-    """Replace frequent pairs by new symbols, the most frequent pairs of all tokens in each round, until pairs are rare.
+def repair(tokens: np.ndarray, base: int, end: int = 0, least: int = 3) -> Grammar:
+    """Replace frequent pairs by new symbols until no pair is found `least` times.
 
-    A round counts every pair (hashed to a table, then exactly for the pairs of frequent slots), makes rules of the
-    most frequent ones and replaces them from left to right without overlap. Pairs with the end id stay as they are.
+    A round counts every pair (hashed to a table, then exactly for the pairs of slots with enough), makes rules of all
+    pairs that are at least about a quarter as frequent as the most frequent one, and replaces them from left to right without
+    overlap; so the most frequent pairs go first, a batch at a time. A pair that is found twice costs more as a rule
+    than it saves, hence `least`. Pairs with the end id stay as they are.
     """
     seq = tokens.astype(np.int64)
+    if len(seq) and (seq.min() < 0 or seq.max() >= base):
+        raise ValueError(f"ids must be from 0 to {base - 1}")
     rules: list[np.ndarray] = []
-    made, bits = 0, 21
-    for step in range(rounds):
-        room = most_rules - made
-        if len(seq) < 2 or room <= 0:
-            break
+    made = 0
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
-        inside = (left != end) & (right != end)
-        keys = left << 20 | right
+        keys = left << 32 | right
+        bits = max(10, min(21, int(len(seq)).bit_length()))
         slot = (keys * -7046029254386353131 >> (64 - bits)) & ((1 << bits) - 1)
-        heavy = (np.bincount(slot[inside], minlength=1 << bits) >= least)[slot]
-        heavy &= inside
-        at = np.flatnonzero(heavy)
-        if not len(at):
-            break
-        found, counts = np.unique(keys[at], return_counts=True)
-        many = np.flatnonzero(counts >= least)
-        if not len(many):
+        inside = (left != end) & (right != end)
+        in_slot = np.bincount(slot[inside], minlength=1 << bits)
+        enough = max(least, int(in_slot.max()) // 4)
+        while True:
+            at = np.flatnonzero((in_slot >= enough)[slot] & inside)
+            found, counts = np.unique(keys[at], return_counts=True)
+            chosen = found[counts >= enough]
+            if len(chosen) or enough == least:
+                break
+            enough = max(least, enough // 2)
+        if not len(chosen):
             break
-        share = room if step == rounds - 1 else max(1, min(room, most_rules // rounds + 1))
-        if len(many) > share:
-            many = many[np.argsort(-counts[many], kind="stable")[:share]]
-        chosen = np.sort(found[many])
-        names = base + made + np.arange(len(chosen))
         place = np.searchsorted(chosen, keys[at])
         place[place == len(chosen)] = 0
         hit = chosen[place] == keys[at]
@@ -123,11 +122,15 @@ def repair(tokens: np.ndarray, base: int, end: int = 0, rounds: int = 5, most_ru
         run_start = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, place = at[take], place[take]
+        # pairs that overlaps leave without a place get no rule
+        used = np.bincount(place, minlength=len(chosen)) > 0
+        names = base + made + np.cumsum(used) - 1
+        chosen = chosen[used]
         seq[at] = names[place]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([chosen >> 20, chosen & ((1 << 20) - 1)], 1))
+        rules.append(np.stack([chosen >> 32, chosen & ((1 << 32) - 1)], 1))
         made += len(chosen)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     sizes = np.zeros(len(pairs), np.int64)
@@ -139,20 +142,34 @@ def repair(tokens: np.ndarray, base: int, end: int = 0, rounds: int = 5, most_ru
     return Grammar(base, pairs, sizes, seq)
 
 
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers below 2**width, width bits each, the highest first."""
+    bits = np.unpackbits(np.ascontiguousarray(numbers.ravel(), ">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(bits[:, 32 - width :]).tobytes()
+
+
+def unpacked(raw: bytes, width: int, n: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
+    full = np.zeros((n, 32), np.uint8)
+    full[:, 32 - width :] = bits
+    return np.packbits(full, axis=1).view(">u4").ravel().astype(np.int64)
+
+
 def _block_row(part: int, block: int, base: int, ids: list[np.ndarray], sizes: list[np.ndarray], doc_ids: list) -> list:
     tokens = np.concatenate(ids)
     grammar = repair(tokens, base)
     doc_tokens = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     starts = np.concatenate([[0], np.cumsum(grammar.spans(grammar.symbols))])
     doc_symbols = np.searchsorted(starts, doc_tokens)
-    width = 2 if base + len(grammar.rules) <= 1 << 16 else 4
-    return [part, block, base, grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), width, grammar.symbols.astype(f"<u{width}").tobytes(), doc_ids, doc_symbols.tolist(), doc_tokens.tolist(), len(tokens)]
+    width = int(base + len(grammar.rules) - 1).bit_length()
+    span = int(grammar.lengths.max(initial=1)).bit_length()
+    return [part, block, base, len(grammar.rules), packed(grammar.rules, width), span, packed(grammar.lengths, span), width, len(grammar.symbols), packed(grammar.symbols, width), doc_ids, doc_symbols.tolist(), doc_tokens.tolist(), len(tokens)]
 
 
 def read_grammar(row: dict) -> Grammar:
     """The grammar of one block's row."""
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-    return Grammar(row["base"], rules, np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["symbols"], f"<u{row['width']}"))
+    n, width = row["n_rules"], row["width"]
+    return Grammar(row["base"], unpacked(row["rules"], width, 2 * n).reshape(-1, 2), unpacked(row["lengths"], row["span"], n), unpacked(row["symbols"], width, row["n_symbols"]))
 
 
 def write_token_files(docs: DataFrame, to: str, tokenizer: str = "byte_bpe_50k.json", vocabulary: int = 50_257, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> None:
@@ -167,7 +184,7 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str = "byte_bpe_50k.j
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("symbols", pa.binary())]
+            [("part", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("n_rules", pa.int32()), ("rules", pa.binary()), ("span", pa.int32()), ("lengths", pa.binary()), ("width", pa.int32()), ("n_symbols", pa.int32()), ("symbols", pa.binary())]
             + [(k, pa.list_(pa.int64())) for k in ("doc_ids", "doc_symbols", "doc_tokens")]
             + [("n_tokens", pa.int64())]
         )

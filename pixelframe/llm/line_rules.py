@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import SPACE, SPACE_CHARS, written
+from pixelframe.llm.common import SPACE, SPACE_CHARS, fresh, written
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -55,9 +55,9 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", covered.cast("long")).drop("_windows")
 
 
-def document_key(doc_id: Column, host: Column, text_hash: Column) -> Column:
-    """What tells documents apart: id, host and text."""
-    return F.xxhash64(doc_id, host.cast("string"), text_hash)
+def document_key(doc_id: Column, host: Column, text: Column) -> Column:
+    """What tells documents apart: two hashes of id, host and text."""
+    return F.struct(F.xxhash64(doc_id, host.cast("string"), text).alias("a"), F.xxhash64(F.lit("second"), text, doc_id, host.cast("string")).alias("b"))
 
 
 def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05, least_left: float = 0.5, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -83,9 +83,9 @@ def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05,
         F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0),
         lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(_words(x)).alias("n")),
     )
-    narrow = text_counts(base.withColumn("text_hash", F.xxhash64("text"))).withColumn("lines", lines).drop("text")
+    narrow = text_counts(base.withColumn("doc", document_key(F.col("doc_id"), F.col("host"), F.col("text")))).withColumn("lines", lines).drop("text")
     narrow = narrow.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    narrow = written(narrow.withColumn("doc", document_key(F.col("doc_id"), F.col("host"), F.col("text_hash"))), "line-counts")
+    narrow = written(narrow, "line-counts")
 
     once = narrow.select("doc", "doc_id", "host", "lines").dropDuplicates(["doc"])
     of_host = once.groupBy("host").agg(F.count("*").alias("host_docs"))
@@ -95,7 +95,7 @@ def line_verdicts(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05,
     often = written(often.select("host", "line", F.col("first.doc").alias("first_doc")), "frequent-lines")
 
     salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"host": "host_", "line": "line_"})
-    rows = once.select("doc", "host", F.inline("lines")).withColumn("row_salt", F.pmod("doc", F.lit(SALTS)))
+    rows = once.select("doc", "host", F.inline("lines")).withColumn("row_salt", F.pmod("doc.a", F.lit(SALTS)))
     cut = (
         rows.join(salted, (rows["line"] == salted["line_"]) & (rows["row_salt"] == salted["salt"]) & rows["host"].eqNullSafe(salted["host_"]) & (rows["doc"] != salted["first_doc"]))
         .groupBy("doc")
@@ -125,12 +125,13 @@ def without_cut_lines(text: Column, cut_lines: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The documents that line_verdicts keeps, without their cut lines; columns as before.
+    """The documents that line_verdicts keeps, without their cut lines; columns as before, whatever their names.
 
-    Only documents that change (rejected, or with lines to cut) are joined back, by document_key.
+    Only documents that change (rejected, or with lines to cut) are joined back, by document_key. Null and empty texts
+    have too few words and go; very long ones are judged whole. Repeated rows share a verdict. Empty table: no rows.
     """
+    key, kept, cut = fresh(docs, "_key", "_kept", "_cut")
     changes = line_verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
-    changes = changes.filter(~F.col("kept") | F.col("cut_lines").isNotNull()).select("doc_key", F.col("kept").alias("_kept"), F.col("cut_lines").alias("_cut")).dropDuplicates(["doc_key"])
-    key = document_key(F.col(id_col), F.col(host_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    marked = docs.withColumn("_key", key).join(changes, F.col("_key") == F.col("doc_key"), "left").filter(F.coalesce("_kept", F.lit(True)))
-    return marked.withColumn(text_col, without_cut_lines(F.col(text_col), F.col("_cut"))).select(*docs.columns)
+    changes = changes.filter(~F.col("kept") | F.col("cut_lines").isNotNull()).select(F.col("doc_key").alias(key), F.col("kept").alias(kept), F.col("cut_lines").alias(cut)).dropDuplicates([key])
+    marked = docs.withColumn(key, document_key(F.col(id_col), F.col(host_col), F.coalesce(F.col(text_col), F.lit("")))).join(changes, key, "left").filter(F.coalesce(kept, F.lit(True)))
+    return marked.withColumn(text_col, without_cut_lines(F.col(text_col), F.col(cut))).select(*[F.col(f"`{c}`") for c in docs.columns])

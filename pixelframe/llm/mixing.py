@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import ranked, word_count, written
+from pixelframe.llm.common import fresh, ranked, word_count, written
 
 #: Rates are kept as whole millionths, so sums don't depend on the order of rows.
 UNIT = 1_000_000
@@ -15,30 +15,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """Targets of sources, given has_source, src and total (long) of each: one row a source.
 
     Sources by code point, null last, weigh as weights say, repeating. All sizes together are shared by weight; a
-    target stops at `most` times its source's size, and the excess is shared again until none is above. That ends at
-    target = min(most * size, weight * level) for one level, found here from the sources in the order in which they
-    reach their stop. Sources are a dimension: their table, not that of documents, is ordered in one task.
+    target stops at `most` times its source's size, and the excess is shared again until none is above. So a target is
+    min(most * size, weight * level); each round of sharing is an aggregation that gives the next level.
     """
-    order = Window.orderBy(F.desc("has_source"), "src")
-    n = len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    by_stop = Window.orderBy("stop_at", F.desc("has_source"), "src")
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("stop_at", most * F.col("total") / F.col("weight"))
-        .withColumns(
-            {
-                "stopped": F.coalesce(F.sum(most * F.col("total")).over(by_stop.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-                "left_weight": F.sum("weight").over(by_stop.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-                "everything": F.sum("total").over(Window.partitionBy()),
-            }
-        )
-        # the level if exactly the sources before this one stop
-        .withColumn("level_here", (F.col("everything") - F.col("stopped")) / F.col("left_weight"))
-        .withColumn("level", F.coalesce(F.min(F.when(F.col("level_here") <= F.col("stop_at"), F.struct("stop_at", "level_here"))).over(Window.partitionBy())["level_here"], F.lit(0.0)))
-        .withColumn("target", F.least(F.col("level") * F.col("weight"), most * F.col("total").cast("double")))
-        .select("has_source", "src", "total", "target")
-    )
+    placed, n = ranked(sizes, [F.desc("has_source"), F.col("src")], "sources", "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = written(placed.withColumn("weight", weight), "weights")
+    level, stopped, everything = 0.0, -1, int(sizes.agg(F.sum("total")).first()[0] or 0)
+    while n:
+        stops = F.col("weight") * level >= most * F.col("total")
+        r = weighed.agg(F.count_if(stops).alias("n"), F.sum(F.when(stops, most * F.col("total")).otherwise(0)).alias("taken"), F.sum(F.when(stops, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+        if r["n"] == stopped or not r["free"]:
+            break
+        level, stopped = (everything - r["taken"]) / r["free"], r["n"]
+    return weighed.select("has_source", "src", "total", F.least(F.col("weight") * level, most * F.col("total").cast("double")).alias("target"))
 
 
 def _tilted(tilt: Column, size: Column, scale: Column, most: int) -> Column:
@@ -46,17 +36,21 @@ def _tilted(tilt: Column, size: Column, scale: Column, most: int) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), tilt * size / scale)))
 
 
-def solve_tilts(cells: DataFrame, targets: DataFrame, most: int, rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
+def solve_tilts(cells: DataFrame, targets: DataFrame, most: int, tolerance: float = 1e-7) -> DataFrame:
     """One tilt a source by Newton steps on the dual, each step one aggregation over all cells.
 
     The dual's gradient is tokens taken minus target; with log tokens it is close to a line in the tilt, so few steps
-    do. Every step keeps a bracket of the root and halves it where Newton would leave it. A step's state is one row a
-    source, written to the shared folder. Sources whose target is their stop, or nothing, need no tilt.
+    do. Every step keeps a bracket of the root and halves it where Newton would leave it, and at every third step in any
+    case, so steps end: when all targets are met, or when no tilt between two that are told apart meets the one left
+    (rounding makes up for that). A step's state is one row a source, written to the shared folder. Sources whose target
+    is their stop, or nothing, need no tilt.
     """
     scale = cells.groupBy("has_source", "src").agg((F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
     state = targets.join(scale, ["has_source", "src"]).withColumns({"tilt": F.lit(0.0), "low": F.lit(-60.0), "high": F.lit(60.0), "off": F.lit(1.0)})
     state = written(state.withColumn("free", (F.col("target") > 0) & (F.col("target") < most * F.col("total") * (1 - 1e-12))), "tilt")
-    for _ in range(rounds):
+    step = 0
+    while True:
+        step += 1
         rate = _tilted(F.col("tilt"), F.col("size"), F.col("scale"), most)
         tokens = F.col("size") * F.col("n") * rate
         slope = F.when(rate < most, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
@@ -69,13 +63,12 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: int, rounds: int = 4
         stepped = (
             state.join(sums, ["has_source", "src"], "left")
             .withColumns({"gap": gap, "low_": low, "high_": high})
-            .withColumn("next", F.when(F.abs("gap") < tolerance, F.col("tilt")).when(inside, newton).otherwise((F.col("low_") + F.col("high_")) / 2))
+            .withColumn("next", F.when(F.abs("gap") < tolerance, F.col("tilt")).when(inside & F.lit(step % 3 > 0), newton).otherwise((F.col("low_") + F.col("high_")) / 2))
             .select("has_source", "src", "total", "target", "scale", F.when(F.col("free"), F.round("next", 10)).otherwise(0.0).alias("tilt"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.coalesce(F.when(F.col("free"), F.abs("gap")), F.lit(0.0)).alias("off"), "free")
         )
         state = written(stepped, "tilt")
-        if (state.agg(F.max("off").alias("off")).first()["off"] or 0.0) < tolerance:
-            break
-    return state
+        if state.filter((F.col("off") >= tolerance) & (F.col("high") - F.col("low") > 1e-9)).isEmpty():
+            return state
 
 
 def copies_of_cells(cells: DataFrame, tilts: DataFrame, most: int, repairs: int = 3) -> DataFrame:
@@ -147,11 +140,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     whole = copies_of_cells(cells, solve_tilts(cells, targets, most), most)
     # places of documents in the order of cells tell which of a cell come first; no cell is gathered in one task
     placed, _ = ranked(narrow, [F.desc("has_source"), F.col("src"), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id")], "mixed")
-    in_source = Window.partitionBy("has_source", "src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    counts = whole.groupBy("has_source", "src").agg(F.sum("n").alias("docs"))
-    before = counts.withColumn("source_start", F.coalesce(F.sum("docs").over(Window.orderBy(F.desc("has_source"), "src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("docs")
-    starts = whole.withColumn("cell_start", F.coalesce(F.sum("n").over(in_source), F.lit(0))).join(before, ["has_source", "src"])
-    copies = F.col("each") + F.when(F.col("global_rank") - F.col("source_start") - F.col("cell_start") < F.col("extra"), 1).otherwise(0)
+    cell = ["has_source", "src", "size"]
+    starts = whole.join(placed.groupBy(*cell).agg(F.min("global_rank").alias("cell_start")), cell)
+    copies = F.col("each") + F.when(F.col("global_rank") - F.col("cell_start") < F.col("extra"), 1).otherwise(0)
     return placed.join(starts, ["has_source", "src", "size"]).select(
         "doc_id",
         "size",
@@ -164,11 +155,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents as often as mix_sources takes them; columns as before. Rows alike in id, source and size, if a
-    table has such, are taken as often as the one of them with the most copies.
+    """The documents as often as mix_sources takes them; columns as before, whatever their names. Rows alike in id,
+    source and size, if a table has such, are taken as often as the one of them with the most copies.
+
+    Null and empty texts follow the rate of no words: once, or as often as all others in a source that is taken as
+    often as it may be. Very long texts are counted whole. Empty table: no rows.
     """
     rates = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = rates.filter("copies != 1").groupBy(F.xxhash64("doc_id", F.col("source"), "size").alias("_mix_key")).agg(F.max("copies").alias("_copies"))
-    key = F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), word_count(F.col(text_col)))
-    taken = docs.withColumn("_key", key).join(copies, F.col("_key") == F.col("_mix_key"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, copies, copy = fresh(docs, "_mix_key", "_copies", "_copy")
+    of = lambda doc_id, source, size: F.struct(F.xxhash64(doc_id, source, size).alias("a"), F.xxhash64(size, source, doc_id).alias("b"))
+    taken = rates.groupBy(of(F.col("doc_id"), F.col("source"), F.col("size")).alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) != 1)
+    marked = docs.withColumn(key, of(F.col(id_col), F.col(source_col).cast("string"), word_count(F.col(text_col)))).join(taken, key, "left")
+    marked = marked.withColumn(copies, F.coalesce(copies, F.lit(1))).filter(F.col(copies) > 0)
+    return marked.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

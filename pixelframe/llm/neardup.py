@@ -8,11 +8,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.llm.arrow_text import pieces, text_bytes
-from pixelframe.llm.common import partitions, written
+from pixelframe.llm.common import fresh, partitions, text_hashes, with_nodes, written
 from pixelframe.llm.components import connected
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -171,9 +171,9 @@ def _texts(piece: pa.RecordBatch) -> list[bytes]:
 
 
 def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (hash of the text), and the keys of its bands (null for texts without words), written."""
+    """doc_id, h1 and h2 (hashes of the text), node, and the keys of its bands (null for texts without words), written."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    narrow = narrow.select("doc_id", F.xxhash64("_text", F.length("_text")).alias("node"), "_text")
+    narrow = narrow.select("doc_id", *text_hashes(F.col("_text")), "_text")
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, darts = Shingles(), Darts(bands * rows)
@@ -187,9 +187,9 @@ def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: s
             for r in range(rows):
                 h = mixed((h ^ sig[:, :, r]) * _M3 + np.uint64(r))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(h.astype(np.int64).ravel()), mask=pa.array(np.bincount(of, minlength=n) == 0))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), keys], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], keys], names=["doc_id", "h1", "h2", "keys"])
 
-    return written(narrow.mapInArrow(sign, "doc_id long, node long, keys array<long>"), "nodes")
+    return with_nodes(written(narrow.mapInArrow(sign, "doc_id long, h1 long, h2 long, keys array<long>"), "nodes"))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weighting: str, id_col: str, text_col: str) -> DataFrame:
@@ -197,10 +197,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weighting
 
     With weighting 'count' a shingle's further occurrences are elements of their own.
     """
-    named = nodes.join(wanted, "node").select("node", "min_doc")
+    named = nodes.join(wanted, "node").select("node", "h1", "h2", "min_doc")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.select("doc_id", F.xxhash64("_text", F.length("_text")).alias("node_"), "_text")
-    held = texts.join(named, (F.col("node_") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("min_doc"))).select("node", "_text")
+    texts = texts.select("doc_id", *text_hashes(F.col("_text")), "_text")
+    held = texts.join(named, (texts["h1"] == named["h1"]) & (texts["h2"] == named["h2"]) & F.col("doc_id").eqNullSafe(F.col("min_doc"))).select("node", "_text")
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -261,6 +261,8 @@ def links_to_outsiders(rows: DataFrame, similarity: float) -> DataFrame:
                     comps.append(comp)
                     sets.append(codes)
                     continue
+                if not sets:
+                    continue  # no outsider fell into this block
                 if index is None:
                     elements = np.concatenate(sets)
                     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -282,25 +284,26 @@ def links_to_outsiders(rows: DataFrame, similarity: float) -> DataFrame:
     return placed.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows: int = 5, weighting: str = "set", block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, rows: int = 5, weighting: str = "count", block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of exact and near copies: components of links between texts with at least the similarity.
 
-    Similarity: (weighted) Jaccard of shingles of five words; weighting 'set' gives each distinct shingle weight 1,
-    'count' its occurrences. Equal texts are one node from the start. Nodes with an equal band of their DartMinHash
+    Similarity: weighted Jaccard of shingles of five words; weighting 'count' gives each distinct shingle the number of
+    its occurrences as its weight, 'set' 1. Equal texts are one node from the start. Nodes with an equal band of their DartMinHash
     signatures share a bucket (26 bands of 5 miss a pair of similarity 0.8 once in 30,000). In a bucket all nodes are
     compared with one leader, exactly, and join its component if they are similar. The leader is the member whose
     buckets are the largest, as the original is that others were copied from. Nodes left outside the leader's component
     are then compared, in blocks, with all members of other components. So a group of near copies costs a comparison
     for each of them, not a row for each pair, and no link within a bucket that could join two components is left out.
 
-    Returns a row an input row: doc_id, class_id (smallest id of the class), class_texts (different texts in it), node
-    and class_node (hashes of the text and of the class's text with that id).
+    Returns a row an input row: doc_id, class_id (smallest id of the class), class_texts (different texts in it),
+    class_links (pairs of them that were compared and are alike, which join the class), links (those of this text),
+    h1 and h2 (hashes of the text), and first_h1 and first_h2 (those of the class's text with that id).
     Texts without words (null, empty): of one class only where the id is equal too. Null ids: a class is named by its
-    smallest id that isn't null, null if there is none. Repeated rows: each is returned. Empty table: no rows. Other
-    columns, whatever their names, are ignored.
+    smallest id that isn't null, null if there is none. Repeated rows: each is returned. Empty table: no rows. Very
+    long texts are taken whole. Other columns, whatever their names, are ignored.
     """
     rows_ = text_nodes(docs, bands, rows, weighting, id_col, text_col)
-    nodes = written(rows_.filter("keys is not null").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.min("keys").alias("keys")), "nodes")
+    nodes = written(rows_.filter("keys is not null").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min("keys").alias("keys")), "nodes")
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(keyed.join(sizes, ["band", "key"]), "buckets")
@@ -319,35 +322,58 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 26, r
     # of a bucket of two, the pair is compared already
     open_ = placed.groupBy("band", "key").agg(F.count_if(F.col("comp") != F.col("leader_comp")).alias("n_out"), F.count("*").alias("n")).filter("n_out > 0 AND n > 2")
     open_ = written(placed.join(open_, ["band", "key"]), "open")
-    outsiders = open_.filter("comp != leader_comp").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("band", "key").orderBy("node")) - 1) / block).cast("int"))
-    everyone = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_out") - 1) / block).cast("int"))))
+    # blocks get about equal shares of a bucket's outsiders by a hash, so no bucket is numbered in one task
+    blocks = F.ceil(F.col("n_out") / block).cast("int")
+    outsiders = open_.filter("comp != leader_comp").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    everyone = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     compared = outsiders.select("band", "key", "block", F.lit(True).alias("outsider"), "node", "comp").unionByName(everyone.select("band", "key", "block", F.lit(False).alias("outsider"), "node", "comp"))
     more = links_to_outsiders(compared.join(sets, "node").select("band", "key", "block", "outsider", "node", "comp", "codes"), similarity)
     more = written(more.distinct(), "verified")
-    if more.limit(1).count():
-        comps = written(connected(links.unionByName(more)), "components")
-    named = comps.join(nodes.select("node", "min_doc"), "node")
-    first = F.min(F.struct(F.col("min_doc").isNull(), F.col("min_doc"), F.col("node"))).alias("first")
-    classes = named.groupBy("comp").agg(first, F.count("*").alias("texts"))
-    classes = named.select("node", "comp").join(classes, "comp").select("node", F.col("first.min_doc").alias("class_doc"), F.col("first.node").alias("class_node"), "texts")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = written(connected(links), "components")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("node"))
+    of_text = ends.groupBy("node").agg(F.count("*").alias("links"))
+    comps = comps.join(of_text, "node", "left")
+    named = comps.join(nodes.select("node", "min_doc", "h1", "h2"), "node")
+    first = F.min(F.struct(F.col("min_doc").isNull(), F.col("min_doc"), F.col("h1"), F.col("h2"))).alias("first")
+    classes = named.groupBy("comp").agg(first, F.count("*").alias("texts"), (F.sum("links") / 2).cast("long").alias("class_links"))
+    classes = named.select("node", "comp", "links").join(classes, "comp").select("node", F.col("first.min_doc").alias("class_doc"), F.col("first.h1").alias("c1"), F.col("first.h2").alias("c2"), "texts", "class_links", "links")
+    none = F.lit(0).cast("long")
     alone = (
-        nodes.select("node", F.col("min_doc").alias("own"))
+        nodes.select("node", F.col("min_doc").alias("own"), "h1", "h2")
         .join(classes, "node", "left")
-        .select("node", F.coalesce("class_doc", "own").alias("class_id"), F.coalesce("texts", F.lit(1)).alias("class_texts"), F.coalesce("class_node", "node").alias("class_node"))
+        .select(
+            "node",
+            F.coalesce("class_doc", "own").alias("class_id"),
+            F.coalesce("texts", F.lit(1)).alias("class_texts"),
+            F.coalesce("class_links", none).alias("class_links"),
+            F.coalesce("links", none).alias("links"),
+            F.coalesce("c1", "h1").alias("first_h1"),
+            F.coalesce("c2", "h2").alias("first_h2"),
+        )
     )
-    worded = rows_.filter("keys is not null").select("doc_id", "node").join(alone, "node").select("doc_id", "class_id", "class_texts", "node", "class_node")
-    plain = rows_.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_texts"), "node", F.col("node").alias("class_node"))
+    out = ["doc_id", "class_id", "class_texts", "class_links", "links", "h1", "h2", "first_h1", "first_h2"]
+    worded = rows_.filter("keys is not null").select("doc_id", "node", "h1", "h2").join(alone, "node").select(*out)
+    plain = rows_.filter("keys is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_texts"), none.alias("class_links"), none.alias("links"), "h1", "h2", F.col("h1").alias("first_h1"), F.col("h2").alias("first_h2"))
     return worded.unionByName(plain)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class of near_duplicates: the one with the class's id and text, once; columns as before."""
+    """One document of each class of near_duplicates: the one with the class's id and text, once; columns as before.
+
+    Null and empty texts stay, once for each id; of repeated rows one stays; very long texts are compared whole. Columns
+    may have any names. Empty table: no rows.
+    """
     rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
-    told = written(rows.select(F.xxhash64("doc_id", "node").alias("row_key"), stays.alias("stays")), "classes")
-    gone = told.filter("not stays").select("row_key").distinct()
-    key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(F.coalesce(F.col(text_col), F.lit("")))))
-    left = docs.withColumn("_row_key", key).join(gone, F.col("_row_key") == F.col("row_key"), "left_anti")
-    if told.filter("stays").groupBy("row_key").count().filter("count > 1").limit(1).count():
-        left = left.dropDuplicates(["_row_key"])  # repeated rows: one stays
-    return left.select(*docs.columns)
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h1") == F.col("first_h1")) & (F.col("h2") == F.col("first_h2"))
+    told = written(rows.select(F.struct("doc_id", "h1", "h2").alias("row"), stays.alias("stays")), "classes")
+    (key,) = fresh(docs, "_row")
+    gone = told.filter("not stays").select(F.col("row").alias(key)).distinct()
+    hashes = text_hashes(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("doc_id"), *hashes))
+    # ids may be null, which equal nothing in a join of structs' fields, but equal each other in structs
+    left = left.join(gone, key, "left_anti")
+    if not told.filter("stays").groupBy("row").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([key])  # repeated rows: one stays
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,7 +40,7 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "class_node")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_texts", "class_links", "links")
 
 
 def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

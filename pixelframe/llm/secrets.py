@@ -51,7 +51,8 @@ MORE_RULES = (
 #: A query: all of its clauses hold; a clause: one of its alternatives holds; an alternative: all of its trigrams occur.
 Query = list[list[frozenset[bytes]]]
 
-_parser = re._parser  # the standard library's own parse trees
+#: The standard library's own parse trees: not public, but the same since Python 3.11; a test walks every kind of node.
+_parser = re._parser
 
 
 def trigram_query(pattern: str, most_strings: int = 64) -> Query:
@@ -146,10 +147,10 @@ class TrigramIndex:
     def __init__(self, rules: tuple[Rule, ...]):
         self.queries = [trigram_query(r.pattern) for r in rules]
         names = sorted({t for q in self.queries for clause in q for alternative in clause for t in alternative})
-        if len(names) > 255:
-            raise ValueError("the rules name over 255 trigrams")
+        if len(names) >= 1 << 16:
+            raise ValueError("the rules name over 65,535 trigrams")
         self.slots = {t: k + 1 for k, t in enumerate(names)}
-        self.slot_of = np.zeros(1 << 24, np.uint8)
+        self.slot_of = np.zeros(1 << 24, np.uint16 if len(names) > 255 else np.uint8)
         for t, k in self.slots.items():
             self.slot_of[t[0] << 16 | t[1] << 8 | t[2]] = k
         self.lower = np.arange(256, dtype=np.uint8)
@@ -248,8 +249,15 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> str:
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with every secret in the text replaced by a mark; columns as before. Null texts stay null."""
-    others = tuple(c for c in docs.columns if c != text_col)
-    named = docs.withColumn("_null_text", F.col(text_col).isNull())
-    clean = secret_spans(named, text_col=text_col, keep=(*others, "_null_text"), redact_to="_clean")
-    return clean.withColumn(text_col, F.when(~F.col("_null_text"), F.col("_clean"))).select(*docs.columns)
+    """The documents with every secret in the text replaced by a mark; columns as before, whatever their names.
+
+    Null texts stay null; empty and very long ones are scanned whole. Repeated rows: each is returned. Empty table: no
+    rows.
+    """
+    # the operator sees columns of its own names only
+    others = [c for c in docs.columns if c != text_col]
+    own = [f"_kept_{k}" for k in range(len(others))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(others, own)], F.col(text_col).alias("_whole"), F.col(text_col).isNull().alias("_no_text"))
+    clean = secret_spans(named, text_col="_whole", keep=(*own, "_no_text"), redact_to="_clean")
+    back = dict(zip(others, own))
+    return clean.select(*[F.when(~F.col("_no_text"), F.col("_clean")).alias(c) if c == text_col else F.col(back[c]).alias(c) for c in docs.columns])

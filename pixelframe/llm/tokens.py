@@ -37,15 +37,19 @@ class WordCache:
     Both kinds of tokenizer here end a pre-token wherever white space begins after other characters, so a text falls
     into segments (white space, then a word) that don't influence each other. Segments recur; their ids are kept, a
     bounded number of them. Byte-level texts with white space beyond ASCII are one segment, since a run of it could be
-    cut in two otherwise.
+    cut in two otherwise, and so are texts that hold the string of a special token, which is that token's id as the
+    tokenizer encodes it by itself. With special_as_text such strings are ordinary text.
     """
 
-    def __init__(self, path: str, most_words: int = 1_200_000, longest: int = 64):
+    def __init__(self, path: str, most_words: int = 1_200_000, longest: int = 64, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # any case, as some tokenizers look for them in lowered texts
+        self.special = re.compile("|".join(map(re.escape, names)).encode(), re.IGNORECASE) if names else None
         pre = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}).get("type")
         self.kind = {"ByteLevel": "spaced", "Sequence": "words"}.get(pre, "whole")
         self.model = self.tokenizer.model
@@ -69,8 +73,12 @@ class WordCache:
         if self.kind != "whole":
             space = self.space[data]
             start[1:] = space[1:] & ~space[:-1]
+        raw = data.tobytes()
+        if self.special and self.special.search(raw):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                if self.special.search(raw, a, b):
+                    start[a:b] = False
         if self.kind == "spaced":
-            raw = data.tobytes()
             if any(h in raw for h in _WIDE_HINTS):
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     text = raw[a:b]

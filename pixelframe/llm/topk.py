@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import partitions, written
 
 BINS = 256
-#: A task adds up the histograms of this many candidate blocks before it passes them on.
+#: A task adds up the histograms of this many candidate blocks before it passes them on, and then of as many sums.
 CHUNK = 64
 
 
 def _matrix(row: dict, ids: str, data: str) -> tuple[np.ndarray, np.ndarray]:
     ids_ = np.frombuffer(row[ids], np.int64)
-    return ids_, np.frombuffer(row[data], np.int64).reshape(len(ids_), -1)
+    raw = row[data]
+    return ids_, np.frombuffer(raw, f"i{len(raw) // (len(ids_) * row['dims'])}").reshape(len(ids_), -1).astype(np.int64)
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
 
     Returns query_id, rank (from 1), vec_id, score; all candidates where there are fewer than k. Vectors null or with
     null, NaN or infinite components take no part, neither do null ids; shorter vectors count as filled up with
-    zeros. Repeated rows are candidates each. Empty table: no rows. Other columns, whatever their names, are ignored.
+    zeros. Components are kept in two bytes where they fit, else in four or eight. Repeated rows are candidates each. Empty table: no rows. Other columns, whatever their names, are ignored.
     """
     spark = vectors.sparkSession
     usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("vec_id").isNotNull()
@@ -67,6 +68,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     if not facts["n"] or not facts["queries"]:
         return spark.createDataFrame([], schema)
     dims = max(1, facts["dims"])
+    largest = int(whole.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0)
+    width = next(w for w in (2, 4, 8) if largest < 1 << (8 * w - 1))  # bytes that hold a component
     n_blocks, n_query_blocks = -(-facts["n"] // block), -(-facts["queries"] // query_block)
 
     def packed(rows: DataFrame, number: int, name: str) -> DataFrame:
@@ -76,13 +79,13 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
             lengths = lists.value_lengths().to_numpy()
             full = np.zeros((len(order), dims), np.int64)
             full[np.arange(dims) < lengths[:, None]] = lists.flatten().to_numpy()
-            return pa.table({f"{name}_block": [table["b"][0].as_py()], f"{name}_ids": [table["vec_id"].to_numpy()[order].tobytes()], f"{name}_data": [full[order].tobytes()]}, schema=pa.schema([(f"{name}_block", pa.int32()), (f"{name}_ids", pa.binary()), (f"{name}_data", pa.binary())]))
+            return pa.table({f"{name}_block": [table["b"][0].as_py()], f"{name}_ids": [table["vec_id"].to_numpy()[order].tobytes()], f"{name}_data": [full[order].astype(f"i{width}").tobytes()]}, schema=pa.schema([(f"{name}_block", pa.int32()), (f"{name}_ids", pa.binary()), (f"{name}_data", pa.binary())]))
 
         # blocks get equal shares of rows whatever the ids are
         return rows.withColumn("b", F.pmod(F.xxhash64("spot"), F.lit(number)).cast("int")).groupBy("b").applyInArrow(pack, f"{name}_block int, {name}_ids binary, {name}_data binary")
 
     candidates = written(packed(whole, n_blocks, "c"), "candidates")
-    queries = written(packed(whole.filter(F.col("vec_id") % every == 0), n_query_blocks, "q"), "queries")
+    queries = written(packed(whole.filter(F.col("vec_id") % every == 0), n_query_blocks, "q").withColumn("dims", F.lit(dims)), "queries")
     each = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("chunk", F.floor(F.col("c_block") / CHUNK).cast("int"))
 
     # the first range of every query: no score is larger than the product of the largest components, dims times
@@ -93,8 +96,6 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
             width = top // (BINS // 2) + 1  # BINS of them hold -top to top
             yield _state(row["q_block"], ids, -top, top + 1, width, np.zeros_like(top))
 
-    largest = int(whole.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0)
-
     def _state(q_block: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray, width: np.ndarray, above: np.ndarray) -> pa.RecordBatch:
         """Ranges [low, high) of a block's queries in bins of a width, and how many scores are above them."""
         columns = [pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (low, high, width, above)]
@@ -104,14 +105,14 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Histograms of the scores within each query's range, added up over a task's pairs of one query block."""
-        held, total = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["q_block", "counts"])
+        held, chunk, total = None, 0, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["q_block", "chunk", "counts"])
         for row in _rows(batches):
             q_ids, _, scores = _scores(row)
-            if held != row["q_block"]:
+            if (held, chunk) != (row["q_block"], row["chunk"]):
                 if held is not None:
                     yield out()
-                held, total = row["q_block"], np.zeros((len(q_ids), BINS), np.int64)
+                held, chunk, total = row["q_block"], row["chunk"], np.zeros((len(q_ids), BINS), np.int64)
             low, high, width = (np.frombuffer(row[x], np.int64)[:, None] for x in ("low", "high", "width"))
             inside = (scores >= low) & (scores < high)
             # differences may need all 64 bits
@@ -121,6 +122,30 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
         if held is not None:
             yield out()
 
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of histograms of one query block, over the chunks that a task gets one after the other."""
+        held, total = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["q_block", "chunk", "counts"])
+        for row in _rows(batches):
+            counts = np.frombuffer(row["counts"], np.int64)
+            if held == (row["q_block"], row["chunk"]):
+                total = total + counts
+                continue
+            if held is not None:
+                yield out()
+            held, total = (row["q_block"], row["chunk"]), counts
+        if held is not None:
+            yield out()
+
+    def summed(sums: DataFrame) -> DataFrame:
+        """Histograms added up level by level, so no task reads more than CHUNK of a query block's in the end."""
+        left = -(-n_blocks // CHUNK)
+        while left > CHUNK:
+            sums = sums.withColumn("chunk", F.floor(F.col("chunk") / CHUNK).cast("int"))
+            sums = sums.repartition(tasks, "q_block", "chunk").sortWithinPartitions("q_block", "chunk").mapInArrow(added, "q_block int, chunk int, counts binary")
+            left = -(-left // CHUNK)
+        return sums
+
     def narrowed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The next range of each query: the bin that holds its k-th score from above."""
         low, high, width, above = (np.frombuffer(right[x][0].as_py(), np.int64) for x in ("low", "high", "width", "above"))
@@ -139,12 +164,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
 
     def pairs(now: DataFrame) -> DataFrame:
         dealt = each.join(queries.join(now.drop("widest"), "q_block"), "q_block")
-        return dealt.repartition(tasks, "q_block", "chunk").sortWithinPartitions("q_block")
+        return dealt.repartition(tasks, "q_block", "chunk").sortWithinPartitions("q_block", "chunk")
 
     last_pass = False
     while not last_pass:
         last_pass = widest == 1  # this pass tells single values apart
-        sums = pairs(state).mapInArrow(counted, "q_block int, counts binary")
+        sums = summed(pairs(state).mapInArrow(counted, "q_block int, chunk int, counts binary"))
         state = written(sums.groupBy("q_block").cogroup(state.groupBy("q_block")).applyInArrow(narrowed, state_schema), "ranges")
         widest = state.agg(F.max("widest")).first()[0]
 
