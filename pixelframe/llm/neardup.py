@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +25,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Words:
+    """Hashes of the words of many texts at once.
+
+    A word's hash is a polynomial in its bytes: sums of bytes times powers of an odd number up to each place are taken
+    once, and a word's part of them is moved back to the power 0 by the inverse.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.power = self.back = np.ones(1, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            inverse = pow(self.BASE, -1, 1 << 64)
+            full = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + (n >> 2), b, np.uint64)]))
+            self.power, self.back = full(self.BASE), full(inverse)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every word's hash in order, and how many words each text has, of texts end to end in data."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        self._powers(n)
+        solid = ~self.space[data]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        edges = offsets[:-1][offsets[:-1] < n]
+        begins[edges] = solid[edges]
+        start = np.flatnonzero(begins)
+        ends = solid.copy()
+        ends[:-1] &= ~solid[1:]
+        last = offsets[1:][offsets[1:] > 0] - 1
+        ends[last] = solid[last]
+        end = np.flatnonzero(ends) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:n])])
+        codes = mixed((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        return codes, np.diff(np.searchsorted(start, offsets))
+
+
 class Shingles:
     """Hashes of runs of `size` words of texts; a text of fewer words has one run, one of no words has none."""
 
-    def __init__(self, size: int = 5, most_words: int = 400_000):
-        self.size, self.most = size, most_words
-        self.known: dict[bytes, int] = {}
-
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Every word's hash in order, and how many words each text has."""
-        import xxhash
-
-        cut = [t.split() for t in texts]
-        words = set(chain.from_iterable(cut))
-        new = words.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = words
-            self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.uint64, int(sizes.sum())), sizes
-
-    def all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, size: int = 5):
+        self.size, self.words = size, Words()
+
+    def all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every run's hash in order, and the text that it is of."""
-        codes, sizes = self.words(texts)
-        text = np.repeat(np.arange(len(texts)), sizes)
+        codes, sizes = self.words(data, offsets)
+        text = np.repeat(np.arange(len(sizes)), sizes)
         n, out, of = self.size, [], []
         if len(codes) >= n:
             end = len(codes) - n + 1
@@ -75,9 +100,9 @@ class Shingles:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(out), np.concatenate(of)
 
-    def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of each text with how often they occur: (text, hash, count), by text."""
-        codes, of = self.all(texts)
+        codes, of = self.all(data, offsets)
         order = np.lexsort((codes, of))
         codes, of = codes[order], of[order]
         first = np.ones(len(codes), bool)
@@ -164,10 +189,8 @@ class Darts:
         return names
 
 
-def _texts(piece: pa.RecordBatch) -> list[bytes]:
-    data, offsets = text_bytes(piece.column(piece.schema.get_field_index("_text")))
-    raw, at = data.tobytes(), offsets.tolist()
-    return [raw[a:b] for a, b in zip(at, at[1:])]
+def texts_of(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(piece.column(piece.schema.get_field_index("_text")))
 
 
 def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: str, text_col: str) -> DataFrame:
@@ -180,7 +203,7 @@ def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: s
         salt = np.arange(bands, dtype=np.uint64) * _M3
         for piece in pieces(batches, "_text", 2 << 20, 1024):
             n = piece.num_rows
-            of, codes, counts = shingles.sets(_texts(piece))
+            of, codes, counts = shingles.sets(*texts_of(piece))
             weights = counts.astype(np.float64) if weighting == "count" else np.ones(len(codes))
             sig = darts.signatures(n, of, codes, weights).astype(np.uint64).reshape(n, bands, rows)
             h = np.broadcast_to(salt, (n, bands)).copy()
@@ -205,7 +228,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weighting
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for piece in pieces(batches, "_text", 2 << 20, 1024):
-            of, codes, counts = shingles.sets(_texts(piece))
+            of, codes, counts = shingles.sets(*texts_of(piece))
             if weighting == "count":
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 of, codes = np.repeat(of, counts), mixed(np.repeat(codes, counts) + nth.astype(np.uint64) * _M3)
