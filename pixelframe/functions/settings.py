@@ -31,6 +31,9 @@ RANGES = (
     Range("sharpness", "Sharpness", 0, 16),
     Range("jpeg_quality", "JPEG quality", 0, 95),
 )
+#: Limits of a light's brightness, and the modes of the white balance.
+LIGHT_RANGE = Range("value", "Light value", 0, 1)
+WHITE_BALANCE_MODES = ("auto", "off")
 #: Public texts of violations; others keep their own name.
 PUBLIC = {"Exposure time": "Shutter speed not valid", "Image gain": "ISO number not valid", "White balance red gain": "White balance gain not valid", "White balance blue gain": "White balance gain not valid"}
 #: Required fields of an acquisition command, in the order in which they are looked for.
@@ -49,6 +52,12 @@ def violations(ranges: tuple[Range, ...] = RANGES) -> Column:
     return F.array_compact(F.array(*[F.when(outside(r), F.lit(r.label)) for r in ranges]))
 
 
+def exposure_outside(exposure: Column, shortest: Column, longest: Column) -> Column:
+    """Whether an exposure time is outside the limits of a frame's duration; without limits it must not be below 0."""
+    limited = shortest.isNotNull() & longest.isNotNull()
+    return F.coalesce(F.when(limited, ~exposure.between(shortest, longest)).otherwise(exposure < 0), F.lit(False))
+
+
 def first_error(errors: Column) -> Column:
     """The public text of the first violation, null if there is none."""
     label = F.get(errors, 0)

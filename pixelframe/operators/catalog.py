@@ -35,12 +35,18 @@ def verify_integrity(ledger: DataFrame, files: DataFrame) -> DataFrame:
     return ledger.join(found, ["dir", "filename"], "left").select("dir", "filename", status.alias("status"))
 
 
-def by_status(verified: DataFrame) -> DataFrame:
+def by_status(verified: DataFrame, names: int | None = None) -> DataFrame:
     """How many files of each directory have each status, and their names in order.
 
-    Names of one directory and status meet in a row, as a report lists them; for counts alone leave them out.
+    A report's row holds the names of one directory and status; with `names`, the first so many of them, which are
+    chosen before they meet in a row.
     """
-    return verified.groupBy("dir", "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("filename")).alias("names"))
+    if names is None:
+        return verified.groupBy("dir", "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("filename")).alias("names"))
+    counts = verified.groupBy("dir", "status").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("dir", "status").orderBy("filename"))
+    first = verified.withColumn("place", place).filter(F.col("place") <= names).groupBy("dir", "status").agg(F.sort_array(F.collect_list("filename")).alias("names"))
+    return counts.join(first, ["dir", "status"])
 
 
 def page_of(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:

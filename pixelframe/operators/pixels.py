@@ -101,10 +101,10 @@ def triangle_threshold(hist: DataFrame) -> DataFrame:
 
 
 def below_threshold(lines: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Foreground pixels (dataset_id, image_id, seq, y, x): gray values of at most their image's threshold."""
+    """Foreground pixels (dataset_id, image_id, seq, h, w, y, x): gray values of at most their image's threshold."""
     marked = lines.join(thresholds, "image_id")
     spots = F.filter(F.transform("gray", lambda g, x: F.when(g <= F.col("threshold"), x)), lambda x: x.isNotNull())
-    return marked.select("dataset_id", "image_id", "seq", "y", F.explode(spots).alias("x"))
+    return marked.select("dataset_id", "image_id", "seq", "h", "w", "y", F.explode(spots).alias("x"))
 
 
 def adaptive_threshold(lines: DataFrame, radius: int = 9, offset: int = 4) -> DataFrame:
@@ -116,11 +116,11 @@ def adaptive_threshold(lines: DataFrame, radius: int = 9, offset: int = 4) -> Da
     clamp = lambda i: F.least(F.greatest(i, F.lit(0)), F.col("w") - 1)
     row_sum = lambda x: F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0), lambda a, d: a + F.get("gray", clamp(x + d)))
     rows = lines.withColumn("sums", F.transform(F.sequence(F.lit(0), F.col("w") - 1), row_sum))
-    cells = rows.select("dataset_id", "image_id", "seq", "y", "h", F.posexplode(F.arrays_zip("gray", "sums")).alias("x", "p"))
-    cells = cells.select("dataset_id", "image_id", "seq", "y", "h", "x", F.col("p.gray").alias("gray"), F.col("p.sums").alias("s"))
+    cells = rows.select("dataset_id", "image_id", "seq", "y", "h", "w", F.posexplode(F.arrays_zip("gray", "sums")).alias("x", "p"))
+    cells = cells.select("dataset_id", "image_id", "seq", "y", "h", "w", "x", F.col("p.gray").alias("gray"), F.col("p.sums").alias("s"))
     column = Window.partitionBy("image_id", "x").orderBy("y")
     whole = column.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = F.lit(radius) - F.least(F.col("y"), F.lit(radius))
     below = F.lit(radius) - F.least(F.col("h") - 1 - F.col("y"), F.lit(radius))
     total = F.sum("s").over(column.rowsBetween(-radius, radius)) + above * F.first("s").over(whole) + below * F.last("s").over(whole)
-    return cells.withColumn("total", total).filter(F.col("gray") * side * side <= F.col("total") - offset * side * side).select("dataset_id", "image_id", "seq", "y", "x")
+    return cells.withColumn("total", total).filter(F.col("gray") * side * side <= F.col("total") - offset * side * side).select("dataset_id", "image_id", "seq", "h", "w", "y", "x")

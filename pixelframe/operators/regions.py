@@ -14,34 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.functions.scalars import equivalent_diameter, gray, hsv, ratio_safe
+from pixelframe.operators.groups import whole_groups
 
 REGION = ["image_id", "label"]
 
 
-def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches that are sorted by keys; the last group of a batch waits for the next."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
-        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        if waiting:
-            end = waiting[-1].slice(waiting[-1].num_rows - 1)
-            if any(c[0] != end.column(end.schema.get_field_index(k))[0].as_py() for c, k in zip(columns, keys)):
-                edge = np.concatenate([[0], edge])
-        if len(edge):
-            cut = int(edge[-1])
-            done = pa.Table.from_batches([*waiting, batch.slice(0, cut)])
-            if done.num_rows:
-                yield done
-            waiting = [batch.slice(cut)]
-        else:
-            waiting.append(batch)
-    if waiting:
-        yield pa.Table.from_batches(waiting)
-
-
 def run_roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     """The first run of each run's 8-connected component, for runs sorted by group, y and x0.
 
@@ -83,7 +60,7 @@ def label_regions(runs: DataFrame, group: tuple[str, ...] = ("image_id",)) -> Da
     keys = list(group)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_groups(batches, keys):
+        for whole in whole_groups(batches, keys):
             columns = [whole[k].to_numpy() for k in keys]
             new = np.any([np.concatenate([[True], c[1:] != c[:-1]]) for c in columns], axis=0)
             number = np.cumsum(new) - 1
@@ -152,30 +129,84 @@ def region_moments(geometry: DataFrame) -> DataFrame:
     return m.withColumn("elongation", ratio_safe(F.col("major"), F.col("minor"))).drop("mxx", "myy", "mxy", "l1", "l2")
 
 
-_FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-_DIAGONAL = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
-
+#: What a border pixel adds to the perimeter, by the code of its neighbours on the border.
+PERIMETER_WEIGHTS = {1.0: (5, 7, 15, 17, 25, 27), 2.0**0.5: (21, 33), (1 + 2.0**0.5) / 2: (13, 23)}
+_WEIGHT_OF = np.zeros(64)
+for _weight, _codes in PERIMETER_WEIGHTS.items():
+    _WEIGHT_OF[list(_codes)] = _weight
+#: What a window of two by two pixels adds to four times the Euler number, by the pixels it holds (bits 1, 2, 4, 8).
+_QUAD_GAIN = np.array([0, 1, 1, 0, 1, 0, -2, -1, 1, -2, 0, -1, 0, -1, -1, 0])
 
-def _near(pixels: DataFrame) -> DataFrame:
-    """Each pixel with how many of its four and of its diagonal neighbours are in the relation too: one aggregation."""
-    at = lambda dy, dx, four, diagonal, own: F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(four).alias("four"), F.lit(diagonal).alias("diagonal"), F.lit(own).alias("own"))
-    spread = F.array(at(0, 0, 0, 0, 1), *[at(*o, 1, 0, 0) for o in _FOUR], *[at(*o, 0, 1, 0) for o in _DIAGONAL])
-    cells = pixels.select(*REGION, "y", "x", F.explode(spread).alias("o"))
-    cells = cells.groupBy(*REGION, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    return cells.agg(F.sum("o.four").alias("four"), F.sum("o.diagonal").alias("diagonal"), F.sum("o.own").alias("own")).filter("own > 0").drop("own")
 
+def _perimeters(m: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Perimeters of the regions 1 .. n - 1 of a frame that has a margin of one pixel.
 
-#: What a border pixel adds to the perimeter, by the code of its neighbours on the border.
-PERIMETER_WEIGHTS = {1.0: (5, 7, 15, 17, 25, 27), 2.0**0.5: (21, 33), (1 + 2.0**0.5) / 2: (13, 23)}
+    Pixels that touch are of one region, so neighbours needn't be told apart by label.
+    """
+    inner = m.copy()
+    for shift, axis in ((1, 0), (-1, 0), (1, 1), (-1, 1)):
+        inner &= np.roll(m, shift, axis)
+    border = m & ~inner
+    b = border.astype(np.int8)
+    code = 1 + 2 * (np.roll(b, 1, 0) + np.roll(b, -1, 0) + np.roll(b, 1, 1) + np.roll(b, -1, 1))
+    for dy in (1, -1):
+        line = np.roll(b, dy, 0)
+        code += 10 * (np.roll(line, 1, 1) + np.roll(line, -1, 1))
+    return np.bincount(labels[border], _WEIGHT_OF[code[border]], minlength=n)
+
+
+def _eulers(m: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """One less the number of holes (background joined by sides) of regions 1 .. n - 1, from windows of two by two."""
+    one = m.view(np.int8)
+    quad = one[:-1, :-1] + 2 * one[:-1, 1:] + 4 * one[1:, :-1] + 8 * one[1:, 1:]
+    label = np.maximum(np.maximum(labels[:-1, :-1], labels[:-1, 1:]), np.maximum(labels[1:, :-1], labels[1:, 1:]))
+    some = quad > 0
+    return np.rint(np.bincount(label[some], _QUAD_GAIN[quad[some]], minlength=n) / 4).astype(np.int32)
+
+
+def region_shapes(runs: DataFrame) -> DataFrame:
+    """perim (weights of border pixels by how the border goes on from them), euler_number (one less the number of holes)
+    and convex_area of each region: one exchange of runs by image, then each image's frame at once."""
+
+    def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, ["image_id"]):
+            image, label, y, x0, x1 = (whole[c].to_numpy().astype(np.int64) for c in (*REGION, "y", "x0", "x1"))
+            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(image)]):
+                names, number = np.unique(label[s:e], return_inverse=True)
+                top, left = y[s:e].min() - 1, x0[s:e].min() - 1
+                labels = np.zeros((y[s:e].max() - top + 2, x1[s:e].max() - left + 2), np.int32)
+                size = x1[s:e] - x0[s:e] + 1
+                x = np.repeat(x0[s:e] - left - np.cumsum(size) + size, size) + np.arange(size.sum())
+                labels[np.repeat(y[s:e] - top, size), x] = np.repeat(number + 1, size)
+                m, n = labels > 0, len(names) + 1
+                # each region's lines with their outermost pixels
+                order = np.lexsort((x0[s:e], y[s:e], number))
+                lines = number[order] * (labels.shape[0]) + y[s:e][order] - top
+                at = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]]))
+                ends = np.append(at[1:], len(lines)) - 1
+                ly, l0, l1 = y[s:e][order][at], x0[s:e][order][at], x1[s:e][order][ends]
+                bounds = np.searchsorted(number[order][at], np.arange(n))
+                convex = [_hull_area(ly[u:v], l0[u:v], l1[u:v]) for u, v in zip(bounds.tolist(), bounds[1:].tolist())]
+                for column, values in zip(out, (np.full(n - 1, image[s]), names, _perimeters(m, labels, n)[1:], _eulers(m, labels, n)[1:], np.array(convex, np.int64))):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[*REGION, "perim", "euler_number", "convex_area"])
+
+    placed = runs.select(*REGION, "y", "x0", "x1").repartition("image_id").sortWithinPartitions("image_id")
+    return placed.mapInArrow(shapes, "image_id long, label long, perim double, euler_number int, convex_area long")
+
+
+def region_perimeter(runs: DataFrame) -> DataFrame:
+    return region_shapes(runs).select(*REGION, "perim")
+
+
+def region_euler(runs: DataFrame) -> DataFrame:
+    return region_shapes(runs).select(*REGION, "euler_number")
 
 
-def region_perimeter(pixels: DataFrame) -> DataFrame:
-    """perim: weights of the pixels that miss a neighbour among the four, by how the border goes on from them."""
-    border = _near(pixels).filter("four < 4").select(*REGION, "y", "x")
-    code = 1 + 2 * F.col("four") + 10 * F.col("diagonal")
-    counted = _near(border).groupBy(*REGION).agg(*[F.count_if(code.isin(*codes)).alias(f"w{k}") for k, codes in enumerate(PERIMETER_WEIGHTS.values())])
-    total = sum((F.col(f"w{k}") * w for k, w in enumerate(PERIMETER_WEIGHTS)), F.lit(0.0))
-    return counted.select(*REGION, total.alias("perim"))
+def region_convex(runs: DataFrame) -> DataFrame:
+    return region_shapes(runs).select(*REGION, "convex_area")
 
 
 def region_holes(runs: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -200,15 +231,6 @@ def region_filled_area(geometry: DataFrame, holes: DataFrame) -> DataFrame:
     return geometry.join(inside, REGION, "left").select(*REGION, (F.col("n") + F.coalesce("hole", F.lit(0))).alias("area"))
 
 
-def region_euler(pixels: DataFrame) -> DataFrame:
-    """euler_number: one less the number of holes, from counts of the patterns of 2 x 2 windows."""
-    corner = lambda dy, dx, bit: F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(bit).alias("bit"))
-    cells = pixels.select(*REGION, "y", "x", F.explode(F.array(corner(0, 0, 1), corner(0, -1, 2), corner(-1, 0, 4), corner(-1, -1, 8))).alias("o"))
-    quads = cells.groupBy(*REGION, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.sum("o.bit").alias("q"))
-    gain = F.when(F.col("q").isin(1, 2, 4, 8), 1).when(F.col("q").isin(7, 11, 13, 14), -1).when(F.col("q").isin(6, 9), -2).otherwise(0)
-    return quads.groupBy(*REGION).agg((F.sum(gain) / 4).cast("int").alias("euler_number"))
-
-
 def _hull_area(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
     """Pixel centres in or on the hull of the middles of the pixels' edges, given each line's outermost pixels."""
     points = sorted({p for a, b, c in zip(y.tolist(), x0.tolist(), x1.tolist()) for x in (b, c) for p in ((a - 0.5, x), (a + 0.5, x), (a, x - 0.5), (a, x + 0.5))})
@@ -234,22 +256,6 @@ def _hull_area(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
     return total
 
 
-def region_convex(runs: DataFrame) -> DataFrame:
-    """convex_area. The hull needs only each line's outermost pixels; a task takes its regions one by one."""
-    ends = runs.groupBy(*REGION, "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-
-    def hulls(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_groups(batches, REGION):
-            image, label, y, x0, x1 = (whole[c].to_numpy() for c in (*REGION, "y", "x0", "x1"))
-            first = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (label[1:] != label[:-1])]))
-            last = np.append(first[1:], len(y))
-            area = [_hull_area(y[a:b], x0[a:b], x1[a:b]) for a, b in zip(first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(image[first]), pa.array(label[first]), pa.array(area, pa.int64())], names=[*REGION, "convex_area"])
-
-    placed = ends.repartition(*REGION).sortWithinPartitions(*REGION, "y")
-    return placed.mapInArrow(hulls, "image_id long, label long, convex_area long")
-
-
 def region_colour(filled: DataFrame, lines: DataFrame) -> DataFrame:
     """Mean and population deviation of hue, saturation and value over runs of regions with their holes filled.
 

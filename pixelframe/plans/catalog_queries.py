@@ -66,6 +66,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("read_metadata_files", "SELECT s_suppkey AS dataset_id, s_name AS acq_id, CASE WHEN s_suppkey % 9 > 0 THEN CAST(s_suppkey % 7 AS INT) END AS acq_nb_frame FROM supplier WHERE s_suppkey % 9 <> 1 UNION ALL SELECT s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 9 = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    to = files_.scratch(spark, "datasets")
+    frames = F.when(F.col("s_suppkey") % 9 > 0, (F.col("s_suppkey") % 7).cast("int"))
+    document = F.when(F.col("s_suppkey") % 9 == 1, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("acq_id"), frames.alias("acq_nb_frame"))))
+    path = F.concat(F.lit("d"), F.col("s_suppkey").cast("string"), F.lit("/metadata.json"))
+    files_.write_files(T.table(spark, d, "supplier").select(path.alias("path"), F.encode(document, "UTF-8").alias("content")), to)
+    read = files_.read_metadata_json(spark, to, "acq_id string, acq_nb_frame int")
+    return read.select(F.regexp_extract("dir", "/d(\\d+)$", 1).cast("long").alias("dataset_id"), "acq_id", "acq_nb_frame")
+
+
 @query("read_done_markers", "SELECT DISTINCT doc_id // 100 AS dataset_id FROM labels WHERE quality = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     to = files_.scratch(spark, "done")

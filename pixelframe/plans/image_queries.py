@@ -11,16 +11,20 @@ from pixelframe.operators import regions as R
 from pixelframe.plans import segmentation as G
 from pixelframe.plans.registry import query
 from pixelframe.plans.scalar_queries import HSV_SQL
+from pixelframe.sources import files as files_
 from pixelframe.sources import tables as T
 
-H = W = T.SIDE
 MIN_ESD = 2.0  # frames are small
 GRAY = "((r * 9798 + g * 19235 + b * 3735 + 16384) >> 15)"
 
 
-def fg(spark: SparkSession, d: str) -> DataFrame:
+def fg(spark: SparkSession, d: str, most: int = 85) -> DataFrame:
     """Foreground of the single-channel frames: values of at most 85."""
-    return T.px(spark, d).filter("v <= 85").drop("v")
+    return T.px(spark, d).filter(F.col("v") <= most).drop("v").withColumns({"h": F.lit(T.SIDE), "w": F.lit(T.SIDE)})
+
+
+def spots(mask: DataFrame) -> DataFrame:
+    return mask.select("dataset_id", "image_id", "seq", "y", "x")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +41,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return T.scanlines(spark, d).select("image_id", "y", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
 
 
+@query("scan_image_files", "SELECT CAST(label AS BIGINT) AS dataset_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    to = files_.scratch(spark, "images")
+    files_.write_images(T.scanlines(spark, d), to)
+    return files_.scan_images(spark, f"{to}/*").select(F.regexp_extract("path", "(\\d+)/[^/]*$", 1).cast("long").alias("dataset_id"), F.col("seq").cast("long").alias("seq"))
+
+
+@query("decode_image_files", "SELECT dataset_id, seq, y, max(w) AS w, max(h) AS h, string_agg(b::VARCHAR, ',' ORDER BY x) AS b, string_agg(g::VARCHAR, ',' ORDER BY x) AS g, string_agg(r::VARCHAR, ',' ORDER BY x) AS r FROM (SELECT *, 8 AS w, 8 AS h FROM bgr) GROUP BY dataset_id, seq, y", ("bgr",))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    to = files_.scratch(spark, "images")
+    files_.write_images(T.scanlines(spark, d), to)
+    part = lambda k: F.regexp_extract("path", "(\\d+)/(\\d+)[.]jpg$", k).cast("long")
+    lines = files_.decode_scanlines(spark, f"{to}/*/*.jpg")
+    return lines.select(part(1).alias("dataset_id"), part(2).alias("seq"), "y", "w", "h", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
+
+
 _FLAT = """k AS (SELECT dataset_id, CASE WHEN least(n, 10) % 2 = 0 THEN least(n, 10) - 1 ELSE least(n, 10) END AS k FROM (SELECT dataset_id, count(DISTINCT image_id) AS n FROM bgr GROUP BY 1)),
 flat AS (SELECT dataset_id, y, x, list_sort(list(b))[count(*) // 2 + 1] AS b, list_sort(list(g))[count(*) // 2 + 1] AS g, list_sort(list(r))[count(*) // 2 + 1] AS r FROM bgr JOIN k USING (dataset_id) WHERE seq < k GROUP BY dataset_id, y, x)"""
 
@@ -139,32 +159,32 @@ _PREVIOUS = "subtracted AS (SELECT m.* FROM fg m ANTI JOIN (SELECT dataset_id, s
 
 @query("erode", f"WITH {_KERNELS}, {_erosion('fg', 'sq', 'out')} SELECT * FROM out", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.erode(fg(spark, d), H, W)
+    return spots(M.erode(fg(spark, d)))
 
 
 @query("dilate", f"WITH {_KERNELS}, {_dilation('fg', 'el', 'out')} SELECT * FROM out", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.dilate(fg(spark, d), H, W)
+    return spots(M.dilate(fg(spark, d)))
 
 
 @query("close", f"WITH {_KERNELS}, {_dilation('fg', 'el', 'wide')}, {_erosion('wide', 'el', 'out')} SELECT * FROM out", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.close(fg(spark, d), H, W)
+    return spots(M.close(fg(spark, d)))
 
 
 @query("erode2", f"WITH {_KERNELS}, wide AS (SELECT dataset_id, image_id, seq, y, x FROM px WHERE v <= 200), {_erosion('wide', 'el', 'out')} SELECT * FROM out", ("px",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.OPERATIONS["erode2"](T.px(spark, d).filter("v <= 200").drop("v"), H, W)
+    return spots(M.mask_pipeline(fg(spark, d, 200), ["erode2"]))
 
 
 @query("no_op", "SELECT * FROM fg", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.no_op(fg(spark, d), H, W)
+    return spots(M.no_op(fg(spark, d)))
 
 
 @query("remove_previous_mask", f"WITH {_PREVIOUS} SELECT * FROM subtracted", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.remove_previous_mask(fg(spark, d))
+    return spots(M.remove_previous_mask(fg(spark, d)))
 
 
 @query("previous_mask_lag", "SELECT image_id, y, x, lag(v <= 85) OVER (PARTITION BY dataset_id, y, x ORDER BY seq) AS before FROM px", ("px",))
@@ -175,15 +195,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mask_pipeline", f"WITH {_KERNELS}, {_PREVIOUS}, {_erosion('subtracted', 'sq', 's1')}, {_dilation('s1', 'el', 's2')}, {_dilation('s2', 'el', 's3')}, {_erosion('s3', 'el', 's4')}, {_erosion('s4', 'el', 's5')} SELECT * FROM s5", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.mask_pipeline(fg(spark, d), M.pipeline_names(subtract_previous=True), H, W)
+    return spots(M.mask_pipeline(fg(spark, d), M.pipeline_names(subtract_previous=True)))
 
 
 @query("write_stage_snapshots", f"WITH {_KERNELS}, {_erosion('fg', 'sq', 's1')}, {_dilation('s1', 'el', 's2')} SELECT 0 AS k, 'no_op' AS stage, count(*) AS n FROM fg UNION ALL SELECT 1, 'erode', count(*) FROM s1 UNION ALL SELECT 2, 'dilate', count(*) FROM s2", ("fg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    stages: list[DataFrame] = []
-    M.mask_pipeline(fg(spark, d), ["no_op", "erode", "dilate"], H, W, lambda k, name, m: stages.append(m.select(F.lit(k).alias("k"), F.lit(name).alias("stage"))))
-    out = stages[0].unionByName(stages[1]).unionByName(stages[2])
-    return out.groupBy("k", "stage").agg(F.count("*").alias("n"))
+    to = files_.scratch(spark, "snapshots")
+    files_.write_stage_snapshots(fg(spark, d), ["no_op", "erode", "dilate"], to)
+    return spark.read.parquet(to).groupBy("k", "stage").agg(F.count("*").alias("n"))
 
 
 @query("neighbour_join", f"WITH {_KERNELS} SELECT f.image_id, f.y, f.x, count(*) AS n FROM fg f CROSS JOIN around JOIN fg q ON q.image_id = f.image_id AND q.y = f.y + dy AND q.x = f.x + dx GROUP BY ALL", ("fg",))
@@ -193,7 +212,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mask_runs", "SELECT * FROM runs", ("runs",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return M.mask_runs(fg(spark, d))
+    return M.mask_runs(fg(spark, d)).drop("h", "w")
 
 
 @query("run_adjacency", "SELECT a.image_id, a.y AS y_a, a.x0 AS a0, a.x1 AS a1, b.y AS y_b, b.x0 AS b0, b.x1 AS b1 FROM runs a JOIN runs b ON a.image_id = b.image_id AND a.y + 1 = b.y AND a.x0 <= b.x1 + 1 AND a.x1 >= b.x0 - 1", ("runs",))
@@ -237,7 +256,7 @@ perimeter AS (SELECT image_id, label, count(*) FILTER (c IN (5, 7, 15, 17, 25, 2
 
 @query("region_perimeter", f"WITH {_PERIMETER} SELECT image_id, label, round(perim, 6) AS perim FROM perimeter", ("regions",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.region_perimeter(R.region_pixels(labelled(spark, d))).select("image_id", "label", F.round("perim", 6).alias("perim"))
+    return R.region_perimeter(labelled(spark, d)).select("image_id", "label", F.round("perim", 6).alias("perim"))
 
 
 # background of each region's box with a margin of one; what the corner reaches by 8-connected steps is outside
@@ -260,7 +279,7 @@ euler AS (SELECT image_id, label, CAST(sum(CASE WHEN q IN (1, 2, 4, 8) THEN 1 WH
 
 @query("region_euler", f"WITH {_EULER} SELECT * FROM euler", ("regions",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.region_euler(R.region_pixels(labelled(spark, d)))
+    return R.region_euler(labelled(spark, d))
 
 
 @query("region_convex")
@@ -355,10 +374,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("measure_objects")
 def measure_objects(spark: SparkSession, d: str) -> DataFrame:
     """One row a kept region of the single-channel masks with all measurements."""
-    return G.measure(fg(spark, d), T.scanlines(spark, d), MIN_ESD)
+    return G.measure(labelled(spark, d), T.scanlines(spark, d), MIN_ESD)
 
 
 @query("segment_datasets")
 def segment_datasets(spark: SparkSession, d: str) -> DataFrame:
     """The default pipeline with background, correction, triangle threshold, morphology and feedback."""
-    return G.segment(T.scanlines(spark, d), H, W, MIN_ESD)
+    return G.segment(T.scanlines(spark, d), MIN_ESD)

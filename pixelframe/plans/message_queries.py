@@ -136,7 +136,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from pixelframe.operators.regions import label_regions
 
     to = files_.scratch(spark, "arriving")
-    mask = T.px(spark, d).filter("v <= 85").drop("v")
+    mask = T.px(spark, d).filter("v <= 85").drop("v").withColumns({"h": F.lit(T.SIDE), "w": F.lit(T.SIDE)})
     mask.repartition("dataset_id").write.parquet(to)
     again = mask.filter("dataset_id % 3 = 0")
     again.repartition("dataset_id").write.mode("append").parquet(to)  # datasets that come twice are done once

@@ -265,6 +265,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return checked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("errors", ";").alias("errors"), (F.size("errors") == 0).alias("valid"))
 
 
+@query("validate_exposure", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey - 100 < 0 ELSE NOT l_partkey BETWEEN 10 * l_linenumber AND 10 * l_suppkey END AS exposure_error, l_discount * 12 > 1 AS light_error, l_returnflag NOT IN ('A', 'R') AS mode_error FROM lineitem")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    rows = T.table(spark, d, "lineitem").withColumns({"limited": c("l_linenumber") % 3 != 0, "value": c("l_discount") * 12})
+    limit = lambda x: F.when(c("limited"), x)
+    exposure = F.when(c("limited"), c("l_partkey")).otherwise(c("l_partkey") - 100)
+    error = C.exposure_outside(exposure, limit(10 * c("l_linenumber")), limit(10 * c("l_suppkey")))
+    light = F.size(C.violations((C.LIGHT_RANGE,))) > 0
+    mode = ~C.one_of(c("l_returnflag"), ("A", "R"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", error.alias("exposure_error"), light.alias("light_error"), mode.alias("mode_error"))
+
+
 _PUBLIC = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.PUBLIC.items())
 
 

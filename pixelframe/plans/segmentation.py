@@ -9,7 +9,7 @@ from pixelframe.functions.scalars import circularity, ratio_safe
 from pixelframe.operators import mask as M
 from pixelframe.operators import pixels as P
 from pixelframe.operators import regions as R
-from pixelframe.sources.files import stored
+from pixelframe.sources.files import stored, write_stage_snapshots
 
 #: Measurement columns in the order of the export, ours and the export's where they differ.
 EXPORT_NAMES = {
@@ -43,26 +43,19 @@ def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("datase
     return P.below_threshold(grays, P.triangle_threshold(P.gray_histogram(grays))).select(*M.IMAGE, "y", "x")
 
 
-def measure(mask: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFrame:
-    """One row a kept region with all measurements. Small regions go before anything costly is measured.
+def measure(regions: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFrame:
+    """One row a kept region with all measurements, from labelled runs (see label_regions).
 
-    Everything is kept by (image_id, label), so the joins of measurements need no more than that one partitioning.
+    Small regions go before anything costly is measured. What needs a region's surroundings is measured in one pass over
+    the images' runs; everything else is sums by (image_id, label), so the joins need no more than that partitioning.
     """
-    runs = stored(R.label_regions(M.mask_runs(mask)), "runs")
+    runs = stored(regions, "runs")
     geometry = stored(R.region_moments(R.object_index(R.keep_large(R.region_geometry(runs), min_esd))), "regions")
     kept = stored(runs.join(geometry.select(*R.REGION), R.REGION, "left_semi"), "runs")
-    points = R.region_pixels(kept)
     holes = stored(R.region_holes(kept, geometry), "holes")
     filled = kept.select(*R.REGION, "y", "x0", "x1").unionByName(holes)
     out = geometry
-    for part in (
-        R.region_filled_area(geometry, holes),
-        R.region_perimeter(points),
-        R.region_euler(points),
-        R.region_convex(kept),
-        R.region_colour(filled, lines),
-        R.region_blur(geometry, lines),
-    ):
+    for part in (R.region_filled_area(geometry, holes), R.region_shapes(kept), R.region_colour(filled, lines), R.region_blur(geometry, lines)):
         out = out.join(part, R.REGION)
     images = lines.filter("y = 0").select("dataset_id", "image_id", "seq")
     return derived_ratios(out).drop("n", "sx", "sy", "sxx", "syy", "sxy").join(images, "image_id")
@@ -97,34 +90,44 @@ def flat_epochs(counts: DataFrame, excess: float = 20) -> DataFrame:
     return cumulative_trigger(counts, excess).withColumn("epoch", F.coalesce(F.sum(F.col("trigger").cast("long")).over(before), F.lit(0)))
 
 
-def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float = 20, subtract_previous: bool = False) -> DataFrame:
+def segment(lines: DataFrame, min_esd: float = 20, excess: float = 20, subtract_previous: bool = False, snapshots: str | None = None) -> DataFrame:
     """Measure all datasets; a jump of the object count gives the following images a new background.
 
     Epoch 0 uses each dataset's first images. After an epoch, the first trigger of each dataset that is past its last
-    one recalculates the background at the next image for the images from there on, which alone are corrected again.
+    one recalculates the background at the next image for the images from there on, which alone are worked on again.
     Epochs are few and datasets many, so all datasets go through an epoch together, until none has another trigger.
-    Each trigger is later than the last, so there are fewer epochs than images. Each epoch's tables are written.
+    Each trigger is later than the last, so there are fewer epochs than images. Each epoch's tables are written. With
+    snapshots, the masks after each operation are written there too, a folder an epoch.
     """
     lines = stored(lines, "scanlines")
+    names = M.pipeline_names(subtract_previous)
     all_images = stored(P.images(lines).withColumns({"since": F.lit(-1).cast("long"), "past": F.lit(-1).cast("long")}), "images")
     windows = flat_window(P.images(lines))
     first = P.background_images(P.images(lines)).select("image_id")
     flat = stored(P.median_flat(lines.join(first, "image_id")).withColumn("since", F.lit(-1).cast("long")), "flat")
-    todo, masks = all_images, None
+    todo, masks, regions, epoch = all_images, None, None, 0
     while True:
         marked = lines.join(todo.select("image_id", "since"), "image_id")
-        # an image's previous mask may be of an earlier epoch
         mask = stored(foreground(marked, flat, ("dataset_id", "since")), "mask")
-        masks = mask if masks is None else stored(masks.join(todo.select("image_id"), "image_id", "left_anti").select(mask.columns).unionByName(mask), "mask")
-        cleaned = M.mask_pipeline(masks, M.pipeline_names(subtract_previous), h, w)
-        cleaned = stored(cleaned, "cleaned")
-        geometry = R.keep_large(R.region_geometry(R.label_regions(M.mask_runs(cleaned))), min_esd)
+        again = todo.select("image_id")
+        if subtract_previous:
+            # the first image of those may follow one of an earlier epoch, whose mask is taken from it
+            before = todo.groupBy("dataset_id").agg((F.min("seq") - 1).alias("seq"))
+            edge = masks.join(before, ["dataset_id", "seq"], "left_semi").select(mask.columns) if masks else mask.limit(0)
+            masks = stored(masks.join(again, "image_id", "left_anti").select(mask.columns).unionByName(mask) if masks else mask, "mask")
+            mask = mask.unionByName(edge)
+        if snapshots:
+            write_stage_snapshots(mask, names, f"{snapshots}/epoch={epoch}")
+        found = R.label_regions(M.pipeline_runs(mask, names)).join(again, "image_id", "left_semi")
+        regions = stored(found if regions is None else regions.join(again, "image_id", "left_anti").select(found.columns).unionByName(found), "regions")
+        geometry = R.keep_large(R.region_geometry(regions), min_esd)
         counts = all_images.join(geometry.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         late = cumulative_trigger(counts, excess).filter("trigger AND seq > past").groupBy("dataset_id").agg(F.min("seq").alias("at"))
         late = late.join(windows, (late["dataset_id"] == windows["dataset_id"]) & (F.col("at") + 1 == F.col("seq"))).select(late["dataset_id"], "at", "first_seq", "used").filter("used > 0")
         late = stored(late, "late")  # a row a dataset
         if late.isEmpty():
-            break
+            return measure(regions, lines, min_esd)
+        epoch += 1
         fed = lines.join(late, "dataset_id").filter("seq >= first_seq AND seq < first_seq + used").withColumn("since", F.col("at"))
         flat = stored(flat.unionByName(P.median_flat(fed, by=("dataset_id", "since"))), "flat")
         now = all_images.join(late.select("dataset_id", "at"), "dataset_id", "left")
@@ -132,4 +135,3 @@ def segment(lines: DataFrame, h: int, w: int, min_esd: float = 20, excess: float
         # the image of a trigger keeps its background, so the dataset's last trigger is told apart from it
         all_images = stored(now.withColumns({"since": since, "past": F.coalesce("at", "past")}).drop("at"), "images")
         todo = all_images.join(late.select("dataset_id", "at"), "dataset_id").filter("seq > at").drop("at")
-    return measure(cleaned, lines, min_esd)

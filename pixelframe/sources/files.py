@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelframe.functions.scalars import file_name, type_code
+from pixelframe.operators import mask as M
+from pixelframe.operators.groups import whole_groups
 
 LEDGER = "filename string, size bigint, sha1 string"
 #: The first two lines of an integrity ledger.
@@ -18,9 +25,11 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder in the one that driver and executors share; a local one is made where the session names none."""
+    """A new folder in the one that driver and executors share. A local session that names none gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="pixelframe-"))
     return f"{root.rstrip('/')}/files/{tag}-{uuid.uuid4().hex}"
@@ -42,23 +51,81 @@ def walk_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write small files (path below root: string, content: binary), and return how many.
+
+    Tasks write whole files by path, so a task that runs again writes the same files again.
+    """
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                to = f"{base}/{path}"
+                store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(to) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """An image file of pixels (h, w, 3) in the order B, G, R, without loss."""
+    h, w, _ = pixels.shape
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), pixels[:, :, ::-1].astype(np.uint8).reshape(h, -1)], axis=1).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+
+
+def write_images(lines: DataFrame, root: str) -> int:
+    """Write scanlines as image files, dataset_id/seq.jpg by place, and return how many. Decoders go by the content."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["image_id"]):
+            image = group["image_id"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+            paths, contents = [], []
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(image)]):
+                part = group.slice(s, e - s)
+                channels = [np.stack([v.values.to_numpy() for v in part[c]]) for c in "bgr"]
+                paths.append(f"{part['dataset_id'][0].as_py()}/{part['seq'][0].as_py():08}.jpg")
+                contents.append(_png(np.stack(channels, axis=2)))
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths), "content": pa.array(contents, pa.binary())})
+
+    placed = lines.select("dataset_id", "image_id", "seq", "y", "b", "g", "r").repartition("image_id").sortWithinPartitions("image_id", "y")
+    return write_files(placed.mapInArrow(encode, "path string, content binary"), root)
+
+
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """Images right in a folder, in the order of their names: path, seq. Other extensions, and sub-folders, are left out."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{JPG,jpg,JPEG,jpeg,png}").load(folder).select("path")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{JPG,jpg,JPEG,jpeg}").load(folder).select("path")
     return found.withColumn("seq", F.row_number().over(Window.partitionBy(parent(F.col("path"))).orderBy(file_name(F.col("path")))) - 1)
 
 
-def decode_scanlines(spark: SparkSession, folder: str) -> DataFrame:
-    """Scanlines of a folder's images: path, y, w, h and arrays b, g, r, decoded by Spark's image source."""
+def decode_scanlines(spark: SparkSession, folder: str, lines_at_once: int = 256) -> DataFrame:
+    """Scanlines of a folder's images: path, y, w, h and arrays b, g, r, decoded by Spark's image source.
+
+    A task cuts each image's bytes into lines by itself; no line carries its image's other bytes.
+    """
     image = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*").filter("nChannels = 3")
-    lines = image.select("origin", "height", "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    line = lines.withColumn("row", F.hex(F.substring("data", F.col("y") * F.col("width") * 3 + 1, F.col("width") * 3)))
 
-    def channel(k: int) -> Column:
-        byte = lambda x: F.conv(F.substring("row", (x * 3 + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.col("width") - 1), byte)
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, h, w, data in zip(*(batch.column(k) for k in range(4))):
+                h, w = h.as_py(), w.as_py()
+                pixels = np.frombuffer(data.as_buffer(), np.uint8)[: h * w * 3].reshape(h, w, 3)
+                for y in range(0, h, lines_at_once):
+                    some = pixels[y : y + lines_at_once].astype(np.int32)
+                    n = len(some)
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * w)
+                    channels = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(some[:, :, k]).ravel())) for k in range(3)]
+                    size = [pa.array(np.full(n, v, np.int32)) for v in (w, h)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n), pa.array(np.arange(y, y + n, dtype=np.int32)), *size, *channels], names=["path", "y", "w", "h", "b", "g", "r"])
 
-    return line.select(F.col("origin").alias("path"), "y", F.col("width").alias("w"), F.col("height").alias("h"), *[channel(k).alias(c) for k, c in enumerate("bgr")])
+    return image.select("origin", "height", "width", "data").mapInArrow(cut, "path string, y int, w int, h int, b array<int>, g array<int>, r array<int>")
 
 
 def discover_datasets(files: DataFrame) -> DataFrame:
@@ -79,15 +146,17 @@ def read_done_markers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_integrity_ledger(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
-    """Entries of ledgers below a root, with the ledger's path."""
+    """Entries of valid ledgers below a root, with the ledger (the folder of its files)."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("comment", "#")
-    return read.schema(LEDGER).csv(root).withColumn("ledger", F.col("_metadata.file_path"))
+    entries = read.schema(LEDGER).csv(root).withColumn("ledger", parent(F.col("_metadata.file_path")))
+    return entries.join(valid_ledgers(spark, root, name), "ledger", "left_semi").select("filename", "size", "sha1", "ledger")
 
 
 def valid_ledgers(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
-    """Paths of ledgers whose first two lines are comments. Each file is one text, of which two lines are looked at."""
+    """Ledgers (folders) that have both head lines; of other files nothing is believed."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    return read.text(root, wholetext=True).filter(F.col("value").rlike("^#[^\\n]*\\n#")).select(F.col("_metadata.file_path").alias("ledger"))
+    heads = read.text(root).filter(F.col("value").isin(*LEDGER_HEAD)).select(parent(F.col("_metadata.file_path")).alias("ledger"), "value")
+    return heads.groupBy("ledger").agg(F.countDistinct("value").alias("n")).filter(F.col("n") == len(LEDGER_HEAD)).select("ledger")
 
 
 def append_integrity(files: DataFrame, to: str) -> None:
@@ -102,31 +171,68 @@ def append_integrity(files: DataFrame, to: str) -> None:
     files.select("filename", "size", "sha1").write.mode("append").csv(to)
 
 
-def export_tsv(rows: DataFrame, to: str, partition_by: str | None = None) -> None:
+def export_tsv(rows: DataFrame, to: str, partition_by: str | None = None, files: int = 1) -> None:
     """Tab-separated rows under two header lines: names, then [f] or [t] by the column's type.
 
-    With partition_by, each of its values is a folder of its own. Each task writes its files' head itself, so no
-    task gets all rows; a partition's rows are brought together first, so each folder has one file.
+    Each task writes its rows to files of their own, and every file has both header lines, so files can be read one by
+    one and no task gets all rows. With partition_by, each of its values is a folder with up to `files` files.
     """
     names = [c for c in rows.columns if c != partition_by]
     types = dict(rows.dtypes)
-    text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names], *[F.col(p) for p in [partition_by] if p], F.lit(1).alias("_order"))
-    codes = [F.lit(type_code(types[c])).alias(c) for c in names]
-    keys = [F.col(p) for p in [partition_by] if p]
-    groups = text.select(*keys).distinct() if partition_by else rows.sparkSession.range(1)
-    out = text.unionByName(groups.select(*codes, *keys, F.lit(0).alias("_order")))
+    codes = [type_code(types[c]) for c in names]
+    text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names], *[F.col(f"`{p}`") for p in [partition_by] if p])
     if partition_by:
-        out = out.repartition(partition_by).sortWithinPartitions(partition_by, "_order").drop("_order")
-        out.write.partitionBy(partition_by).csv(to, sep="\t", header=True, emptyValue="")
-    else:
-        out.repartitionByRange(1, "_order").sortWithinPartitions("_order").drop("_order").write.csv(to, sep="\t", header=True, emptyValue="")
+        deal = [F.col(f"`{partition_by}`"), *[F.pmod(F.hash(*[F.col(f"`{c}`") for c in names]), F.lit(files))] * (files > 1)]
+        text = text.repartition(*deal).sortWithinPartitions(F.col(f"`{partition_by}`"))
+
+    def with_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun = None, False
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if partition_by:
+                    key = batch.column(batch.num_columns - 1)
+                    value, stop = key[at], at + 1
+                    while stop < batch.num_rows and key[stop] == value:
+                        stop += 1
+                else:
+                    value, stop = None, batch.num_rows
+                if not begun or value != last:
+                    head = [pa.array([c], pa.string()) for c in codes]
+                    yield pa.RecordBatch.from_arrays([*head, *[pa.array([value.as_py()], key.type) for _ in [partition_by] if partition_by]], schema=batch.schema)
+                    last, begun = value, True
+                yield batch.slice(at, stop - at)
+                at = stop
+
+    out = text.mapInArrow(with_codes, text.schema)
+    writer = out.write.partitionBy(partition_by) if partition_by else out.write
+    writer.csv(to, sep="\t", header=True, emptyValue="")
 
 
 def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Data rows of exported tables: the line of type codes is left out."""
+    """Data rows of exported tables. The line of type codes is the first record of each file, whatever it holds."""
     read = spark.read.csv(path, sep="\t", header=True)
-    is_codes = F.forall(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("[t]")) for c in read.columns if c != "acq_id"]), lambda v: v.isin("[f]", "[t]"))
-    return read.filter(~is_codes)
+    names = read.columns
+    placed = read.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+    def data(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # a task reads its parts of files one after the other, each from its start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, blocks = (batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False) for k in (2, 1))
+            first = np.ones(len(files), bool)
+            first[1:] = files[1:] != files[:-1]
+            first[0] = files[0] != before
+            before = files[-1]
+            yield batch.filter(pa.array(~(first & (blocks == 0)))).select(names)
+
+    return placed.mapInArrow(data, read.schema)
+
+
+def write_stage_snapshots(mask: DataFrame, names: list[str], to: str) -> None:
+    """Masks after each operation of a pipeline, a folder a stage (k=.../stage=...)."""
+    M.stage_masks(mask, names).write.partitionBy("k", "stage").parquet(to)
 
 
 def write_dataset_metadata(new: DataFrame, existing: DataFrame, to: str, keys: tuple[str, ...] = ("object_date", "sample_id", "acq_id"), folders: tuple[str, ...] | None = None) -> DataFrame:

@@ -14,12 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a frame: dataset_id, image_id, seq (place in the dataset) and values v of its pixels, row by row."""
+    rows = table(spark, sf_dir, "embeddings")
+    # places are told from the ids alone, so frames' values don't go through the window
     order = Window.partitionBy("label").orderBy("vec_id")
+    places = rows.select("label", "vec_id", (F.row_number().over(order) - 1).cast("long").alias("seq"))
     level = lambda f: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + 400 * f.cast("double")).cast("double"))).cast("int")
-    return table(spark, sf_dir, "embeddings").select(
+    return rows.join(places, ["label", "vec_id"]).select(
         F.col("label").cast("long").alias("dataset_id"),
         F.col("vec_id").alias("image_id"),
-        (F.row_number().over(order) - 1).cast("long").alias("seq"),
+        "seq",
         F.transform("embedding", level).alias("v"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,33 +13,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pixelframe.sources.files import scratch
 
 
-def message_stream(log: DataFrame, parts: int = 4, per_trigger: int = 1) -> DataFrame:
-    """A stream over a message table: the table is laid out as folders of files in the order of time, read a few a trigger.
+def message_stream(log: DataFrame, parts: int = 4, per_file: int = 500_000) -> DataFrame:
+    """A stream over a message table: the table is laid out as files in the order of time, read a part a trigger.
 
-    Files are taken by age, so the parts, split at quantiles of time, are written one after the other. In production
-    the same operators read a broker's topics; a payload column, a topic and a time are all they need.
+    Files are taken by age, so the parts, split at quantiles of time, are written one after the other, each as files of
+    about per_file messages by as many tasks. In production the same operators read a broker's topics; a payload column,
+    a topic and a time are all they need.
     """
     spark = log.sparkSession
     to = scratch(spark, "messages")
     log = log.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts")
-    cuts = log.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    facts = log.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000).alias("c"), F.count("*").alias("n")).first()
+    cuts, files = facts["c"] or [], max(1, -(-facts["n"] // (parts * per_file)))
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:]):
         part = log if low is None else log.filter(at > low)
         part = part if high is None else part.filter(at <= high)
-        part.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.mode("append").parquet(to)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", per_trigger).parquet(to)
+        part.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.mode("append").parquet(to)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(to)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all that is there, and return what it put out, with the trigger's number in _batch.
 
     Every trigger's rows go to a folder of their own that is overwritten if the trigger is done again, so a restart
-    after a failure neither loses nor repeats rows.
+    after a failure neither loses nor repeats rows. Output and checkpoints are kept in `folder`: a later run with the
+    same folder goes on where the last one ended. Without one, a new folder is taken, and all is read anew.
     """
     spark = stream.sparkSession
-    to, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
+    folder = folder or scratch(spark, "stream")
+    to, state = f"{folder}/out", f"{folder}/state"
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{to}/batch={batch}")
@@ -77,33 +82,53 @@ def per_window(stream: DataFrame, width: str, late: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(w, "topic").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("centivalue")).select(F.col("window.start").alias("start"), "topic", "n", "centivalue")
 
 
-def answered_within(commands: DataFrame, statuses: DataFrame, key: str, timeout: str) -> DataFrame:
-    """Commands with every status of their key within the timeout. Watermarks bound what either side keeps."""
+def answered_within(commands: DataFrame, statuses: DataFrame, key: str, timeout: str, unanswered: bool = False) -> DataFrame:
+    """Commands with every status of their key within the timeout. Watermarks bound what either side keeps.
+
+    With unanswered, a command without any comes out too, with nulls, once the watermark says that none can follow.
+    """
     c = commands.select(F.col(key).alias("key"), F.col("ts").alias("command_ts"), F.col("event_id").alias("command_id")).withWatermark("command_ts", timeout)
     s = statuses.select(F.col(key).alias("status_key"), F.col("ts").alias("status_ts"), F.col("event_id").alias("status_id")).withWatermark("status_ts", timeout)
     near = F.expr(f"key = status_key AND status_ts > command_ts AND status_ts <= command_ts + INTERVAL {timeout}")
-    return c.join(s, near).select("command_id", "status_id", "key", "command_ts", "status_ts")
+    return c.join(s, near, "leftOuter" if unanswered else "inner").select("command_id", "status_id", "key", "command_ts", "status_ts")
 
 
 #: Statuses that may follow each status of a device; None is before its first message.
 MACHINE = {None: ("Ready",), "Ready": ("Started",), "Started": ("Done", "Off"), "Done": ("Started", "Ready"), "Off": ("Ready", "Started", "On"), "On": ("Off", "Done")}
 
 
+_STATUSES = pd.Index([k for k in MACHINE if k])
+#: Which status (column) may follow which (row); the last row stands for no message yet, the last column for other texts.
+_MAY_FOLLOW = np.zeros((len(_STATUSES) + 1, len(_STATUSES) + 1), bool)
+for _before, _after in MACHINE.items():
+    _MAY_FOLLOW[len(_STATUSES) if _before is None else _STATUSES.get_loc(_before), _STATUSES.get_indexer(_after)] = True
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
+    """Columns of a key's rows of a trigger, by time and then id."""
+    parts = list(batches)
+    columns = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ts", "event_id", "status")}
+    order = np.lexsort((columns["event_id"], columns["ts"]))
+    return {c: v[order] for c, v in columns.items()}
+
+
 def state_machine(stream: DataFrame) -> DataFrame:
     """Changes of status that a device's last status doesn't allow are marked; every message gives a row.
 
-    A device's state is its last message's time, id and status, whatever the number of messages.
+    A device's state is its last status, whatever the number of messages; a trigger's messages are looked up at once.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed, last = [], before
-        for status in rows["status"]:
-            allowed.append(status in MACHINE.get(last, ()))
-            last = status
-        state.update((last,))
-        yield pd.DataFrame({"device_id": key[0], "event_id": rows["event_id"], "before": [before, *rows["status"][:-1]], "status": rows["status"], "allowed": allowed})
+        last = state.get[0] if state.exists else None
+        rows = _in_order(batches)
+        before = np.concatenate([np.array([last], object), rows["status"][:-1]])
+        code, code_before = _STATUSES.get_indexer(rows["status"]), _STATUSES.get_indexer(before)
+        allowed = _MAY_FOLLOW[code_before, code] & (code >= 0)
+        if last is not None and code_before[0] < 0:
+            allowed[0] = False  # an unknown status allows nothing
+        allowed[1:] &= code_before[1:] >= 0
+        state.update((rows["status"][-1],))
+        yield pd.DataFrame({"device_id": key[0], "event_id": rows["event_id"], "before": before, "status": rows["status"], "allowed": allowed})
 
     return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, event_id long, before string, status string, allowed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
 
@@ -111,44 +136,56 @@ def state_machine(stream: DataFrame) -> DataFrame:
 def operating_time(stream: DataFrame) -> DataFrame:
     """Sessions from the first On to the next Off of each device, as they close: start, stop, seconds.
 
-    A device's state is the time of the On that is open, or nothing.
+    A device's state is the time of the On that is open, or nothing. Of a trigger's messages those count that change
+    from Off to On or back.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, status in zip(rows["ts"], rows["status"]):
-            if status == "On" and opened is None:
-                opened = ts
-            elif status == "Off" and opened is not None:
-                out.append((key[0], opened, ts, int(ts.timestamp() // 1) - int(opened.timestamp() // 1)))
-                opened = None
-        if opened is not None:
-            state.update((opened.value // 1000,))
+        rows = _in_order(batches)
+        switch = np.flatnonzero((rows["status"] == "On") | (rows["status"] == "Off"))
+        on, ts = rows["status"][switch] == "On", rows["ts"][switch].astype("datetime64[us]")
+        if state.exists:
+            on, ts = np.concatenate([[True], on]), np.concatenate([np.array([state.get[0]], "datetime64[us]"), ts])
+        turned = np.flatnonzero(on != np.concatenate([[False], on[:-1]]))
+        start, stop = ts[turned[::2]], ts[turned[1::2]]
+        if len(start) > len(stop):
+            state.update((int(start[-1].astype(np.int64)),))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["device_id", "start", "stop", "seconds"])
+        if len(stop):
+            whole = lambda t: t.astype("datetime64[s]").astype(np.int64)
+            start = start[: len(stop)]
+            yield pd.DataFrame({"device_id": key[0], "start": start, "stop": stop, "seconds": whole(stop) - whole(start)})
 
     return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, start timestamp, stop timestamp, seconds long", "opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def each_dataset_once(arriving: DataFrame, process: Callable[[DataFrame], DataFrame], key: str = "dataset_id") -> DataFrame:
+def each_dataset_once(arriving: DataFrame, process: Callable[[DataFrame], DataFrame], key: str = "dataset_id", expected: str | None = None, folder: str | None = None) -> DataFrame:
     """Apply a batch job to datasets as they arrive, each once: those in the ledger of done ones are left out.
 
-    A trigger that is done again overwrites its own results and ledger entries, which it doesn't count as done.
+    With `expected`, a column that tells how many different rows a dataset has, a dataset whose rows come in several
+    triggers waits for its last ones; without it, what a trigger brings of a dataset is taken for all of it. A trigger
+    that is done again overwrites its own results, ledger entries and waiting rows. With the same `folder`, a later run
+    goes on where the last one ended.
     """
     spark: SparkSession = arriving.sparkSession
-    to, ledger, state = scratch(spark, "results"), scratch(spark, "ledger"), scratch(spark, "stream-state")
+    folder = folder or scratch(spark, "datasets")
+    to, ledger, waiting = (f"{folder}/{name}" for name in ("results", "ledger", "waiting"))
     schema = f"{key} {arriving.schema[key].dataType.simpleString()}, batch long"
 
     def put(rows: DataFrame, batch: int) -> None:
         if batch:
             done = spark.read.schema(schema).parquet(ledger).filter(F.col("batch") < batch)
-            rows = rows.join(done.select(key).distinct(), key, "left_anti")
+            rows = rows.join(done.select(key).distinct(), key, "left_anti").select(arriving.columns)
+        if expected:
+            if batch:
+                rows = rows.unionByName(spark.read.schema(arriving.schema).parquet(f"{waiting}/batch={batch - 1}"))
+            rows = rows.distinct()
+            whole = rows.groupBy(key).agg(F.count("*").alias("n"), F.max(expected).alias("of")).filter("n >= of").select(key)
+            rows.join(whole, key, "left_anti").select(arriving.columns).write.mode("overwrite").parquet(f"{waiting}/batch={batch}")
+            rows = rows.join(whole, key, "left_semi").select(arriving.columns)
         process(rows).write.mode("overwrite").parquet(f"{to}/batch={batch}")
         rows.select(key).distinct().write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
 
-    arriving.writeStream.option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    arriving.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(to).drop("batch")

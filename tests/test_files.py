@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,27 +10,23 @@ from pyspark.sql import functions as F
 from pixelframe.sources import files as S
 
 
-def png(pixels: np.ndarray) -> bytes:
-    """An RGB image, given as B, G, R."""
-    h, w, _ = pixels.shape
-    raw = b"".join(b"\0" + line[:, ::-1].astype(np.uint8).tobytes() for line in pixels)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
 def test_images_and_scanlines(spark, tmp_path):
     rng = np.random.default_rng(1)
-    images = {f"{k}.png": rng.integers(0, 256, (5, 7, 3)) for k in "ba"}
-    for name, pixels in images.items():
-        (tmp_path / name).write_bytes(png(pixels))
-    (tmp_path / "notes.txt").write_text("x")
-    found = {r.path.rsplit("/", 1)[1]: r.seq for r in S.scan_images(spark, str(tmp_path)).collect()}
-    assert found == {"a.png": 0, "b.png": 1}
-    rows = S.decode_scanlines(spark, str(tmp_path / "*.png")).collect()
-    assert len(rows) == 10
-    for r in rows:
-        line = images[r.path.rsplit("/", 1)[1]][r.y]
-        assert (r.w, r.h) == (7, 5) and [r.b, r.g, r.r] == line.T.tolist()
+    images = {k: rng.integers(0, 256, (5 + k, 700, 3)) for k in range(3)}
+    rows = [(4, 10 + k, k, y, *(p[y, :, c].tolist() for c in range(3))) for k, p in images.items() for y in range(len(p))]
+    lines = spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, b array<int>, g array<int>, r array<int>")
+    assert S.write_images(lines.repartition(5), str(tmp_path)) == 3
+    folder = tmp_path / "4"
+    for name in ("a.png", "b.JPEGX", "notes.txt"):
+        (folder / name).write_text("x")
+    (folder / "00000001.jpg").rename(folder / "00000001.JPEG")
+    found = {r.path.rsplit("/", 1)[1]: r.seq for r in S.scan_images(spark, str(folder)).collect()}
+    assert found == {"00000000.jpg": 0, "00000001.JPEG": 1, "00000002.jpg": 2}
+    got = S.decode_scanlines(spark, str(folder / "0*"), lines_at_once=2).collect()
+    assert len(got) == 18
+    for r in got:
+        pixels = images[int(r.path.rsplit("/", 1)[1].split(".")[0])]
+        assert (r.w, r.h) == (700, len(pixels)) and [r.b, r.g, r.r] == pixels[r.y].T.tolist()
 
 
 def test_datasets_metadata_and_markers(spark, tmp_path):
@@ -58,11 +52,17 @@ def test_ledger(spark, tmp_path):
     S.append_integrity(files.select(F.upper("filename").alias("filename"), "size", "sha1"), to)
     assert sorted(r.filename for r in S.read_integrity_ledger(spark, to).collect()) == ["A", "B", "a", "b"]
     assert S.valid_ledgers(spark, to).count() == 1
+    # entries without the two head lines aren't believed
+    (tmp_path / "ledgers" / "bad").mkdir(parents=True)
+    (tmp_path / "ledgers" / "bad" / "x").write_text("# filename,size,sha1\nz,1,q\n")
+    (tmp_path / "ledgers" / "good").mkdir()
+    (tmp_path / "ledgers" / "good" / "x").write_text("\n".join([*S.LEDGER_HEAD, "k,1,q", ""]))
+    assert [r.filename for r in S.read_integrity_ledger(spark, str(tmp_path / "ledgers")).collect()] == ["k"]
 
 
 def test_export_has_two_header_lines(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, 0.5, True), ("q", 2, None, False)], "name string, n int, v double, flag boolean").withColumnRenamed("v", "perim.")
-    S.export_tsv(rows, str(tmp_path / "t"))
+    S.export_tsv(rows.coalesce(1), str(tmp_path / "t"))
     (part,) = (tmp_path / "t").glob("part-*")
     lines = part.read_text().splitlines()
     assert lines[0].split("\t") == ["name", "n", "perim.", "flag"] and lines[1].split("\t") == ["[t]", "[f]", "[f]", "[t]"]
@@ -74,6 +74,22 @@ def test_export_has_two_header_lines(spark, tmp_path):
         assert len(part.read_text().splitlines()) == 3
 
 
+def test_export_keeps_every_row(spark, tmp_path):
+    """Rows of nulls and rows that look like type codes are data; many tasks write many files, each with its head."""
+    odd = [(None, None), ("[t]", "[f]"), ("[f]", None), ("x", "y"), ("", "z")]
+    rows = spark.createDataFrame(odd * 3, "a string, b string").repartition(4)
+    S.export_tsv(rows, str(tmp_path / "t"))
+    back = S.read_export_tsv(spark, str(tmp_path / "t")).collect()
+    want = [tuple(v or None for v in r) for r in odd * 3]  # an empty text reads as null
+    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, want))
+    parts = list((tmp_path / "t").glob("part-*"))
+    assert len(parts) > 1 and all(p.read_text().splitlines()[:2] == ["a\tb", "[t]\t[t]"] for p in parts)
+    S.export_tsv(rows.withColumn("k", F.lit(1)).unionByName(rows.withColumn("k", F.lit(2))), str(tmp_path / "by"), partition_by="k", files=3)
+    assert S.read_export_tsv(spark, str(tmp_path / "by" / "k=2")).count() == 15
+    S.export_tsv(rows.limit(0), str(tmp_path / "none"))
+    assert not [p for p in (tmp_path / "none").glob("part-*") if len(p.read_text().splitlines()) > 2]
+
+
 def test_new_acquisitions_only(spark, tmp_path):
     new = spark.createDataFrame([("d", "s", "a", 1), ("d", "s", "b", 2)], "object_date string, sample_id string, acq_id string, n int")
     old = spark.createDataFrame([("d", "s", "a")], "object_date string, sample_id string, acq_id string")

@@ -15,6 +15,7 @@ from pixelframe.operators import regions as R
 from pixelframe.plans import segmentation as G
 
 H, W = 14, 17
+MASK = "dataset_id long, image_id long, seq long, h int, w int, y int, x int"
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +31,8 @@ def masks():
 
 @pytest.fixture(scope="module")
 def mask_df(spark, masks):
-    rows = [(1, k, k, int(y), int(x)) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
-    return spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, x int")
+    rows = [(1, k, k, H, W, int(y), int(x)) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    return spark.createDataFrame(rows, MASK)
 
 
 def as_masks(df, n):
@@ -43,18 +44,19 @@ def as_masks(df, n):
 
 def brute_morph(m, kernel, erode):
     out = np.zeros_like(m)
-    for y in range(H):
-        for x in range(W):
-            hits = [m[y + dy, x + dx] for dy, dx in kernel if 0 <= y + dy < H and 0 <= x + dx < W]
+    h, w = m.shape
+    for y in range(h):
+        for x in range(w):
+            hits = [m[y + dy, x + dx] for dy, dx in kernel if 0 <= y + dy < h and 0 <= x + dx < w]
             out[y, x] = all(hits) if erode else any(hits)
     return out
 
 
 @pytest.mark.parametrize("kernel", [M.SQUARE, M.ELLIPSE])
 def test_erode_and_dilate(mask_df, masks, kernel):
-    for got, m in zip(as_masks(M.erode(mask_df, H, W, kernel), len(masks)), masks):
+    for got, m in zip(as_masks(M.erode(mask_df, kernel), len(masks)), masks):
         assert np.array_equal(got, brute_morph(m, kernel, True))
-    for got, m in zip(as_masks(M.dilate(mask_df, H, W, kernel), len(masks)), masks):
+    for got, m in zip(as_masks(M.dilate(mask_df, kernel), len(masks)), masks):
         assert np.array_equal(got, brute_morph(m, kernel, False))
 
 
@@ -70,7 +72,41 @@ def test_previous_mask(mask_df, masks):
 
 def test_unknown_operation(mask_df):
     with pytest.raises(ValueError):
-        M.mask_pipeline(mask_df, ["sharpen"], H, W)
+        M.mask_pipeline(mask_df, ["sharpen"])
+
+
+def test_pipeline_of_images_of_several_sizes(spark, monkeypatch):
+    """Sizes are the images' own; stages, runs and pixels agree with one operation after the other."""
+    rng = np.random.default_rng(9)
+    shapes = [(5, 30), (5, 30), (40, 9), (1, 1), (23, 23), (5, 30), (3, 7)]
+    images = [rng.random(shape) < 0.7 for shape in shapes]
+    rows = [(1, k, k, *m.shape, int(y), int(x)) for k, m in enumerate(images) for y, x in zip(*np.nonzero(m))]
+    df = spark.createDataFrame(rows, MASK).repartition(3)
+    names = ["no_op", "erode", "dilate", "close", "erode2"]
+    want: dict[int, dict[int, np.ndarray]] = {0: {k: m for k, m in enumerate(images)}}
+    for k, m in enumerate(images):
+        want.setdefault(1, {})[k] = one = brute_morph(m, M.SQUARE, True)
+        want.setdefault(2, {})[k] = two = brute_morph(one, M.ELLIPSE, False)
+        want.setdefault(3, {})[k] = three = brute_morph(brute_morph(two, M.ELLIPSE, False), M.ELLIPSE, True)
+        want.setdefault(4, {})[k] = brute_morph(three, M.ELLIPSE, True)
+    spots = lambda masks: {(k, int(y), int(x)) for k, m in masks.items() for y, x in zip(*np.nonzero(m))}
+    for most in (M.MOST_PIXELS, 200):
+        monkeypatch.setattr(M, "MOST_PIXELS", most)
+        assert {(r.image_id, r.y, r.x) for r in M.mask_pipeline(df, names).collect()} == spots(want[4])
+        runs = M.pipeline_runs(df, names).collect()
+        assert {(r.image_id, r.y, x) for r in runs for x in range(r.x0, r.x1 + 1)} == spots(want[4])
+        assert sorted(map(tuple, runs)) == sorted(map(tuple, M.mask_runs(M.mask_pipeline(df, names)).select(runs[0].__fields__).collect()))
+    stages = M.stage_masks(df, names).collect()
+    assert {(r.k, r.stage) for r in stages} == set(enumerate(names))
+    for k in range(5):
+        assert {(r.image_id, r.y, r.x) for r in stages if r.k == k} == spots(want[k])
+    first = M.stage_masks(df, ["remove_previous_mask", "erode"]).filter("k = 0").count()
+    assert first == M.remove_previous_mask(df).count()
+    counts = {(r.image_id, r.y, r.x): r.n for r in M.neighbour_counts(df).collect()}
+    for k, m in enumerate(images):
+        p = np.pad(m, 1).astype(int)
+        n = sum(p[1 + dy : 1 + dy + m.shape[0], 1 + dx : 1 + dx + m.shape[1]] for dy, dx in M.AROUND)
+        assert all(counts[k, int(y), int(x)] == n[y, x] for y, x in zip(*np.nonzero(m)))
 
 
 def brute_labels(m, steps):
@@ -128,8 +164,8 @@ def test_labels_of_a_spiral(spark):
         turns += 1
         if turns > 2 and turns % 2 == 1:
             step -= 2
-    rows = [(1, 1, 0, int(a), int(b)) for a, b in zip(*np.nonzero(m))]
-    df = spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, x int")
+    rows = [(1, 1, 0, n, n, int(a), int(b)) for a, b in zip(*np.nonzero(m))]
+    df = spark.createDataFrame(rows, MASK)
     assert R.label_regions(M.mask_runs(df)).select("label").distinct().count() == brute_labels(m, EIGHT)[1]
 
 
@@ -154,14 +190,14 @@ def test_geometry_and_moments(runs, masks):
 def test_filled_area_and_euler(runs, masks):
     geometry = R.region_geometry(runs)
     area = {(r.image_id, r.label): r.area for r in R.region_filled_area(geometry, R.region_holes(runs, geometry)).collect()}
-    euler = {(r.image_id, r.label): r.euler_number for r in R.region_euler(R.region_pixels(runs)).collect()}
+    euler = {(r.image_id, r.label): r.euler_number for r in R.region_euler(runs).collect()}
     for k, r, m in regions_of(masks):
         assert area[k, r] == m.sum() + holes_of(m, EIGHT)[0].sum()
         assert euler[k, r] == 1 - holes_of(m, FOUR)[1]
 
 
 def test_perimeter(runs, masks):
-    got = {(r.image_id, r.label): r.perim for r in R.region_perimeter(R.region_pixels(runs)).collect()}
+    got = {(r.image_id, r.label): r.perim for r in R.region_perimeter(runs).collect()}
     weight = {c: w for w, codes in R.PERIMETER_WEIGHTS.items() for c in codes}
     for k, r, m in regions_of(masks):
         p = np.pad(m, 1)
@@ -279,10 +315,10 @@ def test_thresholds(colour):
 
 def test_measurements_move_with_the_image(spark, masks):
     m = masks[5]
-    rows = [(1, k, k, int(y) + k, int(x) + 2 * k) for k in range(3) for y, x in zip(*np.nonzero(m))]
-    df = spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, x int")
+    rows = [(1, k, k, 30, 40, int(y) + k, int(x) + 2 * k) for k in range(3) for y, x in zip(*np.nonzero(m))]
+    df = spark.createDataFrame(rows, MASK)
     lines = spark.createDataFrame([(1, k, k, y, 40, 30, [5] * 40, [6] * 40, [7] * 40) for k in range(3) for y in range(30)], "dataset_id long, image_id long, seq long, y int, w int, h int, b array<int>, g array<int>, r array<int>")
-    got = sorted(G.measure(df, lines, 1).collect(), key=lambda r: (r.image_id, r.label))
+    got = sorted(G.measure(R.label_regions(M.mask_runs(df)), lines, 1).collect(), key=lambda r: (r.image_id, r.label))
     first = {r.label: r for r in got if r.image_id == 0}
     assert len(got) == 3 * len(first)
     for r in got:
@@ -306,11 +342,18 @@ def test_cumulative_average_is_the_recurrence(spark):
             cma = (cma * s + n) / (s + 1)
 
 
-def brute_segment(images, excess, most_epochs):
-    """The feedback image by image, without morphology: foreground pixels, and how many backgrounds were new."""
+def shifted_morph(m, kernel, erode):
+    """brute_morph for larger frames: one shift of the whole frame for each of the kernel's cells."""
+    p = np.pad(m, 9, constant_values=erode)
+    some = [p[9 + dy : 9 + dy + m.shape[0], 9 + dx : 9 + dx + m.shape[1]] for dy, dx in kernel]
+    return np.logical_and.reduce(some) if erode else np.logical_or.reduce(some)
+
+
+def brute_segment(images, excess, most_epochs, names, least=0.0):
+    """The feedback image by image: foreground pixels of kept regions, and how many backgrounds were new."""
     count, first, used, out, counts, epochs = len(images), 0, min(len(images), 10), set(), [], 0
     used -= used % 2 == 0
-    again = False
+    again, previous = False, None
     for i in range(count):
         if again and epochs < most_epochs:
             epochs += 1
@@ -320,21 +363,53 @@ def brute_segment(images, excess, most_epochs):
         ratio = np.floor(np.clip(images[i] / flat, 0, 1.04) / 1.04 * 255).astype(int)
         ratio[0, 0] = 0
         g = gray_of(ratio)
-        m = g <= triangle(np.bincount(g.ravel(), minlength=256))
-        out |= {(i, int(y), int(x)) for y, x in zip(*np.nonzero(m))}
-        n = brute_labels(m, EIGHT)[1]
-        again = bool(sum(counts)) and n > sum(counts) / len(counts) + excess
-        counts.append(n)
+        raw = m = g <= triangle(np.bincount(g.ravel(), minlength=256))
+        for name in names:
+            if name == "remove_previous_mask":
+                m = m & ~previous if previous is not None else m
+            elif name == "erode":
+                m = shifted_morph(m, M.SQUARE, True)
+            elif name != "no_op":
+                for erosion in {"dilate": (False,), "close": (False, True), "erode2": (True,)}[name]:
+                    m = shifted_morph(m, M.ELLIPSE, erosion)
+        previous = raw
+        labels, n = brute_labels(m, EIGHT)
+        kept = [k for k in range(1, n + 1) if math.sqrt(4 * (labels == k).sum() / math.pi) >= least]
+        out |= {(i, int(y), int(x)) for k in kept for y, x in zip(*np.nonzero(labels == k))}
+        again = bool(sum(counts)) and len(kept) > sum(counts) / len(counts) + excess
+        counts.append(len(kept))
     return out, epochs
 
 
-def test_background_feedback_goes_on_to_the_last_trigger(spark, monkeypatch):
-    monkeypatch.setattr(M, "mask_pipeline", lambda mask, *_: mask)
-    monkeypatch.setattr(G, "measure", lambda mask, *_: mask)
-    images = np.random.default_rng(5).integers(100, 256, (12, 8, 8, 3))
-    want, epochs = brute_segment(images, -4, 99)
-    assert epochs > 8 and brute_segment(images, -4, 7)[0] != want
-    rows = [(1, k, k, y, 8, 8, *(image[y, :, c].tolist() for c in range(3))) for k, image in enumerate(images) for y in range(8)]
-    lines = spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, w int, h int, b array<int>, g array<int>, r array<int>")
-    got = G.segment(lines, 8, 8, 1, excess=-4).select("image_id", "y", "x").collect()
+def colour_lines(spark, images):
+    rows = [(1, k, k, y, image.shape[1], image.shape[0], *(image[y, :, c].tolist() for c in range(3))) for k, image in enumerate(images) for y in range(image.shape[0])]
+    return spark.createDataFrame(rows, "dataset_id long, image_id long, seq long, y int, w int, h int, b array<int>, g array<int>, r array<int>")
+
+
+@pytest.mark.parametrize("count", [10, 12])
+def test_background_feedback_goes_on_to_the_last_trigger(spark, monkeypatch, count):
+    monkeypatch.setattr(M, "pipeline_names", lambda *_: ["no_op"])
+    monkeypatch.setattr(G, "measure", lambda regions, *_: R.region_pixels(regions))
+    images = np.random.default_rng(5).integers(100, 256, (count, 8, 8, 3))
+    want, epochs = brute_segment(images, -4, 99, ["no_op"])
+    assert epochs >= min(count - 4, 9)
+    got = G.segment(colour_lines(spark, images), 1, excess=-4).select("image_id", "y", "x").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("previous", [False, True])
+def test_segmentation_with_planted_jumps(spark, tmp_path, previous):
+    """Spots on an even ground, many more of them in some images, with the whole pipeline of operations."""
+    rng = np.random.default_rng(8)
+    images = rng.integers(205, 215, (14, 120, 150, 3))
+    for k in range(14):
+        cells = [(30 * a, 30 * b) for a in range(4) for b in range(5)]
+        rng.shuffle(cells)
+        for y, x in cells[: 13 if k in (5, 9, 10) else 3]:
+            images[k, y + 8 : y + 15, x + 8 : x + 15] //= 3
+    want, epochs = brute_segment(images, 3, 99, M.pipeline_names(previous), 2.0)
+    assert epochs >= 2
+    rows = G.segment(colour_lines(spark, images), 2.0, 3, previous, str(tmp_path / "stages")).collect()
+    assert sum(r.area_exc for r in rows) == len(want) and {r.image_id for r in rows} == {i for i, _, _ in want}
+    masks = spark.read.parquet(str(tmp_path / "stages" / "epoch=0")).filter("k = 4")
+    assert masks.select("image_id").distinct().count() == 14 and (tmp_path / "stages" / f"epoch={epochs}").exists()

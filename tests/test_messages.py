@@ -60,6 +60,61 @@ def test_state_carries_over_triggers(spark):
     assert got == {0: (None, True), 1: ("Ready", True), 2: ("Started", True), 3: ("Done", True), 4: ("Started", False), 5: (None, False), 6: ("Started", False)}
 
 
+def test_state_machine_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(5), rng.randrange(400), rng.choice([*[k for k in J.MACHINE if k], "Odd"])) for _ in range(600)]
+    df = log(spark, rows)
+    want, sessions, last, opened = {}, [], {}, {}
+    for k, (d, s, status) in sorted(enumerate(rows), key=lambda r: (r[1][1], r[0])):
+        want[k] = (last.get(d), status in J.MACHINE.get(last.get(d), ()))
+        last[d] = status
+        if status == "On" and d not in opened:
+            opened[d] = s
+        elif status == "Off" and d in opened:
+            sessions.append((d, T0 + timedelta(seconds=opened[d]), s - opened.pop(d)))
+    got = {r.event_id: (r.before, r.allowed) for r in J.run(J.state_machine(J.message_stream(df, parts=3))).collect()}
+    assert got == want
+    out = J.run(J.operating_time(J.message_stream(df, parts=3))).collect()
+    assert sorted((r.device_id, r.seconds) for r in out) == sorted((d, n) for d, _, n in sessions)
+
+
+def test_unanswered_commands_come_out(spark):
+    df = log(spark, [(1, 0, "Started"), (1, 5, "Done"), (2, 10, "Started"), (2, 500, "Done"), (1, 5000, "Started"), (1, 5001, "Done"), (1, 9000, "Started"), (1, 9001, "Done"), (1, 9002, "Done")])
+    stream = J.message_stream(df)
+    out = J.run(J.answered_within(stream.filter("status = 'Started'"), stream.filter("status = 'Done'"), "device_id", "60 SECONDS", unanswered=True))
+    got = {(r.command_id, r.status_id) for r in out.collect()}
+    assert {(0, 1), (2, None), (4, 5), (6, 7), (6, 8)} == got
+
+
+def test_a_run_goes_on_in_its_folder(spark, tmp_path):
+    to, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    df = log(spark, [(1, 0, "Ready"), (1, 100, "Started")]).withColumn("ts", F.col("ts").cast("timestamp"))
+    df.filter("event_id = 0").write.parquet(to)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(to)
+    assert [r.event_id for r in J.run(J.state_machine(stream()), folder=folder).collect()] == [0]
+    df.filter("event_id = 1").write.mode("append").parquet(to)
+    got = {r.event_id: (r.before, r.allowed) for r in J.run(J.state_machine(stream()), folder=folder).collect()}
+    assert got == {0: (None, True), 1: ("Ready", True)}
+
+
+def test_datasets_wait_for_their_last_rows(spark, tmp_path):
+    to = str(tmp_path / "in")
+    rows = [(0, 1, 3), (0, 2, 3), (1, 1, 1), (0, 3, 3), (2, 1, 2), (1, 1, 1), (2, 2, 2), (3, 1, 9)]
+    for k in range(0, 8, 2):
+        spark.createDataFrame(rows[k : k + 2], "dataset_id long, v long, of long").coalesce(1).write.mode("append").parquet(to)
+    stream = spark.readStream.schema("dataset_id long, v long, of long").option("maxFilesPerTrigger", 1).parquet(to)
+    out = J.each_dataset_once(stream, lambda r: r.groupBy("dataset_id").agg(F.count("*").alias("n")), expected="of")
+    assert sorted(map(tuple, out.collect())) == [(0, 3), (1, 1), (2, 2)]
+
+
+def test_names_of_a_report_are_limited(spark):
+    v = spark.createDataFrame([("d", f"f{k}", "valid" if k % 2 else "missing") for k in range(9)], "dir string, filename string, status string")
+    got = {r.status: (r.n, r.names) for r in K.by_status(v, 2).collect()}
+    assert got == {"valid": (4, ["f1", "f3"]), "missing": (5, ["f0", "f2"])}
+
+
 def test_late_rows_are_left_out(spark):
     df = log(spark, [(1, 0, "On"), (1, 30, "On"), (1, 90_000, "On"), (1, 180_000, "On")])
     out = J.run(J.per_window(J.message_stream(df, parts=4), "1 day", "10 minutes"), "append")
