@@ -238,9 +238,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return g.select("image_id", "label", "bx", "by", "width", "height", "area_exc", *[F.round(c, 6).alias(c) for c in ("x", "y", "local_centroid_col", "local_centroid_row", "extent", "equivalent_diameter")], "bounding_box_area")
 
 
-_MOMENTS = f"""{_GEOMETRY}, m AS (SELECT *, (n * sxx - sx * sx) / (n * n) AS mxx, (n * syy - sy * sy) / (n * n) AS myy, (n * sxy - sx * sy) / (n * n) AS mxy FROM geometry),
-l AS (SELECT *, greatest((mxx + myy) / 2 + sqrt(((mxx - myy) / 2) * ((mxx - myy) / 2) + mxy * mxy), 0) AS l1, greatest((mxx + myy) / 2 - sqrt(((mxx - myy) / 2) * ((mxx - myy) / 2) + mxy * mxy), 0) AS l2 FROM m),
-moments AS (SELECT image_id, label, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, CASE WHEN l1 = 0 THEN 0 ELSE sqrt(1 - l2 / l1) END AS eccentricity, CASE WHEN mxx = myy THEN CASE WHEN -mxy < 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE 0.5 * atan2(2 * mxy + 0.0, myy - mxx) END / pi() * 180 + 90 AS angle, 4 * sqrt(l1) / nullif(4 * sqrt(l2), 0) AS elongation FROM l)"""
+_MOMENTS = f"""{_GEOMETRY}, central AS (SELECT *, (n * sxx - sx * sx) / (n * n) AS mxx, (n * syy - sy * sy) / (n * n) AS myy, (n * sxy - sx * sy) / (n * n) AS mxy FROM geometry),
+spread AS (SELECT *, greatest((mxx + myy) / 2 + sqrt(((mxx - myy) / 2) * ((mxx - myy) / 2) + mxy * mxy), 0) AS l1, greatest((mxx + myy) / 2 - sqrt(((mxx - myy) / 2) * ((mxx - myy) / 2) + mxy * mxy), 0) AS l2 FROM central),
+moments AS (SELECT image_id, label, 4 * sqrt(l1) AS major, 4 * sqrt(l2) AS minor, CASE WHEN l1 = 0 THEN 0 ELSE sqrt(1 - l2 / l1) END AS eccentricity, CASE WHEN mxx = myy THEN CASE WHEN -mxy < 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE 0.5 * atan2(2 * mxy + 0.0, myy - mxx) END / pi() * 180 + 90 AS angle, 4 * sqrt(l1) / nullif(4 * sqrt(l2), 0) AS elongation FROM spread)"""
 
 
 @query("region_moments", f"WITH {_MOMENTS} SELECT image_id, label, round(major, 5) AS major, round(minor, 5) AS minor, round(eccentricity, 5) AS eccentricity, round(angle, 5) AS angle, round(CASE WHEN minor > 0.001 THEN elongation END, 5) AS elongation FROM moments", ("regions",))
@@ -282,7 +282,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return R.region_euler(labelled(spark, d))
 
 
-@query("region_convex")
+# a pixel is in the hull if it is on the inner side of every line that can bound one of these small frames; the hull's
+# corners are middles of pixels' edges, so all is counted in halves
+_CONVEX = f"""{_GEOMETRY}, normals AS MATERIALIZED (SELECT a, b FROM range(-16, 17) u(a), range(-16, 17) v(b) WHERE gcd(abs(a), abs(b)) = 1),
+support AS MATERIALIZED (SELECT image_id, label, a, b, 2 * max(a * y + b * x) + greatest(abs(a), abs(b)) AS s FROM regions, normals GROUP BY image_id, label, a, b),
+boxes AS (SELECT image_id, label, ys.v AS y, xs.v AS x FROM geometry, range(0, 8) ys(v), range(0, 8) xs(v) WHERE ys.v BETWEEN top AND top + height - 1 AND xs.v BETWEEN bx AND bx + width - 1),
+hull AS (SELECT image_id, label, y, x FROM boxes JOIN support USING (image_id, label) GROUP BY image_id, label, y, x HAVING bool_and(2 * (a * y + b * x) <= s)),
+convex AS (SELECT image_id, label, count(*) AS convex_area FROM hull GROUP BY ALL)"""
+
+
+@query("region_convex", f"WITH {_CONVEX} SELECT image_id, label, convex_area, round(n / convex_area, 6) AS solidity FROM geometry JOIN convex USING (image_id, label)", ("regions",))
 def _(spark: SparkSession, d: str) -> DataFrame:
     runs = labelled(spark, d)
     g = R.region_geometry(runs).select("image_id", "label", "n")
@@ -371,13 +380,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.flat_epochs(_order_counts(spark, d), 1).withColumn("cma", F.round("cma", 6))
 
 
-@query("measure_objects")
+def rounded(measured: DataFrame) -> DataFrame:
+    """Measurements to five places, as sums in another order differ in the last ones; no elongation of mere lines."""
+    m = measured.withColumn("elongation", F.when(F.col("minor") > 0.001, F.col("elongation")))
+    return m.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
+# all measurements of kept regions, from the parts above; each part brings the regions' geometry in front
+_MEASURED = HSV_SQL + f", {_KEPT}" + "".join(", " + part.removeprefix(f"{_GEOMETRY}, ") for part in (_MOMENTS, _PERIMETER, _HOLES, _EULER, _CONVEX, _BLUR))
+_MEASURED += f""", spots AS (SELECT image_id, label, y, x FROM regions UNION ALL SELECT image_id, label, y, x FROM holes),
+colour AS (SELECT f.image_id, f.label, count(*) AS area, {_COLOUR.replace("6)", "5)")} FROM spots f JOIN hsv USING (image_id, y, x) GROUP BY 1, 2),
+blur AS (SELECT image_id, label, (count(*) * sum(l * l) - sum(l) * sum(l))::DOUBLE / (count(*) * count(*)) AS blur_laplacian FROM lap GROUP BY 1, 2),
+places AS (SELECT DISTINCT dataset_id, image_id, seq FROM bgr),
+measured AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) - 1 AS i FROM kept JOIN moments USING (image_id, label) JOIN perimeter USING (image_id, label) JOIN euler USING (image_id, label) JOIN convex USING (image_id, label) JOIN colour USING (image_id, label) JOIN blur USING (image_id, label) JOIN places USING (image_id))"""
+_ROUNDED = {
+    "x": "sx / n", "y": "sy / n", "local_centroid_col": "sx / n - bx", "local_centroid_row": "sy / n - top", "extent": "n / (width * height)", "equivalent_diameter": "sqrt(4 * n / pi())",
+    "major": "major", "minor": "minor", "eccentricity": "eccentricity", "angle": "angle", "elongation": "CASE WHEN minor > 0.001 THEN elongation END", "perim": "perim", "blur_laplacian": "blur_laplacian",
+    "circ": "4 * pi() * area / nullif(perim * perim, 0)", "circex": "4 * pi() * n / nullif(perim * perim, 0)", "pct_area": "1 - n / area", "perimareaexc": "perim / n", "perimmajor": "perim / nullif(major, 0)", "solidity": "n / convex_area",
+}
+_MEASUREMENTS = ", ".join(f"round({e}, 5) AS {c}" for c, e in _ROUNDED.items())
+_MEASURE = f"""{_MEASURED} SELECT dataset_id, image_id, seq, label, i::INT AS i, bx, top AS "by", width, height, n AS area_exc, (width * height)::BIGINT AS bounding_box_area, area, euler_number, convex_area, {_MEASUREMENTS}, MeanHue, MeanSaturation, MeanValue, StdHue, StdSaturation, StdValue FROM measured"""
+
+
+@query("measure_objects", _MEASURE, ("bgr", "regions"))
 def measure_objects(spark: SparkSession, d: str) -> DataFrame:
     """One row a kept region of the single-channel masks with all measurements."""
-    return G.measure(labelled(spark, d), T.scanlines(spark, d), MIN_ESD)
+    return rounded(G.measure(labelled(spark, d), T.scanlines(spark, d), MIN_ESD))
+
+
+@query("export_objects", f"""{_MEASURED} SELECT dataset_id::VARCHAR AS acq_id, image_id || '_' || i AS object_id, area_exc_::VARCHAR AS object_area_exc, area::VARCHAR AS "object_area", convex_area::VARCHAR AS object_convex_area, euler_number::VARCHAR AS object_euler_number, bx::VARCHAR AS object_bx, width::VARCHAR AS object_width FROM (SELECT *, n AS area_exc_ FROM measured)""", ("bgr", "regions"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The measurement table exported under the export's own names, and read back; whole numbers are compared as text."""
+    to = files_.scratch(spark, "export")
+    files_.export_tsv(G.export_table(G.measure(labelled(spark, d), T.scanlines(spark, d), MIN_ESD)), to)
+    read = files_.read_export_tsv(spark, to)
+    return read.select("acq_id", "object_id", "object_area_exc", "object_area", "object_convex_area", "object_euler_number", "object_bx", "object_width")
 
 
 @query("segment_datasets")
 def segment_datasets(spark: SparkSession, d: str) -> DataFrame:
     """The default pipeline with background, correction, triangle threshold, morphology and feedback."""
-    return G.segment(T.scanlines(spark, d), MIN_ESD)
+    return rounded(G.segment(T.scanlines(spark, d), MIN_ESD))

@@ -37,6 +37,12 @@ def derived_ratios(measured: DataFrame) -> DataFrame:
     )
 
 
+def export_table(measured: DataFrame) -> DataFrame:
+    """Measured objects as rows of the export: ids, then all measurements in its order and under its names."""
+    object_id = F.concat_ws("_", F.col("image_id").cast("string"), F.col("i").cast("string"))
+    return measured.select(F.col("dataset_id").cast("string").alias("acq_id"), object_id.alias("object_id"), *[F.col(c).alias(f"object_{name}") for c, name in EXPORT_NAMES.items()])
+
+
 def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """Corrected and thresholded masks of all images."""
     grays = stored(P.gray_lines(P.flat_correct(lines, flat, by=by)), "gray")

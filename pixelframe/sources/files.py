@@ -204,16 +204,22 @@ def export_tsv(rows: DataFrame, to: str, partition_by: str | None = None, files:
                 yield batch.slice(at, stop - at)
                 at = stop
 
-    out = text.mapInArrow(with_codes, text.schema)
+    # names with dots don't pass through Arrow functions
+    plain = text.toDF(*[f"c{k}" for k in range(len(text.columns))])
+    out = plain.mapInArrow(with_codes, plain.schema).toDF(*text.columns)
     writer = out.write.partitionBy(partition_by) if partition_by else out.write
     writer.csv(to, sep="\t", header=True, emptyValue="")
 
 
 def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Data rows of exported tables. The line of type codes is the first record of each file, whatever it holds."""
-    read = spark.read.csv(path, sep="\t", header=True)
+    """Data rows of exported tables. The line of type codes is the first record of each file, whatever it holds.
+
+    Values may hold line ends and rows may be empty, so a file is read as a whole; exports are many files.
+    """
+    read = spark.read.csv(path, sep="\t", header=True, multiLine=True)
     names = read.columns
-    placed = read.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    own = [f"c{k}" for k in range(len(names))]
+    placed = read.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
     def data(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # a task reads its parts of files one after the other, each from its start
@@ -225,9 +231,9 @@ def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
             first[1:] = files[1:] != files[:-1]
             first[0] = files[0] != before
             before = files[-1]
-            yield batch.filter(pa.array(~(first & (blocks == 0)))).select(names)
+            yield batch.filter(pa.array(~(first & (blocks == 0)))).select(own)
 
-    return placed.mapInArrow(data, read.schema)
+    return placed.mapInArrow(data, ", ".join(f"{o} string" for o in own)).toDF(*names)
 
 
 def write_stage_snapshots(mask: DataFrame, names: list[str], to: str) -> None:
