@@ -658,6 +658,9 @@ def test_tilts_equal_a_plain_solver(spark):
         by[r.source].append(r)
     for docs in by.values():
         size, copies = (np.array([r[c] for r in docs], float) for c in ("size", "copies"))
+        assert abs((size * copies).sum() - docs[0].target) <= 3 + 0.01 * docs[0].target
+        if size.max() > 10_000:
+            continue  # whether this one text is taken moves many small ones
         low, high = -1.0, 1.0
         for _ in range(200):
             t = (low + high) / 2
