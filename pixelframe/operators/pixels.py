@@ -6,7 +6,11 @@ frames are never exploded here; only what passes a threshold becomes pixels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.functions.scalars import gray
@@ -28,16 +32,30 @@ def background_images(all_images: DataFrame, n: int = 10) -> DataFrame:
 def median_flat(lines: DataFrame, channels: tuple[str, ...] = ("b", "g", "r"), by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """The upper median of each pixel and channel over the images given, as scanlines by `by` and y.
 
-    At most the background's few images meet in a group. Each place is sorted within the row's arrays.
+    At most the background's few images meet in a group; a row's lines are sorted place by place at once.
     """
-    stacked = lines.groupBy(*by, "y").agg(F.max("w").alias("w"), F.collect_list(F.struct(*channels)).alias("rows"))
+    stacked = lines.groupBy(*by, "y").agg(*[F.collect_list(c).alias(c) for c in channels])
+
+    def median(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for column in batch.columns[len(by) + 1 :]:
+                out.append(_lists([np.sort(r, axis=0)[len(r) // 2] for r in map(_stacked, column)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], *out], names=[*by, "y", *channels])
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    return stacked.mapInArrow(median, ", ".join([*(f"{k} {kinds[k]}" for k in (*by, "y")), *(f"{c} array<int>" for c in channels)]))
+
+
+def _stacked(lists: pa.ListScalar) -> np.ndarray:
+    """Equally long lists of a row as a matrix."""
+    inner = lists.values
+    return inner.flatten().to_numpy().reshape(len(inner), -1)
 
-    def median(c: str) -> Column:
-        middle = F.floor(F.size("rows") / 2).cast("int")
-        at = lambda x: F.get(F.sort_array(F.transform("rows", lambda r: F.get(r[c], x))), middle)
-        return F.transform(F.sequence(F.lit(0), F.col("w") - 1), at)
 
-    return stacked.select(*by, "y", *[median(c).alias(c) for c in channels])
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
 def flat_correct(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...] = ("b", "g", "r"), by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
@@ -46,21 +64,41 @@ def flat_correct(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...] =
     Where the background is 0: 255 if the pixel isn't, else 0.
     """
 
-    def corrected(c: str) -> Column:
-        def at(p: Column, f: Column) -> Column:
-            ratio = p / F.when(f != 0, f)
-            scaled = F.floor(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(MOST_RATIO)) / MOST_RATIO * 255).cast("int")
-            return F.coalesce(scaled, F.when(p > 0, 255).otherwise(0))
-
-        out = F.zip_with(f"p.{c}", f"f.{c}", at)
-        return F.transform(out, lambda v, x: F.when((F.col("p.y") == 0) & (x == 0), 0).otherwise(v))
-
-    others = [F.col(f"p.{c}") for c in lines.columns if c not in channels]
-    on = [F.col(f"p.{k}") == F.col(f"f.{k}") for k in (*by, "y")]
-    condition = on[0]
-    for x in on[1:]:
-        condition = condition & x
-    return lines.alias("p").join(flat.alias("f"), condition).select(*others, *[corrected(c).alias(c) for c in channels])
+    return _corrected(lines, flat, channels, by, False)
+
+
+def corrected_gray(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...] = ("b", "g", "r"), by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
+    """Gray values of flat_correct's lines, in one step."""
+    return _corrected(lines, flat, channels, by, True)
+
+
+def _corrected(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...], by: tuple[str, ...], as_gray: bool) -> DataFrame:
+    """Lines meet their background on its keys and y; a task corrects the lines of a batch at once."""
+    others = [c for c in lines.columns if c not in channels]
+    ground = flat.select(*by, "y", *[F.col(c).alias(f"flat_{c}") for c in channels])
+    both = lines.join(ground, [*by, "y"]).select(*others, *channels, *[f"flat_{c}" for c in channels])
+
+    def correct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            out, ends = [], None
+            for c in channels:
+                p, f = (get[k].flatten().to_numpy() for k in (c, f"flat_{c}"))
+                sizes = get[c].value_lengths().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ratio = np.divide(p, f, out=np.where(p > 0, np.inf, 0.0), where=f != 0)
+                value = np.floor(np.clip(ratio, 0.0, MOST_RATIO) / MOST_RATIO * 255).astype(np.int32)
+                value[ends[:-1][(get["y"].to_numpy() == 0) & (sizes > 0)]] = 0
+                out.append(value)
+            if as_gray:
+                b, g, r = (v.astype(np.int64) for v in out)
+                out = [((r * 9798 + g * 19235 + b * 3735 + 16384) >> 15).astype(np.int32)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in out]
+            yield pa.RecordBatch.from_arrays([*(get[c] for c in others), *lists], names=[*others, *(["gray"] if as_gray else channels)])
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    made = ["gray"] if as_gray else channels
+    return both.mapInArrow(correct, ", ".join([*(f"{c} {kinds[c]}" for c in others), *(f"{c} array<int>" for c in made)]))
 
 
 def gray_lines(lines: DataFrame) -> DataFrame:

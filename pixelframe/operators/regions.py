@@ -275,9 +275,10 @@ def region_colour(filled: DataFrame, lines: DataFrame) -> DataFrame:
 def region_blur(geometry: DataFrame, lines: DataFrame) -> DataFrame:
     """blur_laplacian: population variance of the Laplacian of gray values in the box; edges are mirrored."""
     box = geometry.select(*REGION, "bx", "width", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("height") - 1)).alias("y"))
-    grays = F.transform(F.arrays_zip("b", "g", "r"), lambda p: gray(p["b"], p["g"], p["r"]))
-    crop = box.join(lines.select("image_id", "y", grays.alias("gray")), ["image_id", "y"])
-    row = crop.select(*REGION, "y", F.slice("gray", F.col("bx") + 1, F.col("width")).alias("c"))
+    cut = lambda c: F.slice(c, F.col("bx") + 1, F.col("width")).alias(c)
+    crop = box.join(lines.select("image_id", "y", "b", "g", "r"), ["image_id", "y"]).select(*REGION, "y", cut("b"), cut("g"), cut("r"))
+    # gray values of the boxes alone
+    row = crop.select(*REGION, "y", F.transform(F.arrays_zip("b", "g", "r"), lambda p: gray(p["b"], p["g"], p["r"])).alias("c"))
     down = Window.partitionBy(*REGION).orderBy("y")
     above, below = F.lag("c").over(down), F.lead("c").over(down)
     row = row.withColumns({"up": F.coalesce(above, below, F.col("c")), "low": F.coalesce(below, above, F.col("c"))})

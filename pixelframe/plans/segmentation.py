@@ -45,7 +45,7 @@ def export_table(measured: DataFrame) -> DataFrame:
 
 def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """Corrected and thresholded masks of all images."""
-    grays = stored(P.gray_lines(P.flat_correct(lines, flat, by=by)), "gray")
+    grays = stored(P.corrected_gray(lines, flat, by=by), "gray")
     return P.below_threshold(grays, P.triangle_threshold(P.gray_histogram(grays))).select(*M.IMAGE, "y", "x")
 
 
