@@ -201,7 +201,7 @@ def text_nodes(docs: DataFrame, bands: int, rows: int, weighting: str, id_col: s
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, darts = Shingles(), Darts(bands * rows)
         salt = np.arange(bands, dtype=np.uint64) * _M3
-        for piece in pieces(batches, "_text", 2 << 20, 1024):
+        for piece in pieces(batches, "_text", 1 << 19, 512):
             n = piece.num_rows
             of, codes, counts = shingles.sets(*texts_of(piece))
             weights = counts.astype(np.float64) if weighting == "count" else np.ones(len(codes))
@@ -227,7 +227,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weighting
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for piece in pieces(batches, "_text", 2 << 20, 1024):
+        for piece in pieces(batches, "_text", 1 << 19, 512):
             of, codes, counts = shingles.sets(*texts_of(piece))
             if weighting == "count":
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
