@@ -20,6 +20,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def coded_runs(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Runs of the bytes that `solid` marks, within texts end to end: the distinct runs, each run's number among them,
+    and where each begins. Runs are told apart by all their bytes."""
+    mask = solid[data]
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = mask[edges]
+    start = np.flatnonzero(begins)
+    kept = np.ascontiguousarray(data[mask])
+    bounds = np.append(np.cumsum(mask, dtype=np.int64)[start] - 1, len(kept)).astype(np.int64)
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
+    return runs.dictionary, runs.indices.to_numpy(), start
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text_col: str, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in pieces of about most_bytes of text at most (a longer text is a piece of its own)."""
     for batch in batches:

@@ -27,4 +27,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op8_line_frequency": LINE_FREQUENCY, "op9_histogram_top_k": TOP_K}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM p, range(1, 4) t(m), unnest(range(1, len(ws) - m + 2)) u(i)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+longer AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS most FROM c, range(1, 3) t(i) WHERE m = 3 GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE m = 3 OR most IS NULL OR 100 * most < 50 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM kept, range(1, 3) t(k) WHERE k < m),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, fx.a AS l, fy.a AS r, (1000000::HUGEINT * cuts.a * cuts.a // (fx.a::HUGEINT * fy.a))::BIGINT AS score FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN totals USING (lang))
+SELECT * FROM r WHERE rank <= 2000
+"""
+
+LEXICAL = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS ws FROM documents),
+size AS (SELECT d, doc_id, len(ws)::BIGINT AS n FROM t WHERE len(ws) > 0),
+facts AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM size),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY d, term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), facts),
+impact AS (SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // nl))) AS s FROM tf JOIN w USING (term) JOIN size USING (d), facts),
+scored AS (SELECT item_id, d, any_value(doc_id) AS doc_id, sum(times * s)::BIGINT AS score FROM q JOIN impact USING (term) GROUP BY item_id, d),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op12_pair_bound_maxscore": LEXICAL, "op13_rabin_karp_collocations": COLLOCATIONS, "op8_line_frequency": LINE_FREQUENCY, "op9_histogram_top_k": TOP_K}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.llm.common import table
 from pixelframe.llm.classifier import quality_scores
+from pixelframe.llm.collocations import collocations
 from pixelframe.llm.grammar import token_files_roundtrip
 from pixelframe.llm.line_rules import line_verdicts
 from pixelframe.llm.mixing import mix_sources
@@ -59,6 +60,10 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op13_rabin_karp_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
