@@ -30,7 +30,7 @@ def coded_runs(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tupl
     begins[edges] = mask[edges]
     start = np.flatnonzero(begins)
     kept = np.ascontiguousarray(data[mask])
-    bounds = np.append(np.cumsum(mask, dtype=np.int64)[start] - 1, len(kept)).astype(np.int64)
+    bounds = np.append(np.cumsum(mask, dtype=np.int64 if len(mask) >> 31 else np.int32)[start] - 1, len(kept)).astype(np.int64)
     runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
     return runs.dictionary, runs.indices.to_numpy(), start
 

@@ -21,7 +21,7 @@ from pixelframe.operators.groups import whole_groups
 BETWEEN = b" \t"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Occurrences that a task holds before it sorts and sends them.
-HELD = 3_000_000
+HELD = 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -143,7 +143,7 @@ def _words(docs: DataFrame) -> DataFrame:
             for b in merged.select([*["lang", "word"], merged.column_names[-1]]).rename_columns(["lang", "word", "f"]).to_batches(100_000):
                 yield b
 
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", 2 << 20):
             s = Scanned(piece, prints)
             lang, word = s.lang(np.arange(len(s.words))).cast(pa.string()), s.words.cast(pa.large_string()).cast(pa.string())
             held.append(pa.RecordBatch.from_arrays([lang, word, pa.array(s.counts, pa.int64())], names=["lang", "word", "f"]))
@@ -174,11 +174,13 @@ def _frequent(docs: DataFrame, n: int, least: int, sieve: Callable[[Scanned], np
 
         def sent() -> Iterator[pa.RecordBatch]:
             fp, at = np.concatenate(fps), np.concatenate(places)
+            fps.clear()
+            places.clear()
             order = np.argsort(fp, kind="stable")
             fp, at = fp[order], at[order]
             first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
             f = np.diff(np.append(first, len(fp))).astype("<u4")
-            fp, at = fp[first], at[first].astype("<u4")  # the first of equal ones, as the sort is stable
+            fp, at = fp[first], at[first]  # the first of equal ones, as the sort is stable
             bucket = ((fp >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = [*cut[1:].tolist(), len(fp)]
@@ -186,16 +188,16 @@ def _frequent(docs: DataFrame, n: int, least: int, sieve: Callable[[Scanned], np
             head = [pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), task, np.int32)), pa.array(np.full(len(cut), base, np.int64))]
             yield pa.RecordBatch.from_arrays([*head, *packed], names=["bucket", "task", "base", "fp", "f", "at"])
 
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", 2 << 20):
             s = Scanned(piece, prints)
             fp, inside = s.grams(n)
             kept = np.flatnonzero(inside & sieve(s))
             fps.append(fp[kept])
-            places.append(s.start[kept] + (done - base))
+            places.append((s.start[kept] + (done - base)).astype(np.uint32))
             done, rows = done + s.bytes, rows + len(kept)
             if rows > HELD:
                 yield from sent()
-                fps, places, rows, base = [], [], 0, done
+                rows, base = 0, done
         if rows:
             yield from sent()
 
@@ -230,7 +232,7 @@ def _materialised(docs: DataFrame, often2: Sieve, often3: Sieve, least: int) ->
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", 2 << 20):
             s = Scanned(piece, prints)
             two, three = (s.grams(n) for n in (2, 3))
             hit2 = two[1] & often2(two[0])
