@@ -10,6 +10,7 @@ from pixelframe.llm.common import table
 from pixelframe.llm.classifier import quality_scores
 from pixelframe.llm.collocations import collocations
 from pixelframe.llm.grammar import token_files_roundtrip
+from pixelframe.llm.lexical import ranked_search
 from pixelframe.llm.line_rules import line_verdicts
 from pixelframe.llm.mixing import mix_sources
 from pixelframe.llm.neardup import near_duplicates
@@ -60,6 +61,10 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op12_pair_bound_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_rabin_karp_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
