@@ -11,6 +11,7 @@ from pixelframe.llm.classifier import quality_scores
 from pixelframe.llm.collocations import collocations
 from pixelframe.llm.grammar import token_files_roundtrip
 from pixelframe.llm.lexical import ranked_search
+from pixelframe.llm.lexicon import bpe_digests
 from pixelframe.llm.line_rules import line_verdicts
 from pixelframe.llm.mixing import mix_sources
 from pixelframe.llm.neardup import near_duplicates
@@ -61,6 +62,10 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
+
+
 def op12_pair_bound_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
