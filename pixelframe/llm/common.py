@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,21 @@ def text_hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text, F.length(text)).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """Actions within send rows to Python in Arrow batches of about so many bytes: for tables of few, large rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def with_nodes(rows: DataFrame) -> DataFrame:
     """Rows (h1, h2, ...) of a written table with `node`, one number a text: h1, or a hash of both for the few texts
     that share h1 with another text.

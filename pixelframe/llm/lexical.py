@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm.arrow_text import coded_runs, pieces, text_bytes
-from pixelframe.llm.common import ranked, written
+from pixelframe.llm.common import ranked, small_batches, written
 
 #: Bytes of terms (digits, letters and all beyond ASCII), and A to Z lowered.
 _TERM = np.zeros(256, bool)
@@ -21,7 +21,7 @@ _TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text and documents that a block holds; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 16_384
 #: Pairs with up to so many documents of a block keep them as a list; others keep their joint maximum alone.
 LISTED = 16
@@ -40,11 +40,11 @@ def _bytes_of(terms: pa.LargeBinaryArray) -> tuple[bytes, np.ndarray]:
     """Terms end to end, and where each ends."""
     offsets = np.frombuffer(terms.buffers()[1], np.int64, len(terms) + 1, 8 * terms.offset)
     raw = terms.buffers()[2]
-    return (raw.to_pybytes()[offsets[0] : offsets[-1]] if raw is not None else b""), (offsets[1:] - offsets[0]).astype(np.int64)
+    return (raw.to_pybytes()[offsets[0] : offsets[-1]] if raw is not None else b""), (offsets[1:] - offsets[0]).astype("<u4")
 
 
 def _terms(raw: pa.Scalar, ends: pa.Scalar) -> pa.LargeBinaryArray:
-    bounds = np.concatenate([np.zeros(1, np.int64), np.frombuffer(ends.as_buffer(), np.int64)])
+    bounds = np.concatenate([np.zeros(1, np.int64), np.frombuffer(ends.as_buffer(), "<u4").astype(np.int64)])
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), raw.as_buffer()])
 
 
@@ -58,7 +58,7 @@ def _postings(docs: DataFrame) -> DataFrame:
             terms, ids, of = terms_of(piece.column(1))
             key, tf = np.unique(ids.astype(np.int64) * n + of, return_counts=True)
             raw, ends = _bytes_of(terms)
-            upto = np.searchsorted(key, np.arange(1, len(terms) + 1) * n).astype(np.int64)
+            upto = np.searchsorted(key, np.arange(1, len(terms) + 1) * n).astype("<u4")
             parts = [raw, ends.tobytes(), upto.tobytes(), (key % n).astype("<u2").tobytes(), tf.astype("<u4").tobytes(), np.bincount(of, minlength=n).astype("<i8").tobytes()]
             ids_list = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), piece.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([number]), ids_list, *[pa.array([p], pa.binary()) for p in parts]], names=["block", "ids", "terms", "ends", "upto", "docs", "tf", "lengths"])
@@ -85,14 +85,15 @@ def _dictionary(postings: DataFrame, n_docs: int) -> DataFrame:
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, ends, upto in zip(*batch.columns):
-                df = np.diff(np.frombuffer(upto.as_buffer(), np.int64), prepend=0)
+                df = np.diff(np.frombuffer(upto.as_buffer(), "<u4").astype(np.int64), prepend=0)
                 whole = pa.RecordBatch.from_arrays([_terms(raw, ends).cast(pa.large_string()).cast(pa.string()), pa.array(df)], names=["term", "df"])
                 for at in range(0, whole.num_rows, 50_000):
                     yield whole.slice(at, 50_000)
 
     found = postings.select("terms", "ends", "upto").mapInArrow(each, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    return written(found.withColumn("weight", weight), "dictionary")
+    with small_batches(postings.sparkSession):
+        return written(found.withColumn("weight", weight), "dictionary")
 
 
 @dataclass
@@ -125,10 +126,10 @@ def build_index(docs: DataFrame, pair_terms: int = 96, id_col: str = "doc_id", t
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
                 view = lambda c, t: np.frombuffer(get[c][r].as_buffer(), t)  # noqa: B023, E731
-                upto, at, tf, lengths = view("upto", np.int64), view("docs", "<u2"), view("tf", "<u4").astype(np.int64), view("lengths", "<i8")
+                upto, at, tf, lengths = view("upto", "<u4"), view("docs", "<u2"), view("tf", "<u4").astype(np.int64), view("lengths", "<i8")
                 mean = 75 + (25 * lengths * n_docs) // max(n_terms, 1)
                 impact = (1_000_000_000 * tf) // (1000 * tf + 12 * mean[at])
-                first = np.concatenate([np.zeros(1, np.int64), upto[:-1]]) if len(upto) else upto
+                first = np.concatenate([upto[:1] * 0, upto[:-1]]) if len(upto) else upto
                 maxima = np.maximum.reduceat(impact, first) if len(upto) else impact
                 found = pc.index_in(names, value_set=_terms(get["terms"][r], get["ends"][r])).fill_null(-1).to_numpy()
                 joint = _joint(len(lengths), [(at[first[x] : upto[x]], impact[first[x] : upto[x]] * w) for x, w in zip(found.tolist(), weights.tolist()) if x >= 0])
@@ -136,7 +137,9 @@ def build_index(docs: DataFrame, pair_terms: int = 96, id_col: str = "doc_id", t
                 same = [get[c].slice(r, 1) for c in ("block", "ids", "terms", "ends", "upto", "docs")]
                 yield pa.RecordBatch.from_arrays([*same, *[pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts]], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return Index(written(postings.mapInArrow(weigh, INDEX), "index"), dictionary, [r["term"] for r in heavy])
+    with small_batches(docs.sparkSession):
+        blocks = written(postings.mapInArrow(weigh, INDEX), "index")
+    return Index(blocks, dictionary, [r["term"] for r in heavy])
 
 
 def _joint(n_docs: int, terms: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +176,7 @@ class Block:
     def __init__(self, row: dict[str, pa.Scalar], terms: pa.LargeBinaryArray, weights: np.ndarray, pair_of: np.ndarray):
         view = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
         self.ids = row["ids"].values
-        self.upto, self.docs, self.impacts = view("upto", np.int64), view("docs", "<u2"), view("impacts", "<i4")
+        self.upto, self.docs, self.impacts = view("upto", "<u4"), view("docs", "<u2"), view("impacts", "<i4")
         self.place = pc.index_in(terms, value_set=_terms(row["terms"], row["ends"])).fill_null(-1).to_numpy()
         self.most = np.where(self.place >= 0, view("maxima", "<i4")[self.place] if len(self.upto) else 0, 0) * weights
         present = view("pair_terms", "<i4") >= 0
@@ -346,7 +349,8 @@ def _waves(index: Index, asked: pa.Table, k: int) -> DataFrame:
         new = part.mapInArrow(look, "item long, doc_id long, score long")
         order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
         new = new if found is None else new.unionByName(found.drop("rank"))
-        found = written(new.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+        with small_batches(spark):
+            found = written(new.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
         floors = {r["item"]: r["score"] for r in found.filter(F.col("rank") == k).select("item", "score").collect()}  # a row an item
     return found
 
