@@ -63,8 +63,10 @@ def _postings(docs: DataFrame) -> DataFrame:
             ids_list = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), piece.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([number]), ids_list, *[pa.array([p], pa.binary()) for p in parts]], names=["block", "ids", "terms", "ends", "upto", "docs", "tf", "lengths"])
             number += 1
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return written(docs.mapInArrow(block, "block long, ids array<bigint>, terms binary, ends binary, upto binary, docs binary, tf binary, lengths binary"), "postings")
+    with small_batches(docs.sparkSession):
+        return written(docs.mapInArrow(block, "block long, ids array<bigint>, terms binary, ends binary, upto binary, docs binary, tf binary, lengths binary"), "postings")
 
 
 def _lengths(postings: DataFrame) -> tuple[int, int]:
@@ -341,6 +343,7 @@ def _waves(index: Index, asked: pa.Table, k: int) -> DataFrame:
                         best[q] = both
                         if len(both) == k:
                             least[q] = max(least.get(q, 0), -both[-1][0])
+            pa.default_memory_pool().release_unused()
             rows = [(q, None if none else i, -s) for q, some in best.items() for s, none, i in some]
             kinds = (pa.int64(),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["item", "doc_id", "score"])
