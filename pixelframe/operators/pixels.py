@@ -1,7 +1,7 @@
 """Dense image operators on scanlines: background, flat-field correction, gray values, histograms, thresholds.
 
-A scanline table has a row a line of an image: dataset_id, image_id, seq, y, w, h and arrays of channel values. Whole
-frames are never exploded here; only what passes a threshold becomes pixels.
+A scanline table has a row a line of an image: dataset_id, image_id, seq, y, w, h and arrays of channel values. Frames
+are never exploded here; only what passes a threshold becomes pixels.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.functions.scalars import gray
+from pixelframe.operators.groups import whole_groups
 
 #: Fixed value: ratios to the background are clipped here before they are spread over 0 to 255.
 MOST_RATIO = 1.04
@@ -73,10 +74,17 @@ def corrected_gray(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...]
 
 
 def _corrected(lines: DataFrame, flat: DataFrame, channels: tuple[str, ...], by: tuple[str, ...], as_gray: bool) -> DataFrame:
-    """Lines meet their background on its keys and y; a task corrects the lines of a batch at once."""
+    """Lines meet their background on its keys and y; a task corrects the lines of a batch at once.
+
+    A background with a column `since` beyond its keys is for its dataset's images after that one alone.
+    """
     others = [c for c in lines.columns if c not in channels]
-    ground = flat.select(*by, "y", *[F.col(c).alias(f"flat_{c}") for c in channels])
-    both = lines.join(ground, [*by, "y"]).select(*others, *channels, *[f"flat_{c}" for c in channels])
+    late = ["since"] if "since" in flat.columns and "since" not in by else []
+    ground = flat.select(*by, "y", *late, *[F.col(c).alias(f"flat_{c}") for c in channels])
+    both = lines.join(ground, [*by, "y"])
+    if late:
+        both = both.filter("seq > since")
+    both = both.select(*others, *channels, *[f"flat_{c}" for c in channels])
 
     def correct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +116,31 @@ def gray_lines(lines: DataFrame) -> DataFrame:
 
 
 def gray_histogram(lines: DataFrame) -> DataFrame:
-    """image_id and an array of 256 counts. Lines are counted before the exchange, value by value."""
-    counts = lines.select("image_id", F.explode("gray").alias("g")).groupBy("image_id", "g").agg(F.count("*").alias("n"))
-    pairs = counts.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("m"))
-    return pairs.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0))).alias("hist"))
+    """image_id and an array of 256 counts. A batch's lines are counted at once, an array an image; arrays are added up
+    value by value after the exchange."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            image, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            lists = batch.column(1)
+            place = np.repeat(of, lists.value_lengths().fill_null(0).to_numpy())
+            counts = np.bincount(place * 256 + lists.flatten().to_numpy(), minlength=256 * len(image))
+            yield _histograms(image, counts.reshape(len(image), 256))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["image_id"]):
+            image = group["image_id"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+            counts = group["hist"].combine_chunks().flatten().to_numpy().reshape(-1, 256)
+            yield _histograms(image[first], np.add.reduceat(counts, first))
+
+    parts = lines.select("image_id", "gray").mapInArrow(count, "image_id long, hist array<long>")
+    return parts.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(add, "image_id long, hist array<long>")
+
+
+def _histograms(image: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.arange(len(image) + 1, dtype=np.int32) * 256)
+    return pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(counts.ravel(), pa.int64()))], names=["image_id", "hist"])
 
 
 def triangle_threshold(hist: DataFrame) -> DataFrame:
@@ -145,20 +174,43 @@ def below_threshold(lines: DataFrame, thresholds: DataFrame) -> DataFrame:
     return marked.select("dataset_id", "image_id", "seq", "h", "w", "y", F.explode(spots).alias("x"))
 
 
+def below_mean(frame: np.ndarray, radius: int, offset: int, most_lines: int = 512) -> np.ndarray:
+    """Where a frame's values are at most the mean of the square around them, less an offset; edges repeat outwards.
+
+    A summed-area table of the frame with its edges repeated gives every square's sum by four of its entries. It is made
+    for most_lines lines and those around them at a time, so it stays in bounds for frames of any height.
+    """
+    h, side = len(frame), 2 * radius + 1
+    out = np.zeros(frame.shape, bool)
+    for top in range(0, h, most_lines):
+        low = min(top + most_lines, h)
+        lines = np.clip(np.arange(top - radius, low + radius), 0, h - 1)
+        wide = np.pad(frame[lines], ((0, 0), (radius, radius)), mode="edge").astype(np.int64)
+        table = np.zeros((wide.shape[0] + 1, wide.shape[1] + 1), np.int64)
+        np.cumsum(wide, axis=0, out=table[1:, 1:])
+        np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
+        total = table[side:, side:] - table[:-side, side:] - table[side:, :-side] + table[:-side, :-side]
+        out[top:low] = frame[top:low].astype(np.int64) * (side * side) <= total - offset * side * side
+    return out
+
+
 def adaptive_threshold(lines: DataFrame, radius: int = 9, offset: int = 4) -> DataFrame:
     """Foreground pixels: gray of at most the mean of the square around, less an offset; edges repeat outwards.
 
-    Sums along the line within its array, then down the columns in a window; what lies outside counts as the edge.
+    One exchange brings each image's gray lines together; a task works on whole frames, one after the other.
     """
-    side = 2 * radius + 1
-    clamp = lambda i: F.least(F.greatest(i, F.lit(0)), F.col("w") - 1)
-    row_sum = lambda x: F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0), lambda a, d: a + F.get("gray", clamp(x + d)))
-    rows = lines.withColumn("sums", F.transform(F.sequence(F.lit(0), F.col("w") - 1), row_sum))
-    cells = rows.select("dataset_id", "image_id", "seq", "y", "h", "w", F.posexplode(F.arrays_zip("gray", "sums")).alias("x", "p"))
-    cells = cells.select("dataset_id", "image_id", "seq", "y", "h", "w", "x", F.col("p.gray").alias("gray"), F.col("p.sums").alias("s"))
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    whole = column.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    above = F.lit(radius) - F.least(F.col("y"), F.lit(radius))
-    below = F.lit(radius) - F.least(F.col("h") - 1 - F.col("y"), F.lit(radius))
-    total = F.sum("s").over(column.rowsBetween(-radius, radius)) + above * F.first("s").over(whole) + below * F.last("s").over(whole)
-    return cells.withColumn("total", total).filter(F.col("gray") * side * side <= F.col("total") - offset * side * side).select("dataset_id", "image_id", "seq", "h", "w", "y", "x")
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["image_id"]):
+            image = group["image_id"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]])).tolist()
+            for s, e in zip(first, [*first[1:], len(image)]):
+                part = group.slice(s, e - s)
+                frame = part["gray"].combine_chunks().flatten().to_numpy().reshape(e - s, -1)
+                y, x = np.nonzero(below_mean(frame, radius, offset))
+                keys = [pa.array(np.full(len(y), part[c][0].as_py(), np.int64)) for c in ("dataset_id", "image_id", "seq")]
+                size = [pa.array(np.full(len(y), part[c][0].as_py(), np.int32)) for c in ("h", "w")]
+                yield pa.RecordBatch.from_arrays([*keys, *size, pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))], names=["dataset_id", "image_id", "seq", "h", "w", "y", "x"])
+
+    placed = lines.select("dataset_id", "image_id", "seq", "y", "h", "w", "gray").repartition("image_id").sortWithinPartitions("image_id", "y")
+    return placed.mapInArrow(mark, "dataset_id long, image_id long, seq long, h int, w int, y int, x int")

@@ -256,13 +256,21 @@ def _hull_area(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
     return total
 
 
+def _with_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows (image_id, y, ...) with the channels of their lines. Rows that tell their dataset go to where lines are laid
+    out by dataset and line, and the lines stay."""
+    keys = [*(["dataset_id"] if "dataset_id" in rows.columns else []), "image_id", "y"]
+    placed = rows.hint("shuffle_hash") if len(keys) == 3 else rows
+    return lines.select(*keys, "b", "g", "r").join(placed, keys)
+
+
 def region_colour(filled: DataFrame, lines: DataFrame) -> DataFrame:
     """Mean and population deviation of hue, saturation and value over runs of regions with their holes filled.
 
     Scanlines meet the runs on image and line; a run takes its part of the line's arrays.
     """
     part = lambda c: F.slice(c, F.col("x0") + 1, F.col("x1") - F.col("x0") + 1).alias(c)
-    cut = filled.join(lines.select("image_id", "y", "b", "g", "r"), ["image_id", "y"]).select(*REGION, F.explode(F.arrays_zip(part("b"), part("g"), part("r"))).alias("p"))
+    cut = _with_lines(filled, lines).select(*REGION, F.explode(F.arrays_zip(part("b"), part("g"), part("r"))).alias("p"))
     h, s, v = hsv(F.col("p.b"), F.col("p.g"), F.col("p.r"))
     cut = cut.select(*REGION, h.alias("Hue"), s.alias("Saturation"), v.alias("Value"))
     names = ("Hue", "Saturation", "Value")
@@ -274,9 +282,9 @@ def region_colour(filled: DataFrame, lines: DataFrame) -> DataFrame:
 
 def region_blur(geometry: DataFrame, lines: DataFrame) -> DataFrame:
     """blur_laplacian: population variance of the Laplacian of gray values in the box; edges are mirrored."""
-    box = geometry.select(*REGION, "bx", "width", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("height") - 1)).alias("y"))
+    box = geometry.select(*REGION, *(["dataset_id"] if "dataset_id" in geometry.columns else []), "bx", "width", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("height") - 1)).alias("y"))
     cut = lambda c: F.slice(c, F.col("bx") + 1, F.col("width")).alias(c)
-    crop = box.join(lines.select("image_id", "y", "b", "g", "r"), ["image_id", "y"]).select(*REGION, "y", cut("b"), cut("g"), cut("r"))
+    crop = _with_lines(box, lines).select(*REGION, "y", cut("b"), cut("g"), cut("r"))
     # gray values of the boxes alone
     row = crop.select(*REGION, "y", F.transform(F.arrays_zip("b", "g", "r"), lambda p: gray(p["b"], p["g"], p["r"])).alias("c"))
     down = Window.partitionBy(*REGION).orderBy("y")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pixelframe.functions.scalars import circularity, ratio_safe
 from pixelframe.operators import mask as M
 from pixelframe.operators import pixels as P
 from pixelframe.operators import regions as R
-from pixelframe.sources.files import stored, write_stage_snapshots
+from pixelframe.session import settings_of
+from pixelframe.sources.files import LINE_KEYS, bucketed, laid_out, part_of, scratch, small, stored, write_stage_snapshots
 
 #: Measurement columns in the order of the export, ours and the export's where they differ.
 EXPORT_NAMES = {
@@ -44,9 +46,10 @@ def export_table(measured: DataFrame) -> DataFrame:
 
 
 def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Corrected and thresholded masks of all images."""
+    """Corrected and thresholded masks of all images. Histograms are exchanged, and thresholds sent to where gray lines are."""
     grays = stored(P.corrected_gray(lines, flat, by=by), "gray")
-    return P.below_threshold(grays, P.triangle_threshold(P.gray_histogram(grays))).select(*M.IMAGE, "y", "x")
+    thresholds = stored(P.triangle_threshold(P.gray_histogram(grays)), "thresholds")
+    return P.below_threshold(grays, small(thresholds)).select(*M.IMAGE, "y", "x")
 
 
 def measure(regions: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFrame:
@@ -60,10 +63,16 @@ def measure(regions: DataFrame, lines: DataFrame, min_esd: float = 20) -> DataFr
     kept = stored(runs.join(geometry.select(*R.REGION), R.REGION, "left_semi"), "runs")
     holes = stored(R.region_holes(kept, geometry), "holes")
     filled = kept.select(*R.REGION, "y", "x0", "x1").unionByName(holes)
+    images = lines.filter("y = 0").select("dataset_id", "image_id", "seq")
+    if "part" in lines.columns:  # laid out: runs go to the lines, by dataset and line
+        placed = [t.join(images.select("image_id", "dataset_id"), "image_id") for t in (filled, geometry)]
+        with settings_of(lines.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            from_lines = [stored(R.region_colour(placed[0], lines), "colour"), stored(R.region_blur(placed[1], lines), "blur")]
+    else:
+        from_lines = [R.region_colour(filled, lines), R.region_blur(geometry, lines)]
     out = geometry
-    for part in (R.region_filled_area(geometry, holes), R.region_shapes(kept), R.region_colour(filled, lines), R.region_blur(geometry, lines)):
+    for part in (R.region_filled_area(geometry, holes), R.region_shapes(kept), *from_lines):
         out = out.join(part, R.REGION)
-    images = lines.filter("y = 0").select("dataset_id", "image_id", "seq")
     return derived_ratios(out).drop("n", "sx", "sy", "sxx", "syy", "sxy").join(images, "image_id")
 
 
@@ -96,48 +105,70 @@ def flat_epochs(counts: DataFrame, excess: float = 20) -> DataFrame:
     return cumulative_trigger(counts, excess).withColumn("epoch", F.coalesce(F.sum(F.col("trigger").cast("long")).over(before), F.lit(0)))
 
 
+def _epochs(one: DataFrame, to: str) -> DataFrame:
+    """All epochs' tables below a folder, each like `one`, with the column epoch."""
+    return one.sparkSession.read.schema(StructType([*one.schema.fields, StructField("epoch", IntegerType())])).parquet(to)
+
+
 def segment(lines: DataFrame, min_esd: float = 20, excess: float = 20, subtract_previous: bool = False, snapshots: str | None = None) -> DataFrame:
     """Measure all datasets; a jump of the object count gives the following images a new background.
 
     Epoch 0 uses each dataset's first images. After an epoch, the first trigger of each dataset that is past its last
     one recalculates the background at the next image for the images from there on, which alone are worked on again.
-    Epochs are few and datasets many, so all datasets go through an epoch together, until none has another trigger.
-    Each trigger is later than the last, so there are fewer epochs than images. Each epoch's tables are written. With
-    snapshots, the masks after each operation are written there too, a folder an epoch.
+    Datasets go through an epoch together, until none has another trigger; each trigger is later than the last, so there
+    are fewer epochs than images. With snapshots, the masks after each operation are written there, a folder an epoch.
+
+    Lines are laid out once (see laid_out): they meet their background, and regions meet them, where they are. An epoch
+    reads the folders of the datasets that triggered, and appends masks and regions of the images that it redoes; which
+    epoch holds for an image is told by the table of images, from which datasets without another trigger leave.
     """
-    lines = stored(lines, "scanlines")
+    lines = lines if "part" in lines.columns else laid_out(lines)
+    spark, buckets = lines.sparkSession, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 128
     names = M.pipeline_names(subtract_previous)
-    all_images = stored(P.images(lines).withColumns({"since": F.lit(-1).cast("long"), "past": F.lit(-1).cast("long")}), "images")
-    windows = flat_window(P.images(lines))
-    first = P.background_images(P.images(lines)).select("image_id")
-    flat = stored(P.median_flat(lines.join(first, "image_id")).withColumn("since", F.lit(-1).cast("long")), "flat")
-    todo, masks, regions, epoch = all_images, None, None, 0
+    to = {k: scratch(spark, k) for k in ("regions", "masks", "final")}
+    first = P.images(lines)
+    images = stored(first.withColumns({"epoch": F.lit(0), "past": F.lit(-1).cast("long"), "n": F.lit(0).cast("long")}), "images")
+    windows = stored(flat_window(first), "windows")
+    used = stored(P.background_images(first).groupBy("dataset_id").agg((F.max("seq") + 1).alias("k")), "used")
+    flat = bucketed(P.median_flat(lines.join(small(used), "dataset_id").filter("seq < k")), "flat", LINE_KEYS, buckets)
+    active, edge, epoch = lines, None, 0
     while True:
-        marked = lines.join(todo.select("image_id", "since"), "image_id")
-        mask = stored(foreground(marked, flat, ("dataset_id", "since")), "mask")
-        again = todo.select("image_id")
-        if subtract_previous:
-            # the first image of those may follow one of an earlier epoch, whose mask is taken from it
-            before = todo.groupBy("dataset_id").agg((F.min("seq") - 1).alias("seq"))
-            edge = masks.join(before, ["dataset_id", "seq"], "left_semi").select(mask.columns) if masks else mask.limit(0)
-            masks = stored(masks.join(again, "image_id", "left_anti").select(mask.columns).unionByName(mask) if masks else mask, "mask")
-            mask = mask.unionByName(edge)
+        mask = foreground(active, flat.hint("shuffle_hash"))
+        mask.write.parquet(f"{to['masks']}/epoch={epoch}")
+        mask = spark.read.schema(mask.schema).parquet(f"{to['masks']}/epoch={epoch}")
+        again = images.filter(F.col("epoch") == epoch).select("image_id")
+        seen = mask.unionByName(edge) if edge is not None else mask
         if snapshots:
-            write_stage_snapshots(mask, names, f"{snapshots}/epoch={epoch}")
-        found = R.label_regions(M.pipeline_runs(mask, names)).join(again, "image_id", "left_semi")
-        regions = stored(found if regions is None else regions.join(again, "image_id", "left_anti").select(found.columns).unionByName(found), "regions")
-        geometry = R.keep_large(R.region_geometry(regions), min_esd)
-        counts = all_images.join(geometry.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        late = cumulative_trigger(counts, excess).filter("trigger AND seq > past").groupBy("dataset_id").agg(F.min("seq").alias("at"))
-        late = late.join(windows, (late["dataset_id"] == windows["dataset_id"]) & (F.col("at") + 1 == F.col("seq"))).select(late["dataset_id"], "at", "first_seq", "used").filter("used > 0")
+            write_stage_snapshots(seen, names, f"{snapshots}/epoch={epoch}")
+        found = R.label_regions(M.pipeline_runs(seen, names))
+        if edge is not None:
+            found = found.join(again, "image_id", "left_semi")
+        found.write.parquet(f"{to['regions']}/epoch={epoch}")
+        regions = spark.read.schema(found.schema).parquet(f"{to['regions']}/epoch={epoch}")
+        counts = R.keep_large(R.region_geometry(regions), min_esd).groupBy("image_id").agg(F.count("*").alias("now"))
+        new = F.when(F.col("epoch") == epoch, F.coalesce("now", F.lit(0))).otherwise(F.col("n"))
+        images = stored(images.join(counts, "image_id", "left").withColumn("n", new).drop("now"), "images")
+        late = cumulative_trigger(images, excess).filter("trigger AND seq > past").groupBy("dataset_id").agg(F.min("seq").alias("at"))
+        late = late.withColumn("seq", F.col("at") + 1).join(windows.select("dataset_id", "seq", "first_seq", "used"), ["dataset_id", "seq"]).filter("used > 0").drop("seq")
         late = stored(late, "late")  # a row a dataset
+        jumps = small(late.select("dataset_id", "at"))
+        images.join(jumps, "dataset_id", "left_anti").select("image_id", "epoch").write.mode("append").parquet(to["final"])
         if late.isEmpty():
-            return measure(regions, lines, min_esd)
+            break
+        if subtract_previous:
+            # the first image of those to come follows one of an earlier epoch, whose mask is taken from it
+            before = images.join(jumps, "dataset_id").filter("seq = at").select("image_id", "epoch")
+            masks = _epochs(mask, to["masks"])
+            edge = stored(masks.join(small(before), ["image_id", "epoch"], "left_semi").select(mask.columns), "edge")
         epoch += 1
-        fed = lines.join(late, "dataset_id").filter("seq >= first_seq AND seq < first_seq + used").withColumn("since", F.col("at"))
-        flat = stored(flat.unionByName(P.median_flat(fed, by=("dataset_id", "since"))), "flat")
-        now = all_images.join(late.select("dataset_id", "at"), "dataset_id", "left")
-        since = F.when(F.col("seq") > F.col("at"), F.col("at")).otherwise(F.col("since"))
         # the image of a trigger keeps its background, so the dataset's last trigger is told apart from it
-        all_images = stored(now.withColumns({"since": since, "past": F.coalesce("at", "past")}).drop("at"), "images")
-        todo = all_images.join(late.select("dataset_id", "at"), "dataset_id").filter("seq > at").drop("at")
+        moved = F.when(F.col("seq") > F.col("at"), F.lit(epoch)).otherwise(F.col("epoch"))
+        images = stored(images.join(jumps, "dataset_id").withColumns({"epoch": moved, "past": F.col("at")}).drop("at"), "images")
+        touched = [r["part"] for r in late.select(part_of(F.col("dataset_id"), parts)).distinct().collect()]  # at most as many as parts
+        active = lines.filter(F.col("part").isin(touched))
+        fed = active.join(small(late), "dataset_id").filter("seq >= first_seq AND seq < first_seq + used").withColumn("since", F.col("at"))
+        flat = bucketed(P.median_flat(fed, by=("dataset_id", "since")), "flat", LINE_KEYS, buckets)
+    final = spark.read.schema("image_id long, epoch int").parquet(to["final"])
+    everything = _epochs(found, to["regions"])
+    return measure(everything.join(final, ["image_id", "epoch"], "left_semi").select(found.columns), lines, min_esd)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,17 @@ def build_session(cores: int | None = None, app: str = "pixelframe", **settings:
         .config(map=settings)
         .getOrCreate()
     )
+
+
+@contextmanager
+def settings_of(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings (dots as two underscores) that hold for the actions within."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pixelframe.functions.scalars import file_name, type_code
 from pixelframe.operators import mask as M
 from pixelframe.operators.groups import whole_groups
+from pixelframe.session import settings_of
 
 LEDGER = "filename string, size bigint, sha1 string"
 #: The first two lines of an integrity ledger.
@@ -42,6 +43,45 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def bucketed(df: DataFrame, tag: str, keys: tuple[str, ...], buckets: int, part: str | None = None) -> DataFrame:
+    """A stored table whose rows are dealt into buckets by keys, so that tables of as many buckets join and group by
+    these keys (and more) where they are, without an exchange. With part, each of its values is a folder of its own:
+    a filter on it reads no other."""
+    spark, to = df.sparkSession, scratch(df.sparkSession, tag)
+    name = f"pixelframe_{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(part) if part else df.write
+    # folders are told from the files, so the table's name can go as soon as it is resolved
+    with settings_of(spark, spark__sql__hive__manageFilesourcePartitions="false"):
+        writer.bucketBy(buckets, *keys).option("path", to).saveAsTable(name)
+        out = spark.table(name)
+        out.schema  # noqa: B018
+        spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
+#: How scanlines are laid out: a line and its dataset's background line are in the same bucket.
+LINE_KEYS = ("dataset_id", "y")
+
+
+def part_of(dataset: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(dataset), F.lit(parts)).cast("int").alias("part")
+
+
+def laid_out(lines: DataFrame, parts: int = 128) -> DataFrame:
+    """Scanlines in buckets of LINE_KEYS and folders by `part` of the dataset: the one exchange of pixels there is.
+
+    Lines of a large dataset are in all buckets, and a task reads no more than a bucket of the folders asked for.
+    """
+    buckets = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.withColumn("part", part_of(F.col("dataset_id"), parts)).repartition(buckets, *LINE_KEYS)
+    return bucketed(dealt, "lines", LINE_KEYS, buckets, "part")
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """To be sent to all tasks if it has few rows, counted now; else Spark joins it as any other."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
