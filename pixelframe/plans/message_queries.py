@@ -72,7 +72,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topic_router", "SELECT event_id, CAST(json_extract(payload, '$.k') AS INT) AS k FROM msg WHERE topic = 'status/pump'", ("msg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return J.run(J.route(J.message_stream(T.msg(spark, d)), "status/pump", "k int")).select("event_id", "k")
+    sink = J.dispatch(J.message_stream(T.msg(spark, d)), {"pump": ("status/pump", None), "light": ("status/light", None)})
+    return sink("pump", "k int").select("event_id", "k")
+
+
+_ROUTES = {"started": ("status/pump", "Started"), "done": ("status/pump", "Done"), "ready": ("status/pump", "Ready"), "on": ("status/light", "On")}
+
+
+@query("topic_dispatch", "SELECT event_id, CASE WHEN topic = 'status/pump' THEN CASE status WHEN 'Started' THEN 'started' WHEN 'Done' THEN 'done' WHEN 'Ready' THEN 'ready' ELSE 'elsewhere' END WHEN status = 'On' THEN 'on' ELSE 'unknown_action' END AS sink FROM msg", ("msg",))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Messages told apart by topic and action, each with the sink that it went to."""
+    log = T.msg(spark, d).withColumn("payload", F.to_json(F.struct(F.col("status").alias("action"))))
+    sink = J.dispatch(J.message_stream(log), _ROUTES)
+    out = None
+    for name in (*_ROUTES, J.UNKNOWN, J.ELSEWHERE):
+        rows = sink(name).select("event_id", F.lit(name).alias("sink"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("metric_stream", "SELECT event_id, 'o' || event_id AS name, CAST(device_id AS INT) AS area, round(value, 6) AS perim FROM msg", ("msg",))
@@ -112,10 +128,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return J.latest_update(J.run(J.progress(stream, "device_id"), "update"), ["device_id"])
 
 
-@query("command_latency", "SELECT c.event_id AS command_id, s.event_id AS status_id FROM msg c JOIN msg s ON c.device_id = s.device_id AND c.status = 'Started' AND s.status = 'Done' AND s.ts > c.ts AND s.ts <= c.ts + INTERVAL 12 HOURS", ("msg",))
+@query("command_latency", "SELECT c.event_id AS command_id, s.event_id AS status_id FROM msg c LEFT JOIN msg s ON c.device_id = s.device_id AND s.status = 'Done' AND s.ts > c.ts AND s.ts <= c.ts + INTERVAL 12 HOURS WHERE c.status = 'Started'", ("msg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    stream = J.message_stream(T.msg(spark, d))
-    return J.run(J.answered_within(stream.filter("status = 'Started'"), stream.filter("status = 'Done'"), "device_id", "12 HOURS")).select("command_id", "status_id")
+    """Commands with their answers, and those without any with a null."""
+    stream = J.message_stream(T.msg(spark, d), beats="2 DAYS")
+    return J.run(J.answered_within(stream, F.col("status") == "Started", F.col("status") == "Done", "device_id", "12 HOURS", unanswered=True)).select("command_id", "status_id")
 
 
 @query("operating_time_stream", _SESSIONS, ("msg",))
@@ -149,6 +166,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return J.each_dataset_once(arriving, process)
 
 
+@query("segment_arriving")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The whole segmentation on datasets that arrive line by line over some triggers; a broken one doesn't stop the others."""
+    from pixelframe.plans.image_queries import MIN_ESD, rounded
+    from pixelframe.plans.segmentation import segment
+
+    lines = T.scanlines(spark, d)
+    lines = lines.withColumn("lines", F.count("*").over(Window.partitionBy("dataset_id")))
+    to = files_.scratch(spark, "arriving")
+    lines.repartition(3, "image_id").write.parquet(to)
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(to)
+    job = J.DatasetJob(spark, lambda rows: rounded(segment(rows.drop("lines"), MIN_ESD)), arriving.schema, expected="lines", broken=J.broken_scanlines)
+    return job.run(arriving)
+
+
 @query("error_stream", "SELECT device_id, count(*) AS errors FROM msg WHERE status = 'Off' OR event_id % 9 = 0 GROUP BY 1", ("msg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
     broken = F.when(F.col("event_id") % 9 == 0, "{").otherwise(F.col("payload"))

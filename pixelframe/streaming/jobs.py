@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from pixelframe.sources.files import scratch
+from pixelframe.sources.files import scratch, stored
 
 
-def message_stream(log: DataFrame, parts: int = 4, per_file: int = 500_000) -> DataFrame:
+def message_stream(log: DataFrame, parts: int = 4, per_file: int = 500_000, beats: str | None = None) -> DataFrame:
     """A stream over a message table: the table is laid out as files in the order of time, read a part a trigger.
 
     Files are taken by age, so the parts, split at quantiles of time, are written one after the other, each as files of
     about per_file messages by as many tasks. In production the same operators read a broker's topics; a payload column,
-    a topic and a time are all they need.
+    a topic and a time are all they need. With beats, an interval, two messages with nothing but a time follow the last
+    one, that interval apart, as a broker's heartbeats do: watermarks declared on the stream go on without messages.
     """
     spark = log.sparkSession
     to = scratch(spark, "messages")
@@ -31,6 +35,11 @@ def message_stream(log: DataFrame, parts: int = 4, per_file: int = 500_000) -> D
         part = log if low is None else log.filter(at > low)
         part = part if high is None else part.filter(at <= high)
         part.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.mode("append").parquet(to)
+    if beats:
+        last = log.agg(F.max("ts").alias("last"))
+        for k in (1, 2):
+            beat = last.select(F.expr(f"last + {k} * INTERVAL {beats}").alias("ts"))
+            beat.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema]).repartition(files).write.mode("append").parquet(to)
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(to)
 
 
@@ -50,7 +59,7 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> D
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = stream.schema.add("_batch", "long")
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(to)
 
 
@@ -66,6 +75,42 @@ def route(stream: DataFrame, topic: str, schema: str) -> DataFrame:
     return stream.filter(under).withColumn("j", F.from_json("payload", schema)).filter("j IS NOT NULL").select(*stream.columns, "j.*")
 
 
+#: The routes of messages that no other takes: of a known topic with another action, and of other topics.
+UNKNOWN, ELSEWHERE = "unknown_action", "elsewhere"
+
+
+def dispatch(stream: DataFrame, routes: dict[str, tuple[str, str | None]], folder: str | None = None) -> Callable[..., DataFrame]:
+    """Send every message to the sink of its route, by topic and the payload's `action`, from one read of the stream.
+
+    routes: the sink's name, and a topic with an action, or with None for all of the topic's messages that no action of
+    it takes. Messages of a topic of the routes with another action go to UNKNOWN, others to ELSEWHERE, so none is lost.
+    A trigger is one pass: each task writes its messages to the folders of their routes. Returns a reader of one sink:
+    its name and, if the payload's fields are wanted, their schema (payloads that aren't JSON: null fields).
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch(spark, "dispatch")
+    under = lambda topic: (F.col("topic") == topic) | F.col("topic").startswith(topic + "/")
+    chosen = F
+    for name, (topic, action) in sorted(routes.items(), key=lambda r: r[1][1] is None):
+        hit = under(topic) if action is None else under(topic) & (F.get_json_object("payload", "$.action") == action)
+        chosen = chosen.when(hit, name)
+    for topic in {t for t, _ in routes.values()}:
+        chosen = chosen.when(under(topic), UNKNOWN)
+    routed = stream.withColumn("route", chosen.otherwise(ELSEWHERE))
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.partitionBy("route").mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    routed.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+    def sink(name: str, schema: str | None = None) -> DataFrame:
+        rows = spark.read.schema(StructType([*routed.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out").filter(F.col("route") == name)
+        rows = rows.select(*stream.columns)
+        return rows.withColumn("j", F.from_json("payload", schema)).select(*stream.columns, "j.*") if schema else rows
+
+    return sink
+
+
 def conflate(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The newest message of each key so far (update mode)."""
     return stream.groupBy(*keys).agg(F.max_by(F.struct("event_id", "payload"), F.struct("ts", "event_id")).alias("m")).select(*keys, "m.*")
@@ -82,13 +127,17 @@ def per_window(stream: DataFrame, width: str, late: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(w, "topic").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("centivalue")).select(F.col("window.start").alias("start"), "topic", "n", "centivalue")
 
 
-def answered_within(commands: DataFrame, statuses: DataFrame, key: str, timeout: str, unanswered: bool = False) -> DataFrame:
+def answered_within(stream: DataFrame, command: Column, status: Column, key: str, timeout: str, unanswered: bool = False) -> DataFrame:
     """Commands with every status of their key within the timeout. Watermarks bound what either side keeps.
 
-    With unanswered, a command without any comes out too, with nulls, once the watermark says that none can follow.
+    With unanswered, a command without any comes out too, with nulls, once the watermark says that none can follow. The
+    watermark is that of all messages, heartbeats too, not of commands and statuses alone.
     """
-    c = commands.select(F.col(key).alias("key"), F.col("ts").alias("command_ts"), F.col("event_id").alias("command_id")).withWatermark("command_ts", timeout)
-    s = statuses.select(F.col(key).alias("status_key"), F.col("ts").alias("status_ts"), F.col("event_id").alias("status_id")).withWatermark("status_ts", timeout)
+    marked = stream.withWatermark("ts", timeout)
+    # a filter on the time as well isn't moved in front of the watermark, which so sees all messages
+    timed = lambda which: F.when(F.col("ts").isNotNull(), which)
+    c = marked.filter(timed(command)).select(F.col(key).alias("key"), F.col("ts").alias("command_ts"), F.col("event_id").alias("command_id"))
+    s = marked.filter(timed(status)).select(F.col(key).alias("status_key"), F.col("ts").alias("status_ts"), F.col("event_id").alias("status_id"))
     near = F.expr(f"key = status_key AND status_ts > command_ts AND status_ts <= command_ts + INTERVAL {timeout}")
     return c.join(s, near, "leftOuter" if unanswered else "inner").select("command_id", "status_id", "key", "command_ts", "status_ts")
 
@@ -160,32 +209,137 @@ def operating_time(stream: DataFrame) -> DataFrame:
     return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, start timestamp, stop timestamp, seconds long", "opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def each_dataset_once(arriving: DataFrame, process: Callable[[DataFrame], DataFrame], key: str = "dataset_id", expected: str | None = None, folder: str | None = None) -> DataFrame:
-    """Apply a batch job to datasets as they arrive, each once: those in the ledger of done ones are left out.
+def _commit(keys: DataFrame, to: str) -> None:
+    keys.write.mode("overwrite").parquet(to)
+
+
+class DatasetJob:
+    """A batch job on datasets as they arrive, each once, kept in a folder: what has come, results, dead letters, ledger.
 
     With `expected`, a column that tells how many different rows a dataset has, a dataset whose rows come in several
-    triggers waits for its last ones; without it, what a trigger brings of a dataset is taken for all of it. A trigger
-    that is done again overwrites its own results, ledger entries and waiting rows. With the same `folder`, a later run
-    goes on where the last one ended.
+    triggers waits for its last ones; without it, what a trigger brings of a dataset is taken for all of it. Arriving
+    rows are appended by `part` of their dataset, with a small table of counts, so a trigger reads the rows of datasets
+    that may be whole now, and nothing of those that still wait.
+
+    A dataset that fails doesn't stop the others. `broken` may name datasets that can't be worked on, with an error, from
+    their rows. If the job itself fails, its datasets are halved by hash until the failing one is alone: some two
+    attempts for each halving. Such datasets go to the dead letters with the error; `retry` takes them up again, alone.
+
+    Results count once the ledger names them, and the ledger is written last. A trigger that was cut off is done again
+    under its own number: it overwrites its tables, and what it left without a ledger entry isn't read.
     """
-    spark: SparkSession = arriving.sparkSession
-    folder = folder or scratch(spark, "datasets")
-    to, ledger, waiting = (f"{folder}/{name}" for name in ("results", "ledger", "waiting"))
-    schema = f"{key} {arriving.schema[key].dataType.simpleString()}, batch long"
 
-    def put(rows: DataFrame, batch: int) -> None:
-        if batch:
-            done = spark.read.schema(schema).parquet(ledger).filter(F.col("batch") < batch)
-            rows = rows.join(done.select(key).distinct(), key, "left_anti").select(arriving.columns)
-        if expected:
-            if batch:
-                rows = rows.unionByName(spark.read.schema(arriving.schema).parquet(f"{waiting}/batch={batch - 1}"))
-            rows = rows.distinct()
-            whole = rows.groupBy(key).agg(F.count("*").alias("n"), F.max(expected).alias("of")).filter("n >= of").select(key)
-            rows.join(whole, key, "left_anti").select(arriving.columns).write.mode("overwrite").parquet(f"{waiting}/batch={batch}")
-            rows = rows.join(whole, key, "left_semi").select(arriving.columns)
-        process(rows).write.mode("overwrite").parquet(f"{to}/batch={batch}")
-        rows.select(key).distinct().write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
-
-    arriving.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(to).drop("batch")
+    def __init__(self, spark: SparkSession, process: Callable[[DataFrame], DataFrame], schema: StructType, key: str = "dataset_id", expected: str | None = None, folder: str | None = None, broken: Callable[[DataFrame], DataFrame] | None = None, parts: int = 64):
+        self.spark, self.process, self.schema, self.key, self.expected, self.broken, self.parts = spark, process, schema, key, expected, broken, parts
+        folder = folder or scratch(spark, "datasets")
+        self.folder, self.arrived, self.counts, self.results, self.letters, self.ledger = folder, *(f"{folder}/{n}" for n in ("arrived", "counts", "results", "letters", "ledger"))
+        self.kind = schema[key].dataType.simpleString()
+        for to, more in ((self.ledger, "piece string"), (self.letters, "error string")):  # so that there is something to read
+            spark.createDataFrame([], f"{key} {self.kind}, {more}").write.mode("ignore").parquet(f"{to}/batch=-1")
+
+    def done(self, before: int | None = None) -> DataFrame:
+        """Finished datasets: key, piece and batch."""
+        rows = self.spark.read.schema(f"{self.key} {self.kind}, piece string, batch long").parquet(self.ledger)
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def dead_letters(self) -> DataFrame:
+        """Datasets that failed and haven't been finished since: key and the last error."""
+        rows = self.spark.read.schema(f"{self.key} {self.kind}, error string, batch long").parquet(self.letters)
+        last = rows.groupBy(self.key).agg(F.max_by("error", F.abs("batch")).alias("error"))
+        return last.join(self.done().select(self.key), self.key, "left_anti")
+
+    def output(self) -> DataFrame:
+        """The results of all finished datasets."""
+        told = self.done().filter("piece IS NOT NULL").select("batch", "piece").distinct()
+        rows = self.spark.read.parquet(self.results)
+        columns = [c for c in rows.columns if c not in ("batch", "piece")]
+        return rows.withColumn("batch", F.col("batch").cast("long")).join(told, ["batch", "piece"], "left_semi").select(columns)
+
+    def _settled(self, rows: DataFrame, batch: int, piece: str, depth: int = 0) -> list[tuple[str, DataFrame, str | None]]:
+        """Work on datasets, halving those that fail: for each piece its name, its keys, and the error if it failed."""
+        if depth and rows.isEmpty():
+            return []
+        try:
+            self.process(rows).write.mode("overwrite").parquet(f"{self.results}/batch={batch}/piece={piece}")
+            return [(piece, rows.select(self.key).distinct(), None)]
+        except PySparkException as failed:
+            some = rows.select(self.key).distinct().limit(2).collect()
+            if len(some) < 2:
+                lines = [x for x in str(failed).strip().splitlines() if x.strip()]
+                said = next((x for x in reversed(lines) if re.match(r"\w*(Error|Exception)\b", x)), lines[0] if lines else type(failed).__name__)
+                return [(piece, rows.select(self.key).distinct(), said[:500])]
+            half = F.shiftrightunsigned(F.xxhash64(self.key), depth).bitwiseAND(1)
+            return [x for bit in (0, 1) for x in self._settled(rows.filter(half == bit), batch, f"{piece}{bit}", depth + 1)]
+
+    def finish(self, rows: DataFrame, batch: int) -> None:
+        """Work on whole datasets, and write results, dead letters and, last, the ledger."""
+        rows = stored(rows, "whole")
+        bad = stored(self.broken(rows).select(self.key, "error"), "broken") if self.broken else None
+        good = rows.join(bad.select(self.key), self.key, "left_anti").select(rows.columns) if bad is not None else rows
+        settled = self._settled(good, batch, "r")
+        lost = [k.select(self.key, F.lit(error).alias("error")) for _, k, error in settled if error is not None]
+        for more in lost:
+            bad = more if bad is None else bad.unionByName(more)
+        if bad is not None:
+            bad.write.mode("overwrite").parquet(f"{self.letters}/batch={batch}")
+        kept = self.spark.createDataFrame([], f"{self.key} {self.kind}, piece string")
+        for piece, keys, error in settled:
+            if error is None:
+                kept = kept.unionByName(keys.withColumn("piece", F.lit(piece)))
+        _commit(kept, f"{self.ledger}/batch={batch}")
+
+    def take(self, rows: DataFrame, batch: int) -> None:
+        """One trigger's rows."""
+        known = self.done(batch).select(self.key).unionByName(self.spark.read.schema(f"{self.key} {self.kind}, batch long").parquet(self.letters).filter(F.col("batch") < batch).select(self.key))
+        rows = rows.join(known.distinct(), self.key, "left_anti").select(self.schema.names).distinct()
+        place = F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+        rows.withColumn("_part", place).write.partitionBy("_part").mode("overwrite").parquet(f"{self.arrived}/batch={batch}")
+        new = self._came(batch, batch)
+        if self.expected:
+            new.groupBy(self.key).agg(F.count("*").alias("n"), F.max(self.expected).alias("of")).write.mode("overwrite").parquet(f"{self.counts}/batch={batch}")
+            counts = self.spark.read.schema(f"{self.key} {self.kind}, n long, of long, batch long").parquet(self.counts).filter(F.col("batch") <= batch)
+            ripe = counts.groupBy(self.key).agg(F.sum("n").alias("n"), F.max("of").alias("of"), F.max("batch").alias("last")).filter(f"n >= of AND last = {batch}").select(self.key)
+            ripe = stored(ripe, "ripe")
+            folders = [r["_part"] for r in ripe.select(place.alias("_part")).distinct().collect()]  # at most as many as parts
+            all_of = self._came(0, batch, folders).join(ripe, self.key, "left_semi").distinct()
+            whole = all_of.groupBy(self.key).agg(F.count("*").alias("n"), F.max(self.expected).alias("of")).filter("n >= of").select(self.key)
+            new = all_of.join(whole, self.key, "left_semi").select(self.schema.names)
+        self.finish(new, batch)
+
+    def _came(self, first: int, last: int, folders: list[int] | None = None) -> DataFrame:
+        whole = StructType([*self.schema.fields, StructField("batch", LongType()), StructField("_part", IntegerType())])
+        rows = self.spark.read.schema(whole).parquet(self.arrived).filter(F.col("batch").between(first, last))
+        return (rows if folders is None else rows.filter(F.col("_part").isin(folders))).select(self.schema.names)
+
+    def run(self, arriving: DataFrame) -> DataFrame:
+        """Take all that is there, and return the results of all finished datasets."""
+        arriving.writeStream.option("checkpointLocation", f"{self.folder}/state").foreachBatch(self.take).trigger(availableNow=True).start().awaitTermination()
+        return self.output()
+
+    def retry(self) -> DataFrame:
+        """Work on the datasets of the dead letters again, and on no others; returns all results."""
+        again = stored(self.dead_letters().select(self.key), "again")
+        if not again.isEmpty():
+            number = self.done().agg(F.min("batch")).first()[0] - 1  # below all triggers' numbers
+            folders = [r["p"] for r in again.select(F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int").alias("p")).distinct().collect()]
+            self.finish(self._came(0, 1 << 62, folders).join(again, self.key, "left_semi").distinct(), number)
+        return self.output()
+
+
+def each_dataset_once(arriving: DataFrame, process: Callable[[DataFrame], DataFrame], key: str = "dataset_id", expected: str | None = None, folder: str | None = None) -> DataFrame:
+    """Apply a batch job to datasets as they arrive, each once (see DatasetJob). With the same `folder`, a later run goes
+    on where the last one ended."""
+    return DatasetJob(arriving.sparkSession, process, arriving.schema, key, expected, folder).run(arriving)
+
+
+def broken_scanlines(lines: DataFrame) -> DataFrame:
+    """Datasets that can't be segmented, with the first reason: dataset_id, error. A pass over sizes, not over pixels."""
+    c = F.col
+    size = F.coalesce(*[F.when(c(k).isNull() | (F.size(k) != c("w")), F.lit("a line doesn't have the image's width")) for k in "bgr"])
+    place = F.when(c("seq").isNull() | c("image_id").isNull() | ~c("y").between(0, c("h") - 1), F.lit("a line is outside its image"))
+    marked = lines.select("dataset_id", "image_id", "seq", "y", "h", "w", F.coalesce(size, place).alias("error"))
+    images = marked.groupBy("dataset_id", "image_id").agg(F.min("error").alias("error"), F.count("*").alias("n"), F.countDistinct("y").alias("lines"), F.max("h").alias("h"), F.min("seq").alias("seq"))
+    short = F.when((c("lines") != c("h")) | (c("n") != c("h")), F.lit("an image doesn't have each of its lines once"))
+    of = images.groupBy("dataset_id").agg(F.min(F.coalesce("error", short)).alias("error"), F.count("*").alias("n"), F.countDistinct("seq").alias("places"), F.max("seq").alias("last"))
+    gap = F.when((c("places") != c("n")) | (c("last") != c("n") - 1), F.lit("images aren't numbered from 0 on"))
+    return of.select("dataset_id", F.coalesce("error", gap).alias("error")).filter("error IS NOT NULL")

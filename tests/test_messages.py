@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelframe.operators import catalog as K
@@ -83,7 +85,7 @@ def test_state_machine_equals_a_plain_walk(spark):
 def test_unanswered_commands_come_out(spark):
     df = log(spark, [(1, 0, "Started"), (1, 5, "Done"), (2, 10, "Started"), (2, 500, "Done"), (1, 5000, "Started"), (1, 5001, "Done"), (1, 9000, "Started"), (1, 9001, "Done"), (1, 9002, "Done")])
     stream = J.message_stream(df)
-    out = J.run(J.answered_within(stream.filter("status = 'Started'"), stream.filter("status = 'Done'"), "device_id", "60 SECONDS", unanswered=True))
+    out = J.run(J.answered_within(stream, F.col("status") == "Started", F.col("status") == "Done", "device_id", "60 SECONDS", unanswered=True))
     got = {(r.command_id, r.status_id) for r in out.collect()}
     assert {(0, 1), (2, None), (4, 5), (6, 7), (6, 8)} == got
 
@@ -130,3 +132,98 @@ def test_datasets_are_done_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(to)
     out = J.each_dataset_once(stream, lambda rows: rows.groupBy("dataset_id").agg(F.count("*").alias("n")))
     assert sorted(map(tuple, out.collect())) == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_the_last_unanswered_commands_come_out_by_heartbeats(spark):
+    df = log(spark, [(1, 0, "Started"), (1, 5, "Done"), (2, 10, "Started"), (3, 12, "Started")])
+    stream = J.message_stream(df, parts=2, beats="1 HOUR")
+    out = J.run(J.answered_within(stream, F.col("status") == "Started", F.col("status") == "Done", "device_id", "60 SECONDS", unanswered=True))
+    assert {(r.command_id, r.status_id) for r in out.collect()} == {(0, 1), (2, None), (3, None)}
+
+
+def test_every_message_goes_to_one_sink(spark):
+    rows = [(k, t, p) for k, (t, p) in enumerate([("a/b", '{"action": "move", "v": 1}'), ("a/b", '{"action": "stop"}'), ("a/b/c", '{"action": "move", "v": 2}'), ("a/b", '{"action": "other"}'), ("a/b", "{"), ("x", None), ("y", '{"action": "move"}'), (None, None), ("a/bc", "{}")])]
+    df = spark.createDataFrame(rows, "event_id long, topic string, payload string").withColumn("ts", F.timestamp_seconds("event_id"))
+    sink = J.dispatch(J.message_stream(df, parts=3), {"move": ("a/b", "move"), "stop": ("a/b", "stop"), "x": ("x", None)})
+    got = {name: sorted(r.event_id for r in sink(name).collect()) for name in ("move", "stop", "x", J.UNKNOWN, J.ELSEWHERE)}
+    assert got == {"move": [0, 2], "stop": [1], "x": [5], J.UNKNOWN: [3, 4], J.ELSEWHERE: [6, 7, 8]}
+    assert sorted((r.event_id, r.v) for r in sink("move", "action string, v int").collect()) == [(0, 1), (2, 2)]
+
+
+def arriving(spark, to, rows, schema="dataset_id long, v int, of long"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(to)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(to)
+
+
+def sums(rows):
+    """Fails in a task on a negative value."""
+    return rows.groupBy("dataset_id").agg(F.sum(F.when(F.col("v") < 0, F.raise_error(F.lit("negative"))).otherwise(F.col("v"))).alias("v"))
+
+
+def test_a_broken_dataset_doesn_t_stop_the_others(spark, tmp_path):
+    rows = [(d, -1 if d == 13 else d, 1) for d in range(40)]
+    stream = arriving(spark, str(tmp_path / "in"), rows)
+    asked = []
+
+    def process(some):
+        asked.append(sorted(r.dataset_id for r in some.select("dataset_id").distinct().collect()))
+        return sums(some)
+
+    named = lambda some: some.filter("v = 7").select("dataset_id", F.lit("seven").alias("error"))
+    job = J.DatasetJob(spark, process, stream.schema, folder=str(tmp_path / "job"), broken=named)
+    assert sorted(r.dataset_id for r in job.run(stream).collect()) == [d for d in range(40) if d not in (7, 13)]
+    letters = {r.dataset_id: r.error for r in job.dead_letters().collect()}
+    assert set(letters) == {7, 13} and letters[7] == "seven" and "negative" in letters[13]
+    assert len(asked) < 25  # halved, not one by one
+    asked.clear()
+    mended = J.DatasetJob(spark, lambda some: process(some.withColumn("v", F.abs("v"))), stream.schema, folder=str(tmp_path / "job"))
+    assert sorted(r.dataset_id for r in mended.retry().collect()) == list(range(40))
+    assert asked == [[7, 13]] and mended.dead_letters().collect() == []
+    assert mended.retry().count() == 40 and asked == [[7, 13]]
+
+
+def test_a_kill_between_results_and_ledger(spark, tmp_path, monkeypatch):
+    to, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    arriving(spark, to, [(1, 1, 2), (2, 5, 1)])
+    arriving(spark, to, [(1, 2, 2), (3, 4, 2)])
+    stream = arriving(spark, to, [(3, 6, 2), (1, 1, 2), (2, 5, 1)])
+    job = lambda: J.DatasetJob(spark, sums, stream.schema, expected="of", folder=folder)
+    commit, calls = J._commit, []
+
+    def killed(keys, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        commit(keys, path)
+
+    monkeypatch.setattr(J, "_commit", killed)
+    with pytest.raises(Exception, match="killed"):
+        job().run(stream)
+    assert {(r.dataset_id, r.v) for r in job().output().collect()} == {(2, 5)}  # what has no entry isn't read
+    assert sorted((r.dataset_id, r.v) for r in job().run(stream).collect()) == [(1, 3), (2, 5), (3, 10)]
+
+
+def test_segmentation_of_arriving_datasets(spark, tmp_path):
+    """Datasets over three triggers give the rows of the batch run; one with a short line goes to the dead letters."""
+    from pixelframe.plans.segmentation import segment
+
+    rng = np.random.default_rng(6)
+    schema = "dataset_id long, image_id long, seq long, y int, w int, h int, b array<int>, g array<int>, r array<int>, of long"
+    rows = []
+    for d in range(5):
+        images = rng.integers(200, 215, (4, 40, 30, 3))
+        for k in range(4):
+            y, x = rng.integers(4, 24), rng.integers(4, 18)
+            images[k, y : y + 9, x : x + 9] //= 3
+        rows += [(d, 10 * d + k, k, y, 30, 40, *(images[k, y, :, c].tolist() for c in range(3)), 160) for k in range(4) for y in range(40)]
+    bad = rows[2 * 160]
+    rows[2 * 160] = (*bad[:6], bad[6][:-1], *bad[7:])
+    rng.shuffle(order := list(range(len(rows))))
+    for part in np.array_split(order, 3):
+        stream = arriving(spark, str(tmp_path / "in"), [rows[i] for i in part], schema)
+    job = J.DatasetJob(spark, lambda some: segment(some.drop("of"), 2), stream.schema, expected="of", folder=str(tmp_path / "job"), broken=J.broken_scanlines)
+    got = sorted(tuple(r) for r in job.run(stream).select("dataset_id", "image_id", "label", "area", "perim", "MeanHue").collect())
+    whole = spark.createDataFrame(rows, schema).filter("dataset_id != 2").drop("of")
+    want = sorted(tuple(r) for r in segment(whole, 2).select("dataset_id", "image_id", "label", "area", "perim", "MeanHue").collect())
+    assert got == want and len({r[0] for r in got}) == 4
+    assert [(r.dataset_id, r.error) for r in job.dead_letters().collect()] == [(2, "a line doesn't have the image's width")]
