@@ -81,9 +81,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     to = files_.scratch(spark, "done")
     done = T.table(spark, d, "labels").filter("quality = 1").select(F.floor(F.col("doc_id") / 100).alias("dataset_id")).distinct()
-    done.withColumns({"value": F.lit("2024-01-01T00:00:00Z")}).write.partitionBy("dataset_id").text(to)
-    marked = spark.read.text(to)
-    return marked.select(F.col("dataset_id").cast("long").alias("dataset_id")).distinct()
+    path = F.concat(F.lit("d"), F.col("dataset_id").cast("string"), F.lit("/done.txt"))
+    files_.write_files(done.select(path.alias("path"), F.encode(F.lit("2024-01-01T00:00:00Z\n"), "UTF-8").alias("content")), to)
+    marked = files_.read_done_markers(spark, to).filter("at = '2024-01-01T00:00:00Z'")
+    return marked.select(F.regexp_extract("dir", "/d(\\d+)$", 1).cast("long").alias("dataset_id"))
 
 
 @query("walk_files", "SELECT page_id % 16 AS folder, count(*) AS n, sum(octet_length(encode(url)) + 1)::BIGINT AS bytes FROM pages GROUP BY 1")

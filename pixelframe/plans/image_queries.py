@@ -31,14 +31,25 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return R.label_regions(M.mask_runs(fg(spark, d)))
 
 
+def _numbered(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """What was read from image files (path: dataset_id/seq.jpg), with the ids of the images written there."""
+    part = lambda k: F.regexp_extract("path", "(\\d+)/(\\d+)[.]jpg$", k).cast("long")
+    ids = T.frames(spark, d).select("dataset_id", F.col("seq").alias("place"), "image_id", F.size("v").cast("long").alias("n"))
+    return found.withColumns({"dataset_id": part(1), "place": part(2)}).join(ids, ["dataset_id", "place"])
+
+
 @query("scan_images", "SELECT label::BIGINT AS dataset_id, vec_id AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq, len(embedding) AS n FROM embeddings")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return T.frames(spark, d).select("dataset_id", "image_id", "seq", F.size("v").cast("long").alias("n"))
+    to = files_.scratch(spark, "images")
+    files_.write_images(T.scanlines(spark, d), to)
+    return _numbered(spark, d, files_.scan_images(spark, f"{to}/*")).select("dataset_id", "image_id", F.col("seq").cast("long").alias("seq"), "n")
 
 
 @query("decode_scanlines", "SELECT image_id, y, string_agg(b::VARCHAR, ',' ORDER BY x) AS b, string_agg(g::VARCHAR, ',' ORDER BY x) AS g, string_agg(r::VARCHAR, ',' ORDER BY x) AS r FROM bgr GROUP BY image_id, y", ("bgr",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return T.scanlines(spark, d).select("image_id", "y", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
+    to = files_.scratch(spark, "images")
+    files_.write_images(T.scanlines(spark, d), to)
+    return _numbered(spark, d, files_.decode_scanlines(spark, f"{to}/*/*.jpg")).select("image_id", "y", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
 
 
 @query("scan_image_files", "SELECT CAST(label AS BIGINT) AS dataset_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings")

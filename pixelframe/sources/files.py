@@ -148,24 +148,36 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 def decode_scanlines(spark: SparkSession, folder: str, lines_at_once: int = 256) -> DataFrame:
     """Scanlines of a folder's images: path, y, w, h and arrays b, g, r, decoded by Spark's image source.
 
-    A task cuts each image's bytes into lines by itself; no line carries its image's other bytes.
+    Gray images have three equal channels, and a channel of opacity is left out. Images that can't be decoded have no
+    lines here; `undecoded_images` tells them. A task cuts each image's bytes into lines by itself; no line carries its
+    image's other bytes.
     """
-    image = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*").filter("nChannels = 3")
+    image = _images(spark, folder).filter("nChannels IN (1, 3, 4)")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, h, w, data in zip(*(batch.column(k) for k in range(4))):
-                h, w = h.as_py(), w.as_py()
-                pixels = np.frombuffer(data.as_buffer(), np.uint8)[: h * w * 3].reshape(h, w, 3)
+            for path, h, w, n_channels, data in zip(*(batch.column(k) for k in range(5))):
+                h, w, depth = h.as_py(), w.as_py(), n_channels.as_py()
+                pixels = np.frombuffer(data.as_buffer(), np.uint8)[: h * w * depth].reshape(h, w, depth)
                 for y in range(0, h, lines_at_once):
                     some = pixels[y : y + lines_at_once].astype(np.int32)
                     n = len(some)
                     ends = pa.array(np.arange(n + 1, dtype=np.int32) * w)
-                    channels = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(some[:, :, k]).ravel())) for k in range(3)]
+                    channels = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(some[:, :, k if depth > 1 else 0]).ravel())) for k in range(3)]
                     size = [pa.array(np.full(n, v, np.int32)) for v in (w, h)]
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n), pa.array(np.arange(y, y + n, dtype=np.int32)), *size, *channels], names=["path", "y", "w", "h", "b", "g", "r"])
 
-    return image.select("origin", "height", "width", "data").mapInArrow(cut, "path string, y int, w int, h int, b array<int>, g array<int>, r array<int>")
+    return image.select("origin", "height", "width", "nChannels", "data").mapInArrow(cut, "path string, y int, w int, h int, b array<int>, g array<int>, r array<int>")
+
+
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", "false").load(folder).select("image.*")
+
+
+def undecoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of a folder that decode_scanlines leaves out, with the reason: path, error."""
+    why = F.when(F.col("nChannels") < 1, F.lit("not a readable image")).when(~F.col("nChannels").isin(1, 3, 4), F.concat(F.lit("channels: "), F.col("nChannels").cast("string")))
+    return _images(spark, folder).select(F.col("origin").alias("path"), why.alias("error")).filter("error IS NOT NULL")
 
 
 def discover_datasets(files: DataFrame) -> DataFrame:
@@ -185,39 +197,71 @@ def read_done_markers(spark: SparkSession, root: str) -> DataFrame:
     return read.text(root, wholetext=True).select(parent(F.col("_metadata.file_path")).alias("dir"), F.regexp_replace("value", "\\s+$", "").alias("at"))
 
 
+def _ledger_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Lines of ledger files with their place in the file. A ledger lists one folder, so a file is read as a whole."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    files = read.text(root, wholetext=True).select(parent(F.col("_metadata.file_path")).alias("ledger"), F.split("value", "\r?\n").alias("lines"))
+    believed = F.coalesce(F.get("lines", 0).startswith("#") & F.get("lines", 1).startswith("#"), F.lit(False))
+    return files.filter(believed)
+
+
 def read_integrity_ledger(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
-    """Entries of valid ledgers below a root, with the ledger (the folder of its files)."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("comment", "#")
-    entries = read.schema(LEDGER).csv(root).withColumn("ledger", parent(F.col("_metadata.file_path")))
-    return entries.join(valid_ledgers(spark, root, name), "ledger", "left_semi").select("filename", "size", "sha1", "ledger")
+    """Entries of valid ledgers below a root, with the ledger (the folder of its files): filename, size, sha1, ledger.
+
+    A file is valid if its first two lines begin with #; all after them are entries, whatever they begin with. Of other
+    files nothing is believed. An entry's name is all before its last two commas; lines without these have a name alone.
+    """
+    lines = _ledger_lines(spark, root, name).select("ledger", F.explode(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))).alias("line"))
+    line = F.regexp_replace("line", "\\s+$", "")
+    entry = lambda k: F.regexp_extract(line, "^(.*),([^,]*),([^,]*)$", k)
+    whole = entry(0) != ""
+    some = lines.filter(line != "")
+    return some.select(F.when(whole, entry(1)).otherwise(line).alias("filename"), F.when(whole, entry(2).try_cast("long")).alias("size"), F.when(whole, entry(3)).alias("sha1"), "ledger")
 
 
 def valid_ledgers(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
-    """Ledgers (folders) that have both head lines; of other files nothing is believed."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    heads = read.text(root).filter(F.col("value").isin(*LEDGER_HEAD)).select(parent(F.col("_metadata.file_path")).alias("ledger"), "value")
-    return heads.groupBy("ledger").agg(F.countDistinct("value").alias("n")).filter(F.col("n") == len(LEDGER_HEAD)).select("ledger")
+    """Ledgers (folders) with a file whose first two lines begin with #."""
+    return _ledger_lines(spark, root, name).select("ledger").distinct()
 
 
 def append_integrity(files: DataFrame, to: str) -> None:
-    """Append filename, size and hash of files to a ledger's folder; the head is written on first use."""
+    """Append filename, size and hash of files to a ledger's folder. Each task's file has the two head lines, so each is
+    valid by itself; an empty ledger has a file with these alone."""
     spark = files.sparkSession
-    try:
-        spark.read.text(to).limit(1).count()
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        spark.createDataFrame([(line,) for line in LEDGER_HEAD], "value string").coalesce(1).write.text(to)
-    files.select("filename", "size", "sha1").write.mode("append").csv(to)
+
+    def with_head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                yield pa.RecordBatch.from_arrays([pa.array(LEDGER_HEAD, pa.string())], schema=batch.schema)
+                begun = True
+            yield batch
+
+    lines = files.select(F.concat_ws(",", "filename", F.col("size").cast("string"), "sha1").alias("value"))
+    lines.mapInArrow(with_head, "value string").write.mode("append").text(to)
+    if spark.read.text(to).isEmpty():
+        spark.createDataFrame([(line,) for line in LEDGER_HEAD], "value string").coalesce(1).write.mode("append").text(to)
+
+
+#: How text is kept whole in tables of separated values: blanks stay, a quote in a value is doubled, and an empty text is
+#: quoted, which tells it from null.
+_LOSSLESS = {"sep": "\t", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: What the reader calls an empty field that isn't quoted; no text holds these two characters of private use alone.
+_NOTHING = "\ue000\ue001"
+#: The second column of tables with one column, always empty: without it a null would be a blank line, which isn't a row.
+_FILLER = "_filler"
 
 
 def export_tsv(rows: DataFrame, to: str, partition_by: str | None = None, files: int = 1) -> None:
     """Tab-separated rows under two header lines: names, then [f] or [t] by the column's type.
 
     Each task writes its rows to files of their own, and every file has both header lines, so files can be read one by
-    one and no task gets all rows. With partition_by, each of its values is a folder with up to `files` files.
+    one and no task gets all rows. With partition_by, each of its values is a folder with up to `files` files. Texts come
+    back as they are: nulls, empty ones, blanks, line ends, quotes. A table of one column gets an empty second one.
     """
     names = [c for c in rows.columns if c != partition_by]
+    if len(names) == 1:
+        rows, names = rows.withColumn(_FILLER, F.lit(None).cast("string")), [*names, _FILLER]
     types = dict(rows.dtypes)
     codes = [type_code(types[c]) for c in names]
     text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names], *[F.col(f"`{p}`") for p in [partition_by] if p])
@@ -248,7 +292,7 @@ def export_tsv(rows: DataFrame, to: str, partition_by: str | None = None, files:
     plain = text.toDF(*[f"c{k}" for k in range(len(text.columns))])
     out = plain.mapInArrow(with_codes, plain.schema).toDF(*text.columns)
     writer = out.write.partitionBy(partition_by) if partition_by else out.write
-    writer.csv(to, sep="\t", header=True, emptyValue="")
+    writer.options(**_LOSSLESS).csv(to, emptyValue='""', nullValue="")
 
 
 def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -256,7 +300,7 @@ def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
 
     Values may hold line ends and rows may be empty, so a file is read as a whole; exports are many files.
     """
-    read = spark.read.csv(path, sep="\t", header=True, multiLine=True)
+    read = spark.read.options(**_LOSSLESS).csv(path, multiLine=True, emptyValue="", nullValue=_NOTHING)
     names = read.columns
     own = [f"c{k}" for k in range(len(names))]
     placed = read.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
@@ -273,7 +317,7 @@ def read_export_tsv(spark: SparkSession, path: str) -> DataFrame:
             before = files[-1]
             yield batch.filter(pa.array(~(first & (blocks == 0)))).select(own)
 
-    return placed.mapInArrow(data, ", ".join(f"{o} string" for o in own)).toDF(*names)
+    return placed.mapInArrow(data, ", ".join(f"{o} string" for o in own)).toDF(*names).drop(_FILLER)
 
 
 def write_stage_snapshots(mask: DataFrame, names: list[str], to: str) -> None:

@@ -60,6 +60,62 @@ def test_ledger(spark, tmp_path):
     assert [r.filename for r in S.read_integrity_ledger(spark, str(tmp_path / "ledgers")).collect()] == ["k"]
 
 
+def test_ledgers_go_by_the_place_of_lines(spark, tmp_path):
+    files = {
+        "other": "# by hand\n#\na.jpg,1,q\n",
+        "late": "a.jpg,1,q\n" + "\n".join(S.LEDGER_HEAD) + "\nb.jpg,2,r\n",
+        "odd": "\r\n".join([*S.LEDGER_HEAD, "#odd.jpg,3,s", "x, y,z.jpg,4,t  ", "", "nameless", "bad,size,u"]),
+        "short": "# alone",
+        "none": "",
+    }
+    for k, text in files.items():
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "ledger.txt").write_bytes(text.encode())
+    got = sorted(((r.ledger.rsplit("/", 1)[1], r.filename, r.size, r.sha1) for r in S.read_integrity_ledger(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([("other", "a.jpg", 1, "q"), ("odd", "#odd.jpg", 3, "s"), ("odd", "x, y,z.jpg", 4, "t"), ("odd", "nameless", None, None), ("odd", "bad", None, "u")], key=repr)
+    assert sorted(r.ledger.rsplit("/", 1)[1] for r in S.valid_ledgers(spark, str(tmp_path)).collect()) == ["odd", "other"]
+
+
+def test_gray_opaque_and_broken_images(spark, tmp_path):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(2)
+
+    def png(pixels, kind):
+        h, w, depth = pixels.shape
+        raw = b"".join(b"\0" + line.tobytes() for line in pixels.astype(np.uint8))
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    gray, clear = rng.integers(0, 256, (4, 6, 1)), rng.integers(0, 256, (3, 5, 4))
+    (tmp_path / "gray.jpg").write_bytes(png(gray, 0))
+    (tmp_path / "clear.jpg").write_bytes(png(clear, 6))
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8 no image")
+    got = {(r.path.rsplit("/", 1)[1], r.y): (r.b, r.g, r.r) for r in S.decode_scanlines(spark, str(tmp_path)).collect()}
+    assert len(got) == 7
+    for y in range(4):
+        assert got["gray.jpg", y] == (gray[y, :, 0].tolist(),) * 3
+    for y in range(3):
+        assert got["clear.jpg", y] == tuple(clear[y, :, k].tolist() for k in (2, 1, 0))
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in S.undecoded_images(spark, str(tmp_path)).collect()] == [("broken.jpg", "not a readable image")]
+
+
+def test_export_of_any_text_comes_back(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    bits = ["", " ", "\t", "\n", "\r\n", "\r", '"', "'", "\\", "a", "é", ",", "#", "[t]", "NULL", "\\N", '""', " lead", "trail "]
+    for n in (1, 2, 4):
+        rows = [tuple(None if rng.random() < 0.2 else "".join(rng.choices(bits, k=rng.randrange(4))) for _ in range(n)) for _ in range(200)]
+        rows += [(None,) * n, ("",) * n]
+        table = spark.createDataFrame(rows, ", ".join(f"c{k} string" for k in range(n))).repartition(3)
+        S.export_tsv(table, str(tmp_path / f"t{n}"))
+        back = S.read_export_tsv(spark, str(tmp_path / f"t{n}"))
+        assert back.columns == table.columns
+        assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+
+
 def test_export_has_two_header_lines(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, 0.5, True), ("q", 2, None, False)], "name string, n int, v double, flag boolean").withColumnRenamed("v", "perim.")
     S.export_tsv(rows.coalesce(1), str(tmp_path / "t"))
@@ -80,8 +136,7 @@ def test_export_keeps_every_row(spark, tmp_path):
     rows = spark.createDataFrame(odd * 3, "a string, b string").repartition(4)
     S.export_tsv(rows, str(tmp_path / "t"))
     back = S.read_export_tsv(spark, str(tmp_path / "t")).collect()
-    want = [tuple(v or None for v in r) for r in odd * 3]  # an empty text reads as null
-    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, want))
+    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, odd * 3))
     parts = list((tmp_path / "t").glob("part-*"))
     assert len(parts) > 1 and all(p.read_text().splitlines()[:2] == ["a\tb", "[t]\t[t]"] for p in parts)
     S.export_tsv(rows.withColumn("k", F.lit(1)).unionByName(rows.withColumn("k", F.lit(2))), str(tmp_path / "by"), partition_by="k", files=3)
