@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.operators.ranks import placed_in_groups
+
 
 def with_image_count(datasets: DataFrame, images: DataFrame) -> DataFrame:
     """Datasets with n_images, 0 where there are none."""
@@ -35,18 +37,21 @@ def verify_integrity(ledger: DataFrame, files: DataFrame) -> DataFrame:
     return ledger.join(found, ["dir", "filename"], "left").select("dir", "filename", status.alias("status"))
 
 
-def by_status(verified: DataFrame, names: int | None = None) -> DataFrame:
-    """How many files of each directory have each status, and their names in order.
+def by_status(verified: DataFrame, names: int = 1000) -> DataFrame:
+    """How many files of each directory have each status, and the first `names` of their names in order.
 
-    A report's row holds the names of one directory and status; with `names`, the first so many of them, which are
-    chosen before they meet in a row.
+    A report's row is bounded: the names are chosen before they meet in it, and a directory's files never meet in one
+    task. All files by status, each with its place: `listed_by_status`.
     """
-    if names is None:
-        return verified.groupBy("dir", "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("filename")).alias("names"))
     counts = verified.groupBy("dir", "status").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("dir", "status").orderBy("filename"))
-    first = verified.withColumn("place", place).filter(F.col("place") <= names).groupBy("dir", "status").agg(F.sort_array(F.collect_list("filename")).alias("names"))
-    return counts.join(first, ["dir", "status"])
+    first = listed_by_status(verified).filter(F.col("place") < names).groupBy("dir", "status").agg(F.sort_array(F.collect_list("filename")).alias("names"))
+    same = counts["dir"].eqNullSafe(first["dir"]) & (counts["status"] == first["status"])
+    return counts.join(first, same).select(counts["dir"], counts["status"], "n", "names")
+
+
+def listed_by_status(verified: DataFrame) -> DataFrame:
+    """Every file with its place among those of its directory and status, and how many these are: place (from 0), n."""
+    return placed_in_groups(verified, ["dir", "status"], [F.col("filename")], "place", "n")
 
 
 def page_of(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:
@@ -56,9 +61,7 @@ def page_of(rows: DataFrame, order: list[Column], start: int, size: int) -> Data
 
 def all_pages(rows: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
     """Every row with its page in its group, the group's pages and where the next page starts (null: none)."""
-    w = Window.partitionBy(*group)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    out = rows.withColumns({"_place": place, "_total": F.count("*").over(w)})
+    out = placed_in_groups(rows, group, order, "_place", "_total")
     page = F.floor(F.col("_place") / size)
     out = out.withColumns({"page": page, "pages": F.ceil(F.col("_total") / size), "next_start": F.when((page + 1) * size < F.col("_total"), (page + 1) * size)})
     return out.drop("_place", "_total")
@@ -66,7 +69,7 @@ def all_pages(rows: DataFrame, group: list[str], order: list[Column], size: int)
 
 def shuffled(rows: DataFrame, group: list[str], key: Column, seed: int) -> DataFrame:
     """Rows with their place in a random but repeatable order within the group."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))))) - 1)
+    return placed_in_groups(rows, group, [F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))])
 
 
 def zip_positional(rows: DataFrame, ids: str, details: str, names: list[str]) -> DataFrame:
@@ -78,9 +81,14 @@ def zip_positional(rows: DataFrame, ids: str, details: str, names: list[str]) ->
 
 def object_index(objects: DataFrame, order: list[Column]) -> DataFrame:
     """Index of objects in their dataset, id and label across datasets of one sequence."""
-    return objects.withColumn("i", F.row_number().over(Window.partitionBy("dataset_id").orderBy(*order)) - 1)
+    return placed_in_groups(objects, ["dataset_id"], order, "i")
 
 
 def progress(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """current (from 1) and total of each row in its group."""
-    return rows.withColumns({"current": F.row_number().over(Window.partitionBy(group).orderBy(*order)), "total": F.count("*").over(Window.partitionBy(group))})
+    return placed_in_groups(rows, [group], order, "current", "total").withColumn("current", F.col("current") + 1)
+
+
+def sort_files(files: DataFrame, root: Column, order: list[Column]) -> DataFrame:
+    """Files with seq, their place below their root."""
+    return placed_in_groups(files, [root], order, "seq")

@@ -26,11 +26,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return K.verify_integrity(T.ledger(spark, d), _hashed(spark, d))
 
 
-@query("partition_valid_invalid", f"WITH {_STATUS} SELECT dir, status, count(*) AS n, string_agg(filename, ',' ORDER BY filename) AS names FROM verified GROUP BY dir, status", ("files", "ledger"))
+@query("partition_valid_invalid", f"WITH {_STATUS} SELECT dir, status, count(*) AS n, array_to_string(list_sort(list(filename))[1:1000], ',') AS names FROM verified GROUP BY dir, status", ("files", "ledger"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return K.by_status(K.verify_integrity(T.ledger(spark, d), _hashed(spark, d))).withColumn("names", F.array_join("names", ","))
 
 
+@query("list_valid_invalid", f"WITH {_STATUS} SELECT dir, status, filename, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY dir, status) AS n FROM verified WINDOW w AS (PARTITION BY dir, status ORDER BY filename)", ("files", "ledger"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return K.listed_by_status(K.verify_integrity(T.ledger(spark, d), _hashed(spark, d)))
+
+
 @query("concat_reports", f"WITH {_STATUS} SELECT status, count(*) AS n FROM verified GROUP BY status", ("files", "ledger"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = K.verify_integrity(T.ledger(spark, d), _hashed(spark, d))
@@ -105,8 +110,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sort_files", "SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(path, '^[a-z]+://[^/]+', 0) ORDER BY path, page_id) - 1 AS seq FROM paths", ("paths",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(F.regexp_extract("path", "^[a-z]+://[^/]+", 0)).orderBy("path", "page_id")
-    return T.paths(spark, d).select("page_id", (F.row_number().over(w) - 1).cast("long").alias("seq"))
+    return K.sort_files(T.paths(spark, d), F.regexp_extract("path", "^[a-z]+://[^/]+", 0), [F.col("path"), F.col("page_id")]).select("page_id", "seq")
 
 
 @query("union_dirs", "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM paths", ("paths",))
