@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import ranked, written
+from pixelframe.llm.common import partitions, ranked, written
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -38,11 +38,43 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.get(F.transform(F.transform(F.array(turned), gray), digits), 0)
 
 
+def text_cells(rows: DataFrame, column: str, cells: int) -> list[tuple[str, int]]:
+    """The smallest value of each cell of a text column, and the cell, when its values are cut in order into `cells` cells
+    of about as many rows each. A value is in one cell, whole values are compared, and odd values move no others.
+
+    Values are counted, and their counts added up along ranges of values: a row a range and a row a cell come to the
+    driver.
+    """
+    spark = rows.sparkSession
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange(partitions(spark), "value").sortWithinPartitions("value").withColumn("_spot", F.monotonically_increasing_id())
+    spot = written(dealt, "values").withColumn("_part", F.shiftrightunsigned("_spot", 33))
+    sums = sorted((r["_part"], r["n"]) for r in spot.groupBy("_part").agg(F.sum("n").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sums:
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
+    inside = Window.partitionBy("_part").orderBy("_spot").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_before")
+    placed = spot.join(F.broadcast(spark.createDataFrame(before, "_part long, _before long")), "_part")
+    of = placed.withColumn("cell", F.floor(start * cells / total).cast("int")).groupBy("cell").agg(F.min("value").alias("value"))
+    return sorted((r["value"], r["cell"]) for r in of.collect())
+
+
+def _cell_of_text(value: Column, bounds: list[tuple[str, int]]) -> Column:
+    if not bounds:
+        return F.lit(0)
+    at = F.size(F.filter(F.array(*[F.lit(b) for b, _ in bounds]), lambda b: b <= value))
+    return F.when(value.isNull(), 0).otherwise(F.get(F.array(*[F.lit(c) for _, c in bounds]), at - 1))
+
+
 def hilbert_shards(docs: DataFrame, n_shards: int = 16, text_dims: tuple[str, ...] = ("source", "lang"), bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Order documents by their place on a Hilbert curve and cut the order into shards of equal row counts.
 
-    Dimensions: each of text_dims and the text's size, quantised into 2**bits cells at quantiles of all rows, so a
-    file of one shard spans a small box and predicates on any of the dimensions skip most files. Rows of one cell
+    Dimensions: each of text_dims and the text's size, quantised into 2**bits cells at quantiles of all rows (texts by
+    their whole values, see text_cells), so a file of one shard spans a small box and predicates on any of the dimensions skip most files. Rows of one cell
     stand by text hash, then id, so equal texts with equal metadata stand together.
 
     Returns id, size (UTF-8 bytes, null: 0, plus 1), text_crc32 (null as the empty text), law 'rows' (counts at most
@@ -58,25 +90,14 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, text_dims: tuple[str, ..
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         *[F.col(c).cast("string").alias(f"dim_{c}") for c in text_dims],
     ), "narrow")
-    # the smallest and largest value of each dimension share a prefix exactly if all values do
-    ends = narrow.agg(*[f(f"dim_{c}").alias(f"{c}_{k}") for c in text_dims for k, f in (("a", F.min), ("b", F.max))]).first()
-    number: dict[str, Column] = {"size": F.col("size").cast("double")}
-    for c in text_dims:
-        a, b = ((ends[f"{c}_{k}"] or "").encode() for k in "ab")
-        skip = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        number[c] = F.conv(F.rpad(F.hex(F.expr(f"substring(encode(`dim_{c}`, 'UTF-8'), {skip + 1}, 6)")), 12, "0"), 16, 10).cast("double")
     shares = [k / top for k in range(1, top)]
-    cuts = narrow.agg(*[F.percentile_approx(x, shares, 10_000).alias(k) for k, x in number.items()]).first()
-
-    def cell(key: str) -> Column:
-        bounds = sorted(set(cuts[key] or []))
-        if not bounds:
-            return F.lit(0)
-        at = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < number[key]))
-        return F.floor(at * (top - 1) / len(bounds))  # few distinct values are spread over the whole axis
-
-    placed = narrow.withColumns({f"cell_{k}": F.when(number[k].isNull(), 0).otherwise(cell(k)) for k in number})
-    placed = placed.withColumn("curve", hilbert_index([F.col(f"cell_{k}") for k in number], bits)).drop(*[f"cell_{k}" for k in number])
+    sizes = sorted(set(narrow.agg(F.percentile_approx(F.col("size").cast("double"), shares, 10_000).alias("q")).first()["q"] or []))
+    cells = {c: _cell_of_text(F.col(f"dim_{c}"), text_cells(narrow, f"dim_{c}", top)) for c in text_dims}
+    # few distinct values are spread over the whole axis
+    below = F.size(F.filter(F.array(*[F.lit(float(q)) for q in sizes]), lambda q: q < F.col("size"))) if sizes else F.lit(0)
+    cells["size"] = F.floor(below * (top - 1) / max(len(sizes), 1))
+    placed = narrow.withColumns({f"cell_{k}": cell for k, cell in cells.items()})
+    placed = placed.withColumn("curve", hilbert_index([F.col(f"cell_{k}") for k in cells], bits)).drop(*[f"cell_{k}" for k in cells])
     order = [F.col(k) for k in ("curve", "text_crc32", "size", "doc_id")]
     by_rank, total = ranked(placed, order, "hilbert")
     small, large = divmod(total, n_shards)  # the first `large` shards hold one row more
