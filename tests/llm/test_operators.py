@@ -298,6 +298,14 @@ def test_dual_descent_and_ratios_equal_a_plain_solver():
     best = z.T @ alpha
     assert abs(_hinge(w[:dims], bias, x, y, 0.7) - _hinge(best[:-1], best[-1], x, y, 0.7)) < 1e-2
     assert np.allclose(w[:dims], best[:-1], atol=0.02) and abs(bias - best[-1]) < 0.02
+    # without a number of passes it goes on until nothing moves
+    w, bias = _dual_descent(features, starts, ratios, y, 0.7, None, 1, 1e-6)
+    assert abs(_hinge(w[:dims], bias, x, y, 0.7) - _hinge(best[:-1], best[-1], x, y, 0.7)) < 1e-4
+    assert np.allclose(w[:dims], best[:-1], atol=1e-3) and abs(bias - best[-1]) < 1e-3
+    # rows that contradict each other, and repeated ones
+    twice = np.concatenate([features, features])
+    w, bias = _dual_descent(twice, np.concatenate([starts, starts[1:] + starts[-1]]), ratios, np.concatenate([y, -y]), 0.7, None, 1)
+    assert np.isfinite(w).all() and np.isfinite(bias)
 
 
 # ---------------------------------------------------------------- passages
