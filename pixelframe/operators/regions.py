@@ -172,7 +172,9 @@ def region_shapes(runs: DataFrame) -> DataFrame:
         for whole in whole_groups(batches, ["image_id"]):
             image, label, y, x0, x1 = (whole[c].to_numpy().astype(np.int64) for c in (*REGION, "y", "x0", "x1"))
             first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            edges: list[tuple[np.ndarray, ...]] = []
+            regions = 0
             for s, e in zip(first.tolist(), [*first[1:].tolist(), len(image)]):
                 names, number = np.unique(label[s:e], return_inverse=True)
                 top, left = y[s:e].min() - 1, x0[s:e].min() - 1
@@ -186,12 +188,12 @@ def region_shapes(runs: DataFrame) -> DataFrame:
                 lines = number[order] * (labels.shape[0]) + y[s:e][order] - top
                 at = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]]))
                 ends = np.append(at[1:], len(lines)) - 1
-                ly, l0, l1 = y[s:e][order][at], x0[s:e][order][at], x1[s:e][order][ends]
-                bounds = np.searchsorted(number[order][at], np.arange(n))
-                convex = [_hull_area(ly[u:v], l0[u:v], l1[u:v]) for u, v in zip(bounds.tolist(), bounds[1:].tolist())]
-                for column, values in zip(out, (np.full(n - 1, image[s]), names, _perimeters(m, labels, n)[1:], _eulers(m, labels, n)[1:], np.array(convex, np.int64))):
+                edges.append((regions + number[order][at], x0[s:e][order][at], x1[s:e][order][ends]))
+                regions += n - 1
+                for column, values in zip(out, (np.full(n - 1, image[s]), names, _perimeters(m, labels, n)[1:], _eulers(m, labels, n)[1:])):
                     column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[*REGION, "perim", "euler_number", "convex_area"])
+            convex = _hull_areas(*(np.concatenate(c) for c in zip(*edges)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), pa.array(convex)], names=[*REGION, "perim", "euler_number", "convex_area"])
 
     placed = runs.select(*REGION, "y", "x0", "x1").repartition("image_id").sortWithinPartitions("image_id")
     return placed.mapInArrow(shapes, "image_id long, label long, perim double, euler_number int, convex_area long")
@@ -231,29 +233,66 @@ def region_filled_area(geometry: DataFrame, holes: DataFrame) -> DataFrame:
     return geometry.join(inside, REGION, "left").select(*REGION, (F.col("n") + F.coalesce("hole", F.lit(0))).alias("area"))
 
 
-def _hull_area(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
-    """Pixel centres in or on the hull of the middles of the pixels' edges, given each line's outermost pixels."""
-    points = sorted({p for a, b, c in zip(y.tolist(), x0.tolist(), x1.tolist()) for x in (b, c) for p in ((a - 0.5, x), (a + 0.5, x), (a, x - 0.5), (a, x + 0.5))})
-
-    def half(ps: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        out: list[tuple[float, float]] = []
-        for p in ps:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out
-
-    one, two = half(points), half(points[::-1])
-    total = 0
-    for line in range(int(y.min()), int(y.max()) + 1):
-        cuts = []
-        for side in (one, two):
-            for (ya, xa), (yb, xb) in zip(side, side[1:]):
-                low, high = min(ya, yb), max(ya, yb)
-                if low <= line <= high and high > low:
-                    cuts.append(xa + (xb - xa) * (line - ya) / (yb - ya))
-        total += int(np.floor(max(cuts) + 1e-9) - np.ceil(min(cuts) - 1e-9)) + 1
-    return total
+#: Corners that are laid out side by side at once.
+_CORNERS = 1 << 21
+
+
+def _hull_lefts(height: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The leftmost pixel centre inside the hull on each line, for many shapes at once.
+
+    height: lines of each shape, from tall to low; left: each line's leftmost pixel, shape after shape. A hull is that of
+    the middles of the pixels' edges; in halves of pixels they lie at the even places between lines, and half a pixel
+    further left at the odd places of the lines themselves. All shapes drop corners that aren't convex side by side,
+    a place at a time, so the work is a few array operations a place and a step for each corner dropped.
+    """
+    n, tall = len(height), int(height[0])
+    first = np.cumsum(height) - height
+    shape = np.repeat(np.arange(n), height)
+    line = np.arange(len(left)) - first[shape]
+    corner = np.full((n, 2 * tall + 1), np.iinfo(np.int64).max)
+    corner[shape, 2 * line + 1] = 2 * left - 1
+    for place in (2 * line, 2 * line + 2):  # the place above a line and that below it belong to two lines
+        corner[shape, place] = np.minimum(corner[shape, place], 2 * left)
+    at, x = np.zeros((2, n, 2 * tall + 1), np.int64)
+    size = np.zeros(n, np.int64)
+    still = np.searchsorted(-2 * height, -np.arange(2 * tall + 1), "right")  # shapes that have the place
+    for place, m in enumerate(still.tolist()):
+        new, open_ = corner[:, place], np.arange(m)
+        while len(open_):
+            open_ = open_[size[open_] > 1]
+            b = size[open_] - 1
+            ya, xa = at[open_, b - 1], x[open_, b - 1]
+            open_ = open_[(at[open_, b] - ya) * (new[open_] - xa) <= (x[open_, b] - xa) * (place - ya)]
+            size[open_] -= 1
+        every = np.arange(m)
+        at[every, size[:m]], x[every, size[:m]] = place, new[:m]
+        size[:m] += 1
+    kept = np.arange(2 * tall + 1) < size[:, None]
+    ys, xs = at[kept], x[kept]
+    wide = 2 * tall + 2
+    b = np.searchsorted(np.repeat(np.arange(n), size) * wide + ys, shape * wide + 2 * line + 1)
+    gap = ys[b] - ys[b - 1]
+    twice = xs[b - 1] * gap + (xs[b] - xs[b - 1]) * (2 * line + 1 - ys[b - 1])
+    return -(-twice // (2 * gap))
+
+
+def _hull_areas(region: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Pixel centres in or on the hull of the middles of the pixels' edges, for each region of those told line after line
+    with their outermost pixels. In whole numbers; shapes of like height are worked on together, in bounded arrays."""
+    starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+    height = np.diff(np.append(starts, len(region)))
+    order = np.argsort(-height, kind="stable")
+    out = np.zeros(len(starts), np.int64)
+    done = 0
+    while done < len(order):
+        some = order[done : done + max(1, _CORNERS // (2 * int(height[order[done]]) + 1))]
+        done += len(some)
+        tall = height[some]
+        first = np.cumsum(tall) - tall
+        lines = np.repeat(starts[some] - first, tall) + np.arange(tall.sum())
+        inside = -_hull_lefts(tall, -x1[lines]) - _hull_lefts(tall, x0[lines]) + 1
+        out[some] = np.add.reduceat(inside, first)
+    return out
 
 
 def _with_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:

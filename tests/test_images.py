@@ -228,6 +228,28 @@ def test_convex_area(runs, masks):
         assert got[k, r] == inside
 
 
+def test_hulls_of_large_shapes():
+    """Against the lowest of all lines between any two corners, for shapes of very unlike height, side by side."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(8)
+
+    def reach(x):
+        corners = [(y + d, Fraction(v) - (0 if d else Fraction(1, 2))) for y, v in enumerate(x) for d in (Fraction(-1, 2), 0, Fraction(1, 2))]
+        pairs = lambda y: (xa + (xb - xa) * (y - ya) / (yb - ya) for ya, xa in corners if ya < y for yb, xb in corners if yb > y)
+        return [math.ceil(min(pairs(y))) for y in range(len(x))]
+
+    shapes, want = [], []
+    for h in (1, 1, 2, 3, 17, 12, 1, 20, 5):
+        x0 = (50 + np.cumsum(rng.integers(-6, 7, h))).tolist()
+        x1 = [v + int(rng.integers(0, 9)) for v in x0]
+        shapes.append((x0, x1))
+        want.append(sum(-a - b + 1 for a, b in zip(reach([-v for v in x1]), reach(x0))))
+    number = np.repeat(np.arange(len(shapes)), [len(a) for a, _ in shapes])
+    lines = [np.array([v for s in shapes for v in s[k]]) for k in (0, 1)]
+    assert R._hull_areas(number, *lines).tolist() == want
+
+
 @pytest.fixture(scope="module")
 def colour(spark, masks):
     rng = np.random.default_rng(6)
