@@ -119,7 +119,15 @@ _ALLOWED = " ".join(f"WHEN {'before IS NULL' if k is None else f'before = {k!r}'
 
 @query("device_state_machine", f"WITH b AS (SELECT *, lag(status) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS before FROM msg) SELECT device_id, event_id, before, status, CASE {_ALLOWED} ELSE false END AS allowed FROM b", ("msg",))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return J.run(J.state_machine(J.message_stream(T.msg(spark, d)))).drop("_batch")
+    return J.run(J.state_machine(J.message_stream(T.msg(spark, d)))).select("device_id", "event_id", "before", "status", "allowed")
+
+
+@query("device_liveness", "WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS next FROM msg) SELECT device_id, ts + INTERVAL 2 DAYS AS dead_at, status AS last_status FROM n WHERE next IS NULL OR next > ts + INTERVAL 2 DAYS", ("msg",))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Devices that were silent for over two days, each time that they were."""
+    stream = J.message_stream(T.msg(spark, d), beats="3 DAYS")
+    out = J.run(J.state_machine(stream, silent="2 DAYS")).filter(F.col("status") == J.DEAD)
+    return out.select("device_id", F.col("ts").cast("timestamp_ntz").alias("dead_at"), F.col("before").alias("last_status"))
 
 
 @query("progress_stream", "SELECT device_id, max(event_id % 100) AS current, max(event_id % 7) AS total FROM msg GROUP BY 1", ("msg",))

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from pixelframe.session import settings_of
 from pixelframe.sources.files import scratch, stored
 
 
@@ -43,6 +44,13 @@ def message_stream(log: DataFrame, parts: int = 4, per_file: int = 500_000, beat
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(to)
 
 
+#: States live on executors' disks, not in their heaps, and a trigger uploads what it changed.
+STATE_STORE = {
+    "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
+}
+
+
 def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all that is there, and return what it put out, with the trigger's number in _batch.
 
@@ -57,8 +65,9 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> D
     def put(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{to}/batch={batch}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with settings_of(spark, **STATE_STORE):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start()
+        query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(to)
 
@@ -147,6 +156,7 @@ MACHINE = {None: ("Ready",), "Ready": ("Started",), "Started": ("Done", "Off"),
 
 
 _STATUSES = pd.Index([k for k in MACHINE if k])
+_PLACE = {k: i for i, k in enumerate(_STATUSES)}
 #: Which status (column) may follow which (row); the last row stands for no message yet, the last column for other texts.
 _MAY_FOLLOW = np.zeros((len(_STATUSES) + 1, len(_STATUSES) + 1), bool)
 for _before, _after in MACHINE.items():
@@ -154,59 +164,145 @@ for _before, _after in MACHINE.items():
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
-    """Columns of a key's rows of a trigger, by time and then id."""
+    """Columns of a key's rows of a trigger, by time (microseconds) and then id."""
     parts = list(batches)
     columns = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ts", "event_id", "status")}
+    columns["ts"] = columns["ts"].astype("datetime64[us]").astype(np.int64)
     order = np.lexsort((columns["event_id"], columns["ts"]))
     return {c: v[order] for c, v in columns.items()}
 
 
-def state_machine(stream: DataFrame) -> DataFrame:
-    """Changes of status that a device's last status doesn't allow are marked; every message gives a row.
-
-    A device's state is its last status, whatever the number of messages; a trigger's messages are looked up at once.
+#: Fixed value: the status of a device that is heard of no more.
+DEAD = "Dead"
+
+
+class _Machine(StatefulProcessor):
+    """A device's state is its last status and that message's time; a trigger's messages are looked up at once."""
+
+    def __init__(self, silent: int | None):
+        self.silent = silent  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, at long")
+
+    def _wait(self, at: int) -> None:
+        if self.silent is not None:
+            self.handle.registerTimer(-(-(at + self.silent) // 1000))
+
+    def _rows(self, device: int, event: np.ndarray, at: np.ndarray, before: np.ndarray, status: np.ndarray, allowed: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"device_id": device, "event_id": event, "ts": at.astype("datetime64[us]"), "before": before, "status": status, "allowed": allowed})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        status, at = initialState["status"].iloc[0], int(initialState["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)[0])
+        self.last.update((status, at))
+        self._wait(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        new = _in_order(rows)
+        at, n = new["ts"], len(new["ts"])
+        before = np.concatenate([np.array([known[0] if known else None], object), new["status"][:-1]])
+        code = _STATUSES.get_indexer(new["status"])
+        code_before = np.concatenate([[_PLACE.get(before[0], -1)], code[:-1]])
+        first = np.zeros(n, bool)
+        first[0] = known is None
+        dead = np.zeros(0, np.int64)
+        if self.silent is not None:  # a device was silent for too long before these messages
+            since = np.concatenate([[known[1] if known else at[0]], np.maximum.accumulate(np.maximum(at, known[1] if known else at[0]))[:-1]])
+            dead = np.flatnonzero(at - since > self.silent)
+            gone, when = before[dead], since[dead] + self.silent
+            before[dead], code_before[dead], first[dead] = None, -1, True
+        allowed = _MAY_FOLLOW[code_before, code] & (code >= 0) & ((code_before >= 0) | first)
+        latest = max(int(at[-1]), known[1] if known else int(at[-1]))
+        self.last.update((new["status"][-1], latest))
+        if known is None:  # a timer that is out before its device is silent is set anew, so messages needn't touch it
+            self._wait(latest)
+        event = new["event_id"]
+        if len(dead):
+            event = pd.array([*event, *[None] * len(dead)], "Int64")
+            at, before = np.concatenate([at, when]), np.concatenate([before, gone])
+            new["status"] = np.concatenate([new["status"], np.full(len(dead), DEAD, object)])
+            allowed = np.concatenate([allowed, np.ones(len(dead), bool)])
+        yield self._rows(key[0], event, at, before, new["status"], allowed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        if known is None:
+            return
+        if -(-(known[1] + self.silent) // 1000) > expiredTimerInfo.getExpiryTimeInMs():
+            self._wait(known[1])
+            return
+        self.last.clear()
+        yield self._rows(key[0], pd.array([None], "Int64"), np.array([known[1] + self.silent]), np.array([known[0]], object), np.array([DEAD], object), np.ones(1, bool))
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    """An interval of days and less in microseconds."""
+    epoch = F.timestamp_seconds(F.lit(0))
+    return spark.range(1).select(F.unix_micros(epoch + F.expr(f"INTERVAL {interval}"))).first()[0]
+
+
+def state_machine(stream: DataFrame, silent: str | None = None, late: str = "0 SECONDS", known: DataFrame | None = None) -> DataFrame:
+    """Every message with its device's status before it, and whether that status allows it: device_id, event_id, ts,
+    before, status, allowed.
+
+    With silent, an interval, a device that is heard of no more for longer becomes `Dead`, at its last message's time and
+    that interval (a row without an event_id), by a timer or, if it speaks again first, by its next message; its state
+    goes, and it starts as a new one. States so don't grow with devices that are gone. Messages more than `late` behind
+    the newest are left out then. Rows without a device (heartbeats) only move time on.
+    known: the devices' states to begin with (device_id, status, ts; one row each).
     """
+    if silent is not None:
+        # a filter on the time as well isn't moved in front of the watermark, which so sees heartbeats
+        stream = stream.withWatermark("ts", late).filter(F.when(F.col("ts").isNotNull(), F.col("device_id").isNotNull()))
+    width = None if silent is None else _micros(stream.sparkSession, silent)
+    rows = stream.select("device_id", "event_id", "ts", "status")
+    begin = None if known is None else known.select("device_id", "status", F.col("ts").cast("timestamp").alias("ts")).groupBy("device_id")
+    schema = "device_id long, event_id long, ts timestamp, before string, status string, allowed boolean"
+    return rows.groupBy("device_id").transformWithStateInPandas(_Machine(width), schema, "append", "None" if silent is None else "EventTime", begin)
+
+
+class _Sessions(StatefulProcessor):
+    """A device's state is the time of the On that is open, or nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.opened = handle.getValueState("opened", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = _in_order(rows)
+        switch = np.flatnonzero((new["status"] == "On") | (new["status"] == "Off"))
+        if not len(switch):
+            return
+        known = self.opened.get()
+        on, at = new["status"][switch] == "On", new["ts"][switch]
+        if known:
+            on, at = np.concatenate([[True], on]), np.concatenate([[known[0]], at])
+        turned = np.flatnonzero(on != np.concatenate([[False], on[:-1]]))
+        start, stop = at[turned[::2]], at[turned[1::2]]
+        if len(start) > len(stop):
+            if not known or len(stop):
+                self.opened.update((int(start[-1]),))
+        elif known:
+            self.opened.clear()
+        if len(stop):
+            start = start[: len(stop)]
+            yield pd.DataFrame({"device_id": key[0], "start": start.astype("datetime64[us]"), "stop": stop.astype("datetime64[us]"), "seconds": stop // 1_000_000 - start // 1_000_000})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = _in_order(batches)
-        before = np.concatenate([np.array([last], object), rows["status"][:-1]])
-        code, code_before = _STATUSES.get_indexer(rows["status"]), _STATUSES.get_indexer(before)
-        allowed = _MAY_FOLLOW[code_before, code] & (code >= 0)
-        if last is not None and code_before[0] < 0:
-            allowed[0] = False  # an unknown status allows nothing
-        allowed[1:] &= code_before[1:] >= 0
-        state.update((rows["status"][-1],))
-        yield pd.DataFrame({"device_id": key[0], "event_id": rows["event_id"], "before": before, "status": rows["status"], "allowed": allowed})
-
-    return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, event_id long, before string, status string, allowed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def operating_time(stream: DataFrame) -> DataFrame:
     """Sessions from the first On to the next Off of each device, as they close: start, stop, seconds.
 
-    A device's state is the time of the On that is open, or nothing. Of a trigger's messages those count that change
-    from Off to On or back.
+    Of a trigger's messages those count that change from Off to On or back.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(batches)
-        switch = np.flatnonzero((rows["status"] == "On") | (rows["status"] == "Off"))
-        on, ts = rows["status"][switch] == "On", rows["ts"][switch].astype("datetime64[us]")
-        if state.exists:
-            on, ts = np.concatenate([[True], on]), np.concatenate([np.array([state.get[0]], "datetime64[us]"), ts])
-        turned = np.flatnonzero(on != np.concatenate([[False], on[:-1]]))
-        start, stop = ts[turned[::2]], ts[turned[1::2]]
-        if len(start) > len(stop):
-            state.update((int(start[-1].astype(np.int64)),))
-        elif state.exists:
-            state.remove()
-        if len(stop):
-            whole = lambda t: t.astype("datetime64[s]").astype(np.int64)
-            start = start[: len(stop)]
-            yield pd.DataFrame({"device_id": key[0], "start": start, "stop": stop, "seconds": whole(stop) - whole(start)})
-
-    return stream.groupBy("device_id").applyInPandasWithState(step, "device_id long, start timestamp, stop timestamp, seconds long", "opened long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("device_id", "event_id", "ts", "status")
+    return rows.groupBy("device_id").transformWithStateInPandas(_Sessions(), "device_id long, start timestamp, stop timestamp, seconds long", "append", "None")
 
 
 def _commit(keys: DataFrame, to: str) -> None:

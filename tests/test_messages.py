@@ -82,6 +82,53 @@ def test_state_machine_equals_a_plain_walk(spark):
     assert sorted((r.device_id, r.seconds) for r in out) == sorted((d, n) for d, _, n in sessions)
 
 
+def test_silent_devices_die_and_start_anew(spark):
+    """Against a plain walk: by timers, by their next message, in one trigger or over several; states of the dead go."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(d, s, rng.choice([*[k for k in J.MACHINE if k], "Odd"])) for d in range(12) for s in sorted(rng.sample(range(1000), rng.randrange(1, 9)))]
+    df, silent = log(spark, rows), 120
+    want, last = set(), {}
+    for k, (d, s, status) in sorted(enumerate(rows), key=lambda r: (r[1][1], r[0])):
+        before, at = last.get(d, (None, s))
+        if s - at > silent:
+            want.add((d, None, at + silent, before, J.DEAD, True))
+            before = None
+        want.add((d, k, s, before, status, status in J.MACHINE.get(before, ())))
+        last[d] = status, s
+    want |= {(d, None, at + silent, before, J.DEAD, True) for d, (before, at) in last.items()}
+    for parts in (1, 4):
+        stream = J.message_stream(df, parts=parts, beats="10 MINUTES")
+        got = J.run(J.state_machine(stream, silent="120 SECONDS")).collect()
+        assert {(r.device_id, r.event_id, int((r.ts - T0).total_seconds()), r.before, r.status, r.allowed) for r in got} == want and len(got) == len(want)
+
+
+def states(spark, folder):
+    return spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "last").load()
+
+
+def test_states_of_the_dead_go_and_a_restart_goes_on(spark, tmp_path):
+    to, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    rows = [(1, 0, "Ready"), (2, 5, "Ready"), (2, 300, "Started"), (3, 310, "Ready"), (2, 320, "Done"), (None, 600, None), (2, 700, "Ready")]
+    df = log(spark, rows).withColumn("ts", F.col("ts").cast("timestamp"))
+    put = lambda ids: df.filter(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(to)
+    known = spark.createDataFrame([(7, "Started", T0), (2, "On", T0)], "device_id long, status string, ts timestamp")
+    start = lambda: J.run(J.state_machine(spark.readStream.schema(df.schema).parquet(to), silent="60 SECONDS", known=known), folder=folder)
+    put([0, 1])
+    told = lambda out: {(r.device_id, r.event_id, int((r.ts - T0).total_seconds()), r.before, r.status, r.allowed) for r in out.collect()}
+    begun = {(1, 0, 0, None, "Ready", True), (2, 1, 5, "On", "Ready", False)}
+    assert told(start()) == begun and states(spark, folder).count() == 3
+    put([2, 3, 4])
+    more = {(1, None, 60, "Ready", "Dead", True), (7, None, 60, "Started", "Dead", True), (2, None, 65, "Ready", "Dead", True), (2, 2, 300, None, "Started", False), (3, 3, 310, None, "Ready", True), (2, 4, 320, "Started", "Done", True)}
+    assert told(start()) == begun | more and states(spark, folder).count() == 2
+    put([5])  # nothing but a heartbeat
+    more |= {(3, None, 370, "Ready", "Dead", True), (2, None, 380, "Done", "Dead", True)}
+    assert told(start()) == begun | more and states(spark, folder).count() == 0
+    put([6])
+    assert told(start()) == begun | more | {(2, 6, 700, None, "Ready", True)} and states(spark, folder).count() == 1
+
+
 def test_unanswered_commands_come_out(spark):
     df = log(spark, [(1, 0, "Started"), (1, 5, "Done"), (2, 10, "Started"), (2, 500, "Done"), (1, 5000, "Started"), (1, 5001, "Done"), (1, 9000, "Started"), (1, 9001, "Done"), (1, 9002, "Done")])
     stream = J.message_stream(df)
