@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -156,85 +157,156 @@ MACHINE = {None: ("Ready",), "Ready": ("Started",), "Started": ("Done", "Off"),
 
 
 _STATUSES = pd.Index([k for k in MACHINE if k])
-_PLACE = {k: i for i, k in enumerate(_STATUSES)}
 #: Which status (column) may follow which (row); the last row stands for no message yet, the last column for other texts.
 _MAY_FOLLOW = np.zeros((len(_STATUSES) + 1, len(_STATUSES) + 1), bool)
 for _before, _after in MACHINE.items():
     _MAY_FOLLOW[len(_STATUSES) if _before is None else _STATUSES.get_loc(_before), _STATUSES.get_indexer(_after)] = True
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
-    """Columns of a key's rows of a trigger, by time (microseconds) and then id."""
-    parts = list(batches)
-    columns = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ts", "event_id", "status")}
+#: Devices are dealt into this many shares by hash. A share is a key of the state store: its devices' states are one value
+#: of arrays, read, worked on and written at once, so a trigger's cost is its messages, not a round trip for each device.
+SHARES = 512
+
+
+def _by_share(rows: DataFrame) -> DataFrame:
+    """Rows with their device's share (-1: rows without a device), grouped by it. Nulls become flags beside whole numbers,
+    so that one device's null leaves other devices' numbers as they are."""
+    share = F.when(F.col("device_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("device_id"), F.lit(SHARES))).cast("long").alias("share")
+    event = [F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNull().alias("no_event")] if "event_id" in rows.columns else []
+    others = [c for c in rows.columns if c not in ("device_id", "event_id")]
+    return rows.select(share, F.coalesce("device_id", F.lit(0)).alias("device_id"), *event, *others).groupBy("share")
+
+
+def _device_column(key: tuple, device: np.ndarray) -> pd.api.extensions.ExtensionArray:
+    return pd.array([None] * len(device), "Int64") if key[0] == -1 else pd.array(device, "Int64")
+
+
+def _in_order(batches: Iterator[pd.DataFrame], only: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
+    """Columns of a share's rows of a trigger, by device, time (microseconds) and id; with `only`, of these statuses."""
+    parts = [p if only is None else p[p["status"].isin(only)] for p in batches]
+    columns = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("device_id", "ts", "event_id", "no_event", "status")}
     columns["ts"] = columns["ts"].astype("datetime64[us]").astype(np.int64)
-    order = np.lexsort((columns["event_id"], columns["ts"]))
+    order = np.lexsort((columns["event_id"], columns["no_event"], columns["ts"], columns["device_id"]))
     return {c: v[order] for c, v in columns.items()}
 
 
+def _firsts(device: np.ndarray) -> np.ndarray:
+    """Where a device's rows begin, in rows sorted by device."""
+    return np.concatenate([[True], device[1:] != device[:-1]])[: len(device)]
+
+
 #: Fixed value: the status of a device that is heard of no more.
 DEAD = "Dead"
 
 
 class _Machine(StatefulProcessor):
-    """A device's state is its last status and that message's time; a trigger's messages are looked up at once."""
+    """A share's state are its devices, sorted, with the last status and that message's time; one timer, at or before the
+    first time at which one of them is silent for too long, stands for all."""
 
     def __init__(self, silent: int | None):
         self.silent = silent  # microseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, at long")
-
-    def _wait(self, at: int) -> None:
-        if self.silent is not None:
-            self.handle.registerTimer(-(-(at + self.silent) // 1000))
-
-    def _rows(self, device: int, event: np.ndarray, at: np.ndarray, before: np.ndarray, status: np.ndarray, allowed: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"device_id": device, "event_id": event, "ts": at.astype("datetime64[us]"), "before": before, "status": status, "allowed": allowed})
+        self.last = handle.getValueState("last", "device binary, at binary, status binary, names string, timer long")
+
+    def _known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+        """Devices, times, statuses and the timer of a share."""
+        held = self.last.get()
+        if held is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object), None
+        device, at, code = (np.frombuffer(bytes(v), t) for v, t in zip(held, ("<i8", "<i8", "<i4")))
+        return device, at, np.array([*json.loads(held[3]), None], object)[code], held[4]
+
+    def _due(self, at: np.ndarray) -> np.ndarray:
+        """When devices are silent for too long, in milliseconds."""
+        return -(-(at + self.silent) // 1000)
+
+    def _keep(self, device: np.ndarray, at: np.ndarray, status: np.ndarray, timer: int | None) -> None:
+        """Write the states of a share (sorted by device), and set its timer if that isn't out in time; timer: the one
+        that is set."""
+        if self.silent is not None and len(device):
+            first = int(self._due(at).min())
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                timer = first
+        if len(device) or timer is not None:
+            code, names = pd.factorize(status)  # null: -1, the last place
+            self.last.update((device.astype("<i8").tobytes(), at.astype("<i8").tobytes(), code.astype("<i4").tobytes(), json.dumps(list(names)), timer))
+        else:
+            self.last.clear()
+
+    def _rows(self, key: tuple, device: np.ndarray, event: pd.api.extensions.ExtensionArray, at: np.ndarray, before: np.ndarray, status: np.ndarray, allowed: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"device_id": _device_column(key, device), "event_id": event, "ts": at.astype("datetime64[us]"), "before": before, "status": status, "allowed": allowed})
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        status, at = initialState["status"].iloc[0], int(initialState["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)[0])
-        self.last.update((status, at))
-        self._wait(at)
+        device, at, status, timer = self._known()
+        device = np.concatenate([device, initialState["device_id"].to_numpy(np.int64)])
+        at = np.concatenate([at, initialState["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)])
+        status = np.concatenate([status, initialState["status"].to_numpy(object)])
+        order = np.argsort(device, kind="stable")
+        self._keep(device[order], at[order], status[order], timer)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
+        known, known_at, known_status, timer = self._known()
         new = _in_order(rows)
-        at, n = new["ts"], len(new["ts"])
-        before = np.concatenate([np.array([known[0] if known else None], object), new["status"][:-1]])
-        code = _STATUSES.get_indexer(new["status"])
-        code_before = np.concatenate([[_PLACE.get(before[0], -1)], code[:-1]])
-        first = np.zeros(n, bool)
-        first[0] = known is None
+        device, at, status = new["device_id"], new["ts"], new["status"].astype(object)
+        if not len(device):
+            return
+        head = np.flatnonzero(_firsts(device))
+        spot = np.searchsorted(known, device[head])
+        met = np.zeros(len(head), bool)
+        met[spot < len(known)] = known[spot[spot < len(known)]] == device[head][spot < len(known)]
+        had, spot = head[met], spot[met]
+        before = np.concatenate([[None], status[:-1]])
+        before[head] = None
+        before[had] = known_status[spot]
+        code = _STATUSES.get_indexer(status)
+        code_before = np.concatenate([[-1], code[:-1]])
+        code_before[head] = -1
+        code_before[had] = _STATUSES.get_indexer(known_status[spot])
+        first = np.zeros(len(at), bool)
+        first[head] = ~met
+        since = np.concatenate([at[:1], at[:-1]])  # times ascend within a device
+        since[head] = at[head]
+        since[had] = known_at[spot]
+        # a device's message may be older than what is known of it
+        floor = np.full(len(head), np.iinfo(np.int64).min)
+        floor[met] = known_at[spot]
+        size = np.diff(np.append(head, len(at)))
+        since = np.maximum(since, np.repeat(floor, size))
         dead = np.zeros(0, np.int64)
         if self.silent is not None:  # a device was silent for too long before these messages
-            since = np.concatenate([[known[1] if known else at[0]], np.maximum.accumulate(np.maximum(at, known[1] if known else at[0]))[:-1]])
             dead = np.flatnonzero(at - since > self.silent)
             gone, when = before[dead], since[dead] + self.silent
             before[dead], code_before[dead], first[dead] = None, -1, True
         allowed = _MAY_FOLLOW[code_before, code] & (code >= 0) & ((code_before >= 0) | first)
-        latest = max(int(at[-1]), known[1] if known else int(at[-1]))
-        self.last.update((new["status"][-1], latest))
-        if known is None:  # a timer that is out before its device is silent is set anew, so messages needn't touch it
-            self._wait(latest)
-        event = new["event_id"]
+        tail = np.append(head[1:], len(at)) - 1
+        left = np.ones(len(known), bool)
+        left[spot] = False
+        now = [np.concatenate(v) for v in ((known[left], device[tail]), (known_at[left], np.maximum(at[tail], floor)), (known_status[left], status[tail]))]
+        order = np.argsort(now[0], kind="stable")
+        self._keep(*(v[order] for v in now), timer)
+        no_event = new["no_event"].astype(bool)
         if len(dead):
-            event = pd.array([*event, *[None] * len(dead)], "Int64")
-            at, before = np.concatenate([at, when]), np.concatenate([before, gone])
-            new["status"] = np.concatenate([new["status"], np.full(len(dead), DEAD, object)])
-            allowed = np.concatenate([allowed, np.ones(len(dead), bool)])
-        yield self._rows(key[0], event, at, before, new["status"], allowed)
+            device, at, before, status = (np.concatenate(v) for v in ((device, device[dead]), (at, when), (before, gone), (status, np.full(len(dead), DEAD, object))))
+            no_event, allowed = (np.concatenate([v, np.ones(len(dead), bool)]) for v in (no_event, allowed))
+        event = pd.array(np.concatenate([new["event_id"], np.zeros(len(dead), np.int64)]), "Int64")
+        event[no_event] = None
+        yield self._rows(key, device, event, at, before, status, allowed)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        if known is None:
-            return
-        if -(-(known[1] + self.silent) // 1000) > expiredTimerInfo.getExpiryTimeInMs():
-            self._wait(known[1])
+        known, at, status, timer = self._known()
+        out = expiredTimerInfo.getExpiryTimeInMs()
+        if timer != out:
             return
-        self.last.clear()
-        yield self._rows(key[0], pd.array([None], "Int64"), np.array([known[1] + self.silent]), np.array([known[0]], object), np.array([DEAD], object), np.ones(1, bool))
+        dead = self._due(at) <= max(out, timerValues.getCurrentWatermarkInMs())
+        self._keep(known[~dead], at[~dead], status[~dead], None)
+        n = int(dead.sum())
+        if n:
+            yield self._rows(key, known[dead], pd.array([None] * n, "Int64"), at[dead] + self.silent, status[dead], np.full(n, DEAD, object), np.ones(n, bool))
 
     def close(self) -> None:
         pass
@@ -261,36 +333,42 @@ def state_machine(stream: DataFrame, silent: str | None = None, late: str = "0 S
         stream = stream.withWatermark("ts", late).filter(F.when(F.col("ts").isNotNull(), F.col("device_id").isNotNull()))
     width = None if silent is None else _micros(stream.sparkSession, silent)
     rows = stream.select("device_id", "event_id", "ts", "status")
-    begin = None if known is None else known.select("device_id", "status", F.col("ts").cast("timestamp").alias("ts")).groupBy("device_id")
+    begin = None if known is None else _by_share(known.select("device_id", "status", F.col("ts").cast("timestamp").alias("ts")))
     schema = "device_id long, event_id long, ts timestamp, before string, status string, allowed boolean"
-    return rows.groupBy("device_id").transformWithStateInPandas(_Machine(width), schema, "append", "None" if silent is None else "EventTime", begin)
+    return _by_share(rows).transformWithStateInPandas(_Machine(width), schema, "append", "None" if silent is None else "EventTime", begin)
 
 
 class _Sessions(StatefulProcessor):
-    """A device's state is the time of the On that is open, or nothing."""
+    """A share's state are its devices with an On that is open, and these times."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.opened = handle.getValueState("opened", "at long")
+        self.opened = handle.getValueState("opened", "device binary, at binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = _in_order(rows)
-        switch = np.flatnonzero((new["status"] == "On") | (new["status"] == "Off"))
-        if not len(switch):
+        new = _in_order(rows, ("On", "Off"))
+        if not len(new["ts"]):
             return
-        known = self.opened.get()
-        on, at = new["status"][switch] == "On", new["ts"][switch]
-        if known:
-            on, at = np.concatenate([[True], on]), np.concatenate([[known[0]], at])
-        turned = np.flatnonzero(on != np.concatenate([[False], on[:-1]]))
-        start, stop = at[turned[::2]], at[turned[1::2]]
-        if len(start) > len(stop):
-            if not known or len(stop):
-                self.opened.update((int(start[-1]),))
-        elif known:
+        held = self.opened.get()
+        known, known_at = (np.frombuffer(bytes(v), "<i8") for v in held) if held else (np.zeros(0, np.int64),) * 2
+        device = np.concatenate([known, new["device_id"]])
+        order = np.argsort(device, kind="stable")  # what is known of a device stands before its messages
+        device, at = device[order], np.concatenate([known_at, new["ts"]])[order]
+        on = np.concatenate([np.ones(len(known), bool), new["status"] == "On"])[order]
+        before = np.concatenate([[False], on[:-1]])
+        before[_firsts(device)] = False
+        # of a device, every other one of these is an On, the first one too
+        turned = np.flatnonzero(on != before)
+        stops = np.flatnonzero(~on[turned])
+        start, stop = turned[stops - 1], turned[stops]
+        still = np.ones(len(turned), bool)
+        still[stops] = still[stops - 1] = False
+        still = turned[still]
+        if len(still):
+            self.opened.update((device[still].astype("<i8").tobytes(), at[still].astype("<i8").tobytes()))
+        elif held:
             self.opened.clear()
         if len(stop):
-            start = start[: len(stop)]
-            yield pd.DataFrame({"device_id": key[0], "start": start.astype("datetime64[us]"), "stop": stop.astype("datetime64[us]"), "seconds": stop // 1_000_000 - start // 1_000_000})
+            yield pd.DataFrame({"device_id": _device_column(key, device[stop]), "start": at[start].astype("datetime64[us]"), "stop": at[stop].astype("datetime64[us]"), "seconds": at[stop] // 1_000_000 - at[start] // 1_000_000})
 
     def close(self) -> None:
         pass
@@ -302,7 +380,7 @@ def operating_time(stream: DataFrame) -> DataFrame:
     Of a trigger's messages those count that change from Off to On or back.
     """
     rows = stream.select("device_id", "event_id", "ts", "status")
-    return rows.groupBy("device_id").transformWithStateInPandas(_Sessions(), "device_id long, start timestamp, stop timestamp, seconds long", "append", "None")
+    return _by_share(rows).transformWithStateInPandas(_Sessions(), "device_id long, start timestamp, stop timestamp, seconds long", "append", "None")
 
 
 def _commit(keys: DataFrame, to: str) -> None:

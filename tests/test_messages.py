@@ -274,3 +274,28 @@ def test_segmentation_of_arriving_datasets(spark, tmp_path):
     want = sorted(tuple(r) for r in segment(whole, 2).select("dataset_id", "image_id", "label", "area", "perim", "MeanHue").collect())
     assert got == want and len({r[0] for r in got}) == 4
     assert [(r.dataset_id, r.error) for r in job.dead_letters().collect()] == [(2, "a line doesn't have the image's width")]
+
+
+def test_states_are_kept_by_share_not_by_device(spark, tmp_path):
+    """Many devices, one without a number, some rows without an id: as a plain walk, with few keys in the state store."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(6_000):
+        device = rng.choice([None, *range(-1, 1_500)])
+        rows.append((None if i % 50 == 0 else (1 << 60) + i, i, device, rng.choice(["On", "Off", "Ready", None])))
+    df = spark.createDataFrame(rows, "event_id long, at long, device_id long, status string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    last, opened, want, sessions = {}, {}, [], []
+    for event, at, device, status in rows:
+        want.append((device, event, last.get(device), status))
+        last[device] = status
+        if status == "On":
+            opened.setdefault(device, at)
+        elif status == "Off" and device in opened:
+            sessions.append((device, at - opened.pop(device)))
+    folder = str(tmp_path / "kept")
+    got = J.run(J.state_machine(J.message_stream(df, parts=3)), folder=folder).select("device_id", "event_id", "before", "status").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    out = J.run(J.operating_time(J.message_stream(df, parts=3))).select("device_id", "seconds").collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(sessions, key=repr)
+    assert states(spark, folder).count() <= J.SHARES + 1
