@@ -156,3 +156,15 @@ def test_crops(spark, tmp_path):
     crops = spark.createDataFrame([(1, 1, 0, 0, [1], [2], [3])], "image_id long, label long, y int, x0 int, b array<int>, g array<int>, r array<int>")
     S.write_object_crops(crops, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).count() == 1
+
+
+def test_exported_files_are_bounded(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 2).select(F.concat(F.lit("a\n"), F.col("id").cast("string")).alias("t"), (F.col("id") % 3).alias("k"))
+    S.export_tsv(rows, str(tmp_path / "t"), rows_a_file=100)
+    paths = list((tmp_path / "t").glob("part-*"))
+    assert len(paths) == 10 and all(S.read_export_tsv(spark, str(p)).count() == 100 for p in paths)
+    back = S.read_export_tsv(spark, str(tmp_path / "t")).collect()
+    assert sorted((r.t, int(r.k)) for r in back) == sorted((r.t, r.k) for r in rows.collect())
+    S.export_tsv(rows, str(tmp_path / "by"), partition_by="k")
+    assert all(len(list((tmp_path / "by" / f"k={k}").glob("part-*"))) == 1 for k in range(3))
+    assert sum(S.read_export_tsv(spark, str(tmp_path / "by" / f"k={k}")).count() for k in range(3)) == 1000
