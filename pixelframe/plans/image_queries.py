@@ -49,7 +49,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     to = files_.scratch(spark, "images")
     files_.write_images(T.scanlines(spark, d), to)
-    return _numbered(spark, d, files_.decode_scanlines(spark, f"{to}/*/*.jpg")).select("image_id", "y", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
+    return _numbered(spark, d, files_.decoded(spark, f"{to}/*")).select("image_id", "y", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
 
 
 @query("scan_image_files", "SELECT CAST(label AS BIGINT) AS dataset_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings")
@@ -64,7 +64,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     to = files_.scratch(spark, "images")
     files_.write_images(T.scanlines(spark, d), to)
     part = lambda k: F.regexp_extract("path", "(\\d+)/(\\d+)[.]jpg$", k).cast("long")
-    lines = files_.decode_scanlines(spark, f"{to}/*/*.jpg")
+    lines = files_.decoded(spark, f"{to}/*")
     return lines.select(part(1).alias("dataset_id"), part(2).alias("seq"), "y", "w", "h", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in "bgr"])
 
 

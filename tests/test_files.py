@@ -168,3 +168,12 @@ def test_exported_files_are_bounded(spark, tmp_path):
     S.export_tsv(rows, str(tmp_path / "by"), partition_by="k")
     assert all(len(list((tmp_path / "by" / f"k={k}").glob("part-*"))) == 1 for k in range(3))
     assert sum(S.read_export_tsv(spark, str(tmp_path / "by" / f"k={k}")).count() for k in range(3)) == 1000
+
+
+def test_many_small_images_are_decoded_by_few_tasks(spark, tmp_path):
+    one = lambda k: spark.range(80).select(F.lit(k).alias("dataset_id"), (F.col("id") + 100 * k).alias("image_id"), F.col("id").alias("seq"), F.lit(0).alias("y"), *[F.array(F.col("id").cast("int"), F.lit(k)).alias(c) for c in "bgr"])
+    assert S.write_images(one(1).unionByName(one(2)), str(tmp_path / "i")) == 160
+    lines = S.decoded(spark, str(tmp_path / "i" / "*"))
+    assert lines.count() == 160 and {(r.b[0], r.b[1]) for r in lines.collect()} == {(i, k) for i in range(80) for k in (1, 2)}
+    files = {p.split("/")[-1] for p in lines.inputFiles()}  # a file a task that wrote
+    assert len(files) <= 4
