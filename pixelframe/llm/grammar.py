@@ -87,35 +87,46 @@ def repair(tokens: np.ndarray, base: int, end: int = 0, least: int = 3) -> Gramm
 
     A round counts every pair (hashed to a table, then exactly for the pairs of slots with enough), makes rules of all
     pairs that are at least about a quarter as frequent as the most frequent one, and replaces them from left to right without
-    overlap; so the most frequent pairs go first, a batch at a time. A pair that is found twice costs more as a rule
-    than it saves, hence `least`. Pairs with the end id stay as they are.
+    overlap; so the most frequent pairs go first, a batch at a time. Once pairs found `least` times go, a round counts
+    those with the last round's symbols alone: all others are rarer. A pair that is found twice costs more as a rule than
+    it saves, hence `least`. Pairs with the end id stay as they are.
     """
-    seq = tokens.astype(np.int64)
-    if len(seq) and (seq.min() < 0 or seq.max() >= base):
+    if len(tokens) and (tokens.min() < 0 or tokens.max() >= base):
         raise ValueError(f"ids must be from 0 to {base - 1}")
+    seq = tokens.astype(np.uint32)
     rules: list[np.ndarray] = []
-    made = 0
+    made, enough, fresh = 0, max(least, len(seq) >> 10), 0
     while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        keys = left << 32 | right
-        bits = max(10, min(21, int(len(seq)).bit_length()))
-        slot = (keys * -7046029254386353131 >> (64 - bits)) & ((1 << bits) - 1)
-        inside = (left != end) & (right != end)
-        in_slot = np.bincount(slot[inside], minlength=1 << bits)
+        # if all pairs found `least` times have been replaced, only pairs with symbols made since can be found so often
+        spots = np.flatnonzero((seq[:-1] >= fresh) | (seq[1:] >= fresh)) if fresh else None
+        left, right = (seq[:-1], seq[1:]) if spots is None else (seq[spots], seq[spots + 1])
+        bits = max(10, min(21, (8 * len(left) // enough).bit_length()))
+        slots = lambda u, v: ((u * np.uint32(0x9E3779B1) + v * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.intp)  # noqa: B023, E731
+        slot = slots(left, right)
+        slot[np.flatnonzero((left == end) | (right == end))] = 1 << bits  # a slot of their own
+        in_slot = np.bincount(slot, minlength=(1 << bits) + 1)
+        in_slot[-1] = 0
         enough = max(least, int(in_slot.max()) // 4)
         while True:
-            at = np.flatnonzero((in_slot >= enough)[slot] & inside)
-            found, counts = np.unique(keys[at], return_counts=True)
+            at = np.flatnonzero((in_slot >= enough)[slot])
+            keys = left[at].astype(np.int64) << 32 | right[at]
+            found, counts = np.unique(keys, return_counts=True)
             chosen = found[counts >= enough]
             if len(chosen) or enough == least:
                 break
             enough = max(least, enough // 2)
         if not len(chosen):
             break
-        place = np.searchsorted(chosen, keys[at])
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == keys[at]
+        if enough == least:
+            place, fresh = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1), base + made
+        else:  # of chosen pairs that share a slot one has its turn now
+            turn = np.zeros((1 << bits) + 1, np.intp)
+            turn[slots((chosen >> 32).astype(np.uint32), chosen.astype(np.uint32))] = np.arange(len(chosen))
+            place, fresh = turn[slot[at]], 0
+        hit = chosen[place] == keys
         at, place = at[hit], place[hit]
+        if spots is not None:
+            at = spots[at]
         # of overlapping matches every second one counts, from the left
         opens = np.ones(len(at), bool)
         opens[1:] = np.diff(at) > 1
@@ -139,7 +150,7 @@ def repair(tokens: np.ndarray, base: int, end: int = 0, least: int = 3) -> Gramm
         known = np.concatenate([np.ones(1, np.int64), sizes[:done]])
         sizes[done : done + len(generation)] = known[np.maximum(generation - base + 1, 0)].sum(1)
         done += len(generation)
-    return Grammar(base, pairs, sizes, seq)
+    return Grammar(base, pairs, sizes, seq.astype(np.int64))
 
 
 def packed(numbers: np.ndarray, width: int) -> bytes:

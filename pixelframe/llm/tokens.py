@@ -56,6 +56,9 @@ class WordCache:
         if self.kind != "whole":
             self.marks = {mark: [t.id for t in self.model.tokenize(mark)] for mark in ".,"}
             self.line_end = [t.id for t in self.model.tokenize("\u010a")]
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a blank or a line end
+            self.opens[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
         self.most, self.longest = most_words, longest
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
@@ -109,20 +112,53 @@ class WordCache:
             ids = self.line_end + ids
         return ids + self.marks[mark] if mark else ids
 
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """For byte-level vocabularies: which segments were encoded end to end, their ids, and how many each has.
+
+        These are the segments whose only white space is one blank or line end at their start. Side by side they fall
+        into the same segments again, and a token that begins with white space begins a segment.
+        """
+        raw = b"".join(words)
+        if self.special and self.special.search(raw):
+            return None
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, start = np.frombuffer(raw, np.uint8), np.cumsum(size) - size
+        simple = ((data[start] == 32) | (data[start] == 10)) & (np.add.reduceat(self.space[data].view(np.uint8), start, dtype=np.int64) == 1)
+        if any(h in raw for h in _WIDE_HINTS):
+            simple &= ~np.fromiter((any(h in w for h in _WIDE_HINTS) for w in words), bool, len(words))
+        some = [words[i] for i in np.flatnonzero(simple).tolist()]
+        texts = [b"".join(some[i : i + 256]).decode() for i in range(0, len(some), 256)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(some) or (len(ids) and not self.opens[ids[0]]):
+            return None
+        return simple, ids, np.diff(np.append(begins, len(ids)))
+
     def _add(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+        together = self._together(words) if self.kind == "spaced" else None
+        alone = words if together is None else [words[i] for i in np.flatnonzero(~together[0]).tolist()]
+        texts = [w.decode() for w in alone]
         lists = [self._plain(w) for w in texts] if self.kind != "whole" else [None] * len(texts)
         rest = [i for i, x in enumerate(lists) if x is None]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             lists[i] = x.ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        if together is not None:
+            simple, ids_of, sizes_of = together
+            each = np.empty(len(words), np.int64)
+            each[simple], each[~simple] = sizes_of, sizes
+            both, of = np.empty(int(each.sum()), np.uint32), np.repeat(simple, each)
+            both[of], both[~of] = ids_of, ids
+            ids, sizes = both, each
         ends = self.ends[self.n] + np.cumsum(sizes)
         need = self.n + len(words) + 1
         if need > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(need, np.int64)])
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(int(ends[-1]), np.uint32)])
-        self.ids[self.ends[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        self.ids[self.ends[self.n] : ends[-1]] = ids
         self.ends[self.n + 1 : need] = ends
         self.known.update(zip(words, range(self.n, self.n + len(words))))
         self.n += len(words)

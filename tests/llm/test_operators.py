@@ -220,6 +220,35 @@ def test_repair_round_trip():
         assert g.token_range(a, b).tolist() == tokens[a:b].tolist()
 
 
+def test_late_rounds_count_pairs_with_new_symbols_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [np.append(rng.integers(1, 200, rng.integers(2, 12)), rng.integers(200, 260)) for _ in range(3000)]
+    tokens = np.concatenate([words[i] for i in rng.zipf(1.2, 8000) % 3000])
+    plain, looked = np.bincount, []
+
+    def counting(x, **options):
+        looked.append((len(x), options.get("minlength", 0)))
+        return plain(x, **options)
+
+    monkeypatch.setattr(np, "bincount", counting)
+    g = repair(tokens, 1000)
+    rounds = [n for n, slots in looked if slots in [(1 << b) + e for b in range(10, 22) for e in (0, 1)]]
+    assert len(rounds) > 3 and rounds[-1] < len(g.symbols) / 10
+    assert g.expanded(g.symbols).tolist() == tokens.tolist()
+
+
+def test_new_byte_level_words_are_encoded_side_by_side(monkeypatch):
+    alone = []
+    monkeypatch.setattr(WordCache, "_plain", lambda self, word: alone.append(word))
+    cache = WordCache(default_path("byte_bpe_50k.json"))
+    odd = [" caf\u00e9's, x.", "\u00a0a b\u2003", " wide\u00a0", " a b", "  two\n\nthree \n", "<|endoftext|> a", "", " ", "\u0301 \u0301", " \x1c\x85 y", " don't!!! 42nd"]
+    for texts in ([" ".join(f"word{i}x" for i in range(700)), *odd], [" plain text, of words.\nAnd lines" * 3]):
+        raw = [t.encode() for t in texts]
+        ids, at = cache.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [_ids(t, "byte_bpe_50k.json") for t in texts]
+    assert not any(w in alone for w in (" text,", " of", " words.", "\nAnd", " lines"))
+
+
 def test_token_files(spark, clashing, rows, empty, tmp_path):
     got = token_files_roundtrip(clashing, block_tokens=700).collect()
     ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
