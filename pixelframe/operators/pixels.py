@@ -18,6 +18,8 @@ from pixelframe.operators.groups import whole_groups
 
 #: Fixed value: ratios to the background are clipped here before they are spread over 0 to 255.
 MOST_RATIO = 1.04
+#: Lines whose gray values are counted at once, and images whose histograms a task holds at once.
+MOST_COUNTED = 1024
 
 
 def images(lines: DataFrame) -> DataFrame:
@@ -115,56 +117,98 @@ def gray_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gray", zipped).drop("b", "g", "r")
 
 
-def gray_histogram(lines: DataFrame) -> DataFrame:
-    """image_id and an array of 256 counts. A batch's lines are counted at once, an array an image; arrays are added up
-    value by value after the exchange."""
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, MOST_COUNTED):
+            yield batch.slice(at, MOST_COUNTED)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            image, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            lists = batch.column(1)
-            place = np.repeat(of, lists.value_lengths().fill_null(0).to_numpy())
-            counts = np.bincount(place * 256 + lists.flatten().to_numpy(), minlength=256 * len(image))
-            yield _histograms(image, counts.reshape(len(image), 256))
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (image_id, gray) to the gray values that occur in an image's lines, and how often: image_id, values, counts."""
+    for batch in _sliced(batches):
+        image, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        lists = batch.column(1)
+        place = np.repeat(of, lists.value_lengths().fill_null(0).to_numpy())
+        counts = np.bincount(place * 256 + lists.flatten().to_numpy(), minlength=256 * len(image))
+        some = np.flatnonzero(counts)
+        ends = pa.array(np.searchsorted(some, np.arange(len(image) + 1) * 256).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (some % 256, counts[some])]
+        yield pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), *lists], names=["image_id", "values", "counts"])
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Image ids and their 256 counts, from what _counted gives, sorted by image; never more than MOST_COUNTED images at once."""
+    for group in whole_groups(batches, ["image_id"]):
+        image = group["image_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+        ends = np.append(first, len(image))
+        for at in range(0, len(first), MOST_COUNTED):
+            mine = first[at : at + MOST_COUNTED]
+            part = group.slice(mine[0], int(ends[min(at + MOST_COUNTED, len(first))] - mine[0]))
+            values, counts = (part[c].combine_chunks() for c in ("values", "counts"))
+            of = np.repeat(np.searchsorted(mine - mine[0], np.arange(part.num_rows), "right") - 1, values.value_lengths().to_numpy())
+            # sums stay whole: a frame has fewer pixels than doubles have whole numbers
+            total = np.bincount(of * 256 + values.flatten().to_numpy(), counts.flatten().to_numpy(), 256 * len(mine))
+            yield image[mine], total.astype(np.int64).reshape(len(mine), 256)
+
+
+def _counts_by_image(lines: DataFrame) -> DataFrame:
+    parts = lines.select("image_id", "gray").mapInArrow(_counted, "image_id long, values array<int>, counts array<int>")
+    return parts.repartition("image_id").sortWithinPartitions("image_id")
+
+
+def gray_histogram(lines: DataFrame) -> DataFrame:
+    """image_id and an array of 256 counts. Some lines are counted at once; what is exchanged are the values that occur,
+    and an image's array is made after the exchange, those of some images at a time."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["image_id"]):
-            image = group["image_id"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
-            counts = group["hist"].combine_chunks().flatten().to_numpy().reshape(-1, 256)
-            yield _histograms(image[first], np.add.reduceat(counts, first))
+        for image, counts in _added(batches):
+            ends = pa.array(np.arange(len(image) + 1, dtype=np.int32) * 256)
+            yield pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], names=["image_id", "hist"])
 
-    parts = lines.select("image_id", "gray").mapInArrow(count, "image_id long, hist array<long>")
-    return parts.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(add, "image_id long, hist array<long>")
+    return _counts_by_image(lines).mapInArrow(add, "image_id long, hist array<long>")
 
 
-def _histograms(image: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    ends = pa.array(np.arange(len(image) + 1, dtype=np.int32) * 256)
-    return pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(counts.ravel(), pa.int64()))], names=["image_id", "hist"])
+def triangle(hist: np.ndarray) -> np.ndarray:
+    """Thresholds of histograms (n, 256): the value farthest below the line from the histogram's far end to its peak.
+
+    The side of the peak that reaches farther is used, mirrored if it is the upper.
+    """
+    held, row = hist > 0, np.arange(len(hist))
+    some = held.any(axis=1)
+    low, high, peak = held.argmax(axis=1), 255 - held[:, ::-1].argmax(axis=1), hist.argmax(axis=1)
+    low = np.where(some & (low > 0), low - 1, 0)
+    high = np.where(some & (high < 255), high + 1, 255)
+    flip = peak - low < high - peak
+    side = np.where(flip[:, None], hist[:, ::-1], hist)
+    low, peak = np.where(flip, 255 - high, low), np.where(flip, 255 - peak, peak)
+    value = np.arange(256)
+    height = side[row, peak][:, None] * value + (low - peak)[:, None] * side
+    height[(value <= low[:, None]) | (value > peak[:, None])] = 0
+    best = height.argmax(axis=1)  # the first of equally high ones
+    threshold = np.where(height[row, best] > 0, best, low) - 1
+    return np.where(flip, 255 - threshold, threshold).astype(np.int32)
 
 
 def triangle_threshold(hist: DataFrame) -> DataFrame:
-    """image_id, threshold: the value farthest below the line from the histogram's far end to its peak.
+    """image_id, threshold (see triangle), of histograms as rows of 256 counts."""
 
-    All within a row of 256 counts. The side of the peak that reaches farther is used, mirrored if it is the upper.
-    """
-    values = F.sequence(F.lit(0), F.lit(255))
-    filled = F.filter(values, lambda g: F.get("hist", g) > 0)
-    ends = hist.select("image_id", "hist", F.get(filled, 0).alias("lo0"), F.element_at(filled, -1).alias("hi0"), (F.array_position("hist", F.array_max("hist")) - 1).cast("int").alias("p0"))
-    ends = ends.withColumns({"lo0": F.when(F.col("lo0") > 0, F.col("lo0") - 1).otherwise(0), "hi0": F.when(F.col("hi0") < 255, F.col("hi0") + 1).otherwise(255)})
-    turned = ends.withColumn("flip", F.col("p0") - F.col("lo0") < F.col("hi0") - F.col("p0"))
-    side = turned.select(
-        "image_id",
-        "flip",
-        F.when(F.col("flip"), F.reverse("hist")).otherwise(F.col("hist")).alias("hist"),
-        F.when(F.col("flip"), 255 - F.col("hi0")).otherwise(F.col("lo0")).alias("lo"),
-        F.when(F.col("flip"), 255 - F.col("p0")).otherwise(F.col("p0")).alias("p"),
-    )
-    height = lambda i: F.get("hist", F.col("p")) * i + (F.col("lo") - F.col("p")) * F.get("hist", i)
-    scored = F.transform(F.filter(values, lambda i: (i > F.col("lo")) & (i <= F.col("p"))), lambda i: F.struct(height(i).alias("v"), (-i).alias("i")))
-    best = F.array_max(F.filter(scored, lambda s: s["v"] > 0))
-    threshold = F.coalesce(-best["i"], F.col("lo")) - 1
-    return side.select("image_id", F.when(F.col("flip"), 255 - threshold).otherwise(threshold).cast("int").alias("threshold"))
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            found = triangle(batch.column(1).flatten().to_numpy().reshape(-1, 256))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["image_id", "threshold"])
+
+    return hist.select("image_id", F.col("hist").cast("array<long>")).mapInArrow(find, "image_id long, threshold int")
+
+
+def gray_threshold(lines: DataFrame) -> DataFrame:
+    """triangle_threshold of the lines' gray_histogram in one step: no image's 256 counts leave the task that adds them up."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, counts in _added(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), pa.array(triangle(counts))], names=["image_id", "threshold"])
+
+    return _counts_by_image(lines).mapInArrow(find, "image_id long, threshold int")
 
 
 def below_threshold(lines: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def export_table(measured: DataFrame) -> DataFrame:
 
 
 def foreground(lines: DataFrame, flat: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Corrected and thresholded masks of all images. Histograms are exchanged, and thresholds sent to where gray lines are."""
+    """Corrected and thresholded masks of all images. Counts of gray values are exchanged, and thresholds sent to where gray lines are."""
     grays = stored(P.corrected_gray(lines, flat, by=by), "gray")
-    thresholds = stored(P.triangle_threshold(P.gray_histogram(grays)), "thresholds")
+    thresholds = stored(P.gray_threshold(grays), "thresholds")
     return P.below_threshold(grays, small(thresholds)).select(*M.IMAGE, "y", "x")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,24 @@ def test_histograms_add_up_over_tasks(spark):
         assert got[i] == np.bincount([v for k, g in rows if k == i for v in g], minlength=256).tolist()
 
 
+def test_few_histograms_are_held_at_once(spark):
+    """However many images a batch holds, a task adds up and hands on those of some at a time, and thresholds are the same."""
+    rng = np.random.default_rng(3)
+    n = 2 * P.MOST_COUNTED + 5
+    image, gray = np.repeat(np.arange(n), 2), rng.integers(0, 256, (2 * n, 6), dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(image), pa.array(list(gray))], names=["image_id", "gray"])
+    parts = list(P._counted([batch]))
+    assert all(p.num_rows <= P.MOST_COUNTED and len(p["values"].flatten()) <= 6 * P.MOST_COUNTED for p in parts)
+    whole = pa.Table.from_batches(parts).sort_by("image_id").combine_chunks().to_batches()
+    added = list(P._added(whole))
+    assert max(len(i) for i, _ in added) <= P.MOST_COUNTED
+    want = np.stack([np.bincount(g.ravel(), minlength=256) for g in gray.reshape(n, 2, 6)])
+    assert np.array_equal(np.concatenate([i for i, _ in added]), np.arange(n)) and np.array_equal(np.concatenate([c for _, c in added]), want)
+    lines = spark.createDataFrame([(int(i), g.tolist()) for i, g in zip(image[:600], gray)], "image_id long, gray array<int>").repartition(3)
+    one = {tuple(r) for r in P.gray_threshold(lines).collect()}
+    assert one == {tuple(r) for r in P.triangle_threshold(P.gray_histogram(lines)).collect()} and len(one) == 300
+
+
 def test_histograms_and_local_means_make_no_row_a_pixel(spark, lines):
     grays = P.gray_lines(lines)
     for df in (P.gray_histogram(grays), P.adaptive_threshold(grays)):
