@@ -17,6 +17,8 @@ from pixelframe.functions.scalars import equivalent_diameter, gray, hsv, ratio_s
 from pixelframe.operators.groups import whole_groups
 
 REGION = ["image_id", "label"]
+#: Frames of several images are laid one below the other up to this many pixels.
+MOST_PIXELS = 1 << 22
 
 
 def run_roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
@@ -164,36 +166,53 @@ def _eulers(m: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
     return np.rint(np.bincount(label[some], _QUAD_GAIN[quad[some]], minlength=n) / 4).astype(np.int32)
 
 
+def _frames_of(image: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of runs, sorted by image, of images whose frames, one below the other, have up to MOST_PIXELS; at least one."""
+    first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+    tall = np.maximum.reduceat(y, first) - np.minimum.reduceat(y, first) + 3
+    wide = np.maximum.reduceat(x1, first) - np.minimum.reduceat(x0, first) + 3
+    begin, lines, width = 0, 0, 0
+    for at, h, w in zip(first.tolist(), tall.tolist(), wide.tolist()):
+        if at > begin and (lines + h) * max(width, w) > MOST_PIXELS:
+            yield begin, at
+            begin, lines, width = at, 0, 0
+        lines, width = lines + h, max(width, w)
+    yield begin, len(image)
+
+
+def _shapes(image: np.ndarray, label: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> pa.RecordBatch:
+    """What region_shapes tells of the regions of some images, whose frames, each with a margin of one pixel, are laid one
+    below the other; so no pixels of two images touch."""
+    first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(image))))
+    most = label.max() + 1
+    names, number = np.unique(of * most + label, return_inverse=True)
+    top, left = np.minimum.reduceat(y, first) - 1, np.minimum.reduceat(x0, first) - 1
+    tall = np.maximum.reduceat(y, first) - top + 2
+    y, x0, x1 = y + (np.cumsum(tall) - tall - top)[of], x0 - left[of], x1 - left[of]
+    labels = np.zeros((tall.sum(), x1.max() + 2), np.int32)
+    size = x1 - x0 + 1
+    x = np.repeat(x0 - np.cumsum(size) + size, size) + np.arange(size.sum())
+    labels[np.repeat(y, size), x] = np.repeat(number + 1, size)
+    m, n = labels > 0, len(names) + 1
+    # each region's lines with their outermost pixels
+    order = np.lexsort((x0, y, number))
+    lines = number[order] * len(labels) + y[order]
+    at = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]]))
+    convex = _hull_areas(number[order][at], x0[order][at], x1[order][np.append(at[1:], len(lines)) - 1])
+    columns = (image[first][names // most], names % most, _perimeters(m, labels, n)[1:], _eulers(m, labels, n)[1:], convex)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*REGION, "perim", "euler_number", "convex_area"])
+
+
 def region_shapes(runs: DataFrame) -> DataFrame:
     """perim (weights of border pixels by how the border goes on from them), euler_number (one less the number of holes)
-    and convex_area of each region: one exchange of runs by image, then each image's frame at once."""
+    and convex_area of each region: one exchange of runs by image, then the frames of some images at once."""
 
     def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, ["image_id"]):
-            image, label, y, x0, x1 = (whole[c].to_numpy().astype(np.int64) for c in (*REGION, "y", "x0", "x1"))
-            first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            edges: list[tuple[np.ndarray, ...]] = []
-            regions = 0
-            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(image)]):
-                names, number = np.unique(label[s:e], return_inverse=True)
-                top, left = y[s:e].min() - 1, x0[s:e].min() - 1
-                labels = np.zeros((y[s:e].max() - top + 2, x1[s:e].max() - left + 2), np.int32)
-                size = x1[s:e] - x0[s:e] + 1
-                x = np.repeat(x0[s:e] - left - np.cumsum(size) + size, size) + np.arange(size.sum())
-                labels[np.repeat(y[s:e] - top, size), x] = np.repeat(number + 1, size)
-                m, n = labels > 0, len(names) + 1
-                # each region's lines with their outermost pixels
-                order = np.lexsort((x0[s:e], y[s:e], number))
-                lines = number[order] * (labels.shape[0]) + y[s:e][order] - top
-                at = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]]))
-                ends = np.append(at[1:], len(lines)) - 1
-                edges.append((regions + number[order][at], x0[s:e][order][at], x1[s:e][order][ends]))
-                regions += n - 1
-                for column, values in zip(out, (np.full(n - 1, image[s]), names, _perimeters(m, labels, n)[1:], _eulers(m, labels, n)[1:])):
-                    column.append(values)
-            convex = _hull_areas(*(np.concatenate(c) for c in zip(*edges)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), pa.array(convex)], names=[*REGION, "perim", "euler_number", "convex_area"])
+            columns = [whole[c].to_numpy().astype(np.int64) for c in (*REGION, "y", "x0", "x1")]
+            for low, high in _frames_of(columns[0], *columns[2:]):
+                yield _shapes(*(c[low:high] for c in columns))
 
     placed = runs.select(*REGION, "y", "x0", "x1").repartition("image_id").sortWithinPartitions("image_id")
     return placed.mapInArrow(shapes, "image_id long, label long, perim double, euler_number int, convex_area long")

@@ -181,10 +181,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from pixelframe.plans.segmentation import segment
 
     lines = T.scanlines(spark, d)
-    lines = lines.withColumn("lines", F.count("*").over(Window.partitionBy("dataset_id")))
+    counts = files_.stored(lines.groupBy("dataset_id").agg(F.count("*").alias("lines")), "counts")
+    lines = lines.join(files_.small(counts), "dataset_id")
     to = files_.scratch(spark, "arriving")
-    lines.repartition(3, "image_id").write.parquet(to)
-    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(to)
+    # three triggers, each of files of about 100,000 lines, so that a trigger's reading is spread
+    files = max(1, -(-(counts.agg(F.sum("lines")).first()[0] or 0) // 300_000))
+    lines.repartition(3 * files, "image_id").write.parquet(to)
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(to)
     job = J.DatasetJob(spark, lambda rows: rounded(segment(rows.drop("lines"), MIN_ESD)), arriving.schema, expected="lines", broken=J.broken_scanlines)
     return job.run(arriving)
 

@@ -383,6 +383,11 @@ def operating_time(stream: DataFrame) -> DataFrame:
     return _by_share(rows).transformWithStateInPandas(_Sessions(), "device_id long, start timestamp, stop timestamp, seconds long", "append", "None")
 
 
+def _nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, made without a Python worker."""
+    return spark.range(0).select([F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 def _commit(keys: DataFrame, to: str) -> None:
     keys.write.mode("overwrite").parquet(to)
 
@@ -409,7 +414,7 @@ class DatasetJob:
         self.folder, self.arrived, self.counts, self.results, self.letters, self.ledger = folder, *(f"{folder}/{n}" for n in ("arrived", "counts", "results", "letters", "ledger"))
         self.kind = schema[key].dataType.simpleString()
         for to, more in ((self.ledger, "piece string"), (self.letters, "error string")):  # so that there is something to read
-            spark.createDataFrame([], f"{key} {self.kind}, {more}").write.mode("ignore").parquet(f"{to}/batch=-1")
+            _nothing(spark, f"{key} {self.kind}, {more}").write.mode("ignore").parquet(f"{to}/batch=-1")
 
     def done(self, before: int | None = None) -> DataFrame:
         """Finished datasets: key, piece and batch."""
@@ -425,13 +430,15 @@ class DatasetJob:
     def output(self) -> DataFrame:
         """The results of all finished datasets."""
         told = self.done().filter("piece IS NOT NULL").select("batch", "piece").distinct()
+        if told.isEmpty():  # nothing was worked on: what the job makes of no rows
+            return self.process(self.spark.createDataFrame([], self.schema))
         rows = self.spark.read.parquet(self.results)
         columns = [c for c in rows.columns if c not in ("batch", "piece")]
         return rows.withColumn("batch", F.col("batch").cast("long")).join(told, ["batch", "piece"], "left_semi").select(columns)
 
     def _settled(self, rows: DataFrame, batch: int, piece: str, depth: int = 0) -> list[tuple[str, DataFrame, str | None]]:
         """Work on datasets, halving those that fail: for each piece its name, its keys, and the error if it failed."""
-        if depth and rows.isEmpty():
+        if rows.isEmpty():
             return []
         try:
             self.process(rows).write.mode("overwrite").parquet(f"{self.results}/batch={batch}/piece={piece}")
@@ -446,8 +453,7 @@ class DatasetJob:
             return [x for bit in (0, 1) for x in self._settled(rows.filter(half == bit), batch, f"{piece}{bit}", depth + 1)]
 
     def finish(self, rows: DataFrame, batch: int) -> None:
-        """Work on whole datasets, and write results, dead letters and, last, the ledger."""
-        rows = stored(rows, "whole")
+        """Work on whole datasets (rows of a stored table), and write results, dead letters and, last, the ledger."""
         bad = stored(self.broken(rows).select(self.key, "error"), "broken") if self.broken else None
         good = rows.join(bad.select(self.key), self.key, "left_anti").select(rows.columns) if bad is not None else rows
         settled = self._settled(good, batch, "r")
@@ -456,7 +462,7 @@ class DatasetJob:
             bad = more if bad is None else bad.unionByName(more)
         if bad is not None:
             bad.write.mode("overwrite").parquet(f"{self.letters}/batch={batch}")
-        kept = self.spark.createDataFrame([], f"{self.key} {self.kind}, piece string")
+        kept = _nothing(self.spark, f"{self.key} {self.kind}, piece string")
         for piece, keys, error in settled:
             if error is None:
                 kept = kept.unionByName(keys.withColumn("piece", F.lit(piece)))
@@ -474,10 +480,16 @@ class DatasetJob:
             counts = self.spark.read.schema(f"{self.key} {self.kind}, n long, of long, batch long").parquet(self.counts).filter(F.col("batch") <= batch)
             ripe = counts.groupBy(self.key).agg(F.sum("n").alias("n"), F.max("of").alias("of"), F.max("batch").alias("last")).filter(f"n >= of AND last = {batch}").select(self.key)
             ripe = stored(ripe, "ripe")
+            if ripe.isEmpty():  # all datasets wait for more rows
+                return _commit(_nothing(self.spark, f"{self.key} {self.kind}, piece string"), f"{self.ledger}/batch={batch}")
             folders = [r["_part"] for r in ripe.select(place.alias("_part")).distinct().collect()]  # at most as many as parts
-            all_of = self._came(0, batch, folders).join(ripe, self.key, "left_semi").distinct()
-            whole = all_of.groupBy(self.key).agg(F.count("*").alias("n"), F.max(self.expected).alias("of")).filter("n >= of").select(self.key)
-            new = all_of.join(whole, self.key, "left_semi").select(self.schema.names)
+            # written once, for what follows reads them several times
+            all_of = stored(self._came(0, batch, folders).join(ripe, self.key, "left_semi").distinct(), "whole")
+            counted = all_of.groupBy(self.key).agg(F.count("*").alias("n"), F.max(self.expected).alias("of"))
+            short = stored(counted.filter("NOT coalesce(n >= of, false)").select(self.key), "short")
+            if not short.isEmpty():
+                all_of = all_of.join(short, self.key, "left_anti")
+            new = all_of.select(self.schema.names)
         self.finish(new, batch)
 
     def _came(self, first: int, last: int, folders: list[int] | None = None) -> DataFrame:
@@ -496,7 +508,7 @@ class DatasetJob:
         if not again.isEmpty():
             number = self.done().agg(F.min("batch")).first()[0] - 1  # below all triggers' numbers
             folders = [r["p"] for r in again.select(F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int").alias("p")).distinct().collect()]
-            self.finish(self._came(0, 1 << 62, folders).join(again, self.key, "left_semi").distinct(), number)
+            self.finish(stored(self._came(0, 1 << 62, folders).join(again, self.key, "left_semi").distinct(), "whole"), number)
         return self.output()
 
 

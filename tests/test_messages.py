@@ -250,6 +250,45 @@ def test_a_kill_between_results_and_ledger(spark, tmp_path, monkeypatch):
     assert sorted((r.dataset_id, r.v) for r in job().run(stream).collect()) == [(1, 3), (2, 5), (3, 10)]
 
 
+def test_triggers_without_whole_datasets_cost_no_work(spark, tmp_path):
+    """The job runs where a trigger completes a dataset, not where all of them wait; without any there are its columns."""
+    asked = []
+
+    def process(rows):
+        asked.append(sorted(r.dataset_id for r in rows.select("dataset_id").distinct().collect()))
+        return sums(rows)
+
+    for some in ([(1, 1, 3), (2, 5, 3)], [(1, 2, 3), (2, 6, 3)], [(1, 3, 3), (2, 7, 3), (3, 1, 2)]):
+        stream = arriving(spark, str(tmp_path / "in"), some)
+    job = J.DatasetJob(spark, process, stream.schema, expected="of", folder=str(tmp_path / "job"))
+    assert sorted(map(tuple, job.run(stream).collect())) == [(1, 6), (2, 18)] and asked == [[1, 2]]
+    waits = arriving(spark, str(tmp_path / "few"), [(1, 1, 3)])
+    none = J.DatasetJob(spark, process, waits.schema, expected="of", folder=str(tmp_path / "none")).run(waits)
+    assert none.columns == ["dataset_id", "v"] and none.count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 700, 1 << 22])
+def test_shapes_of_images_side_by_side(spark, monkeypatch, most):
+    """Shapes of many images' regions are those of each image alone, however many frames are laid out at once."""
+    from pixelframe.operators import regions as R
+
+    rng, rows = np.random.default_rng(4), []
+    for i in range(12):
+        m = rng.random((rng.integers(1, 14), rng.integers(1, 20))) < 0.45
+        for y, line in enumerate(np.pad(m, ((0, 0), (1, 1))).astype(int)):
+            x0, x1 = np.flatnonzero(np.diff(line) == 1), np.flatnonzero(np.diff(line) == -1) - 1
+            rows += [(7 * i, y + 3 * i, int(a) + i, int(b) + i) for a, b in zip(x0, x1)]
+    runs = R.label_regions(spark.createDataFrame(rows, "image_id long, y int, x0 int, x1 int")).toPandas().sort_values(["image_id", "y", "x0"])
+    image, *rest = (runs[c].to_numpy().astype(np.int64) for c in ("image_id", "label", "y", "x0", "x1"))
+    monkeypatch.setattr(R, "MOST_PIXELS", most)
+    cuts = list(R._frames_of(image, *rest[1:]))
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(image) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    assert len(cuts) == {1: len(set(image.tolist())), 1 << 22: 1}.get(most, len(cuts))
+    got = [tuple(r.values()) for low, high in cuts for r in R._shapes(image[low:high], *(c[low:high] for c in rest)).to_pylist()]
+    alone = [tuple(r.values()) for i in np.unique(image) for r in R._shapes(*(c[image == i] for c in (image, *rest))).to_pylist()]
+    assert got == alone and len(got) == runs[["image_id", "label"]].drop_duplicates().shape[0]
+
+
 def test_segmentation_of_arriving_datasets(spark, tmp_path):
     """Datasets over three triggers give the rows of the batch run; one with a short line goes to the dead letters."""
     from pixelframe.plans.segmentation import segment
